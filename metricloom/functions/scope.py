@@ -81,14 +81,14 @@ def equals_or_in(field: Column, operator: str, value) -> Column:
     raise ValueError(f"unknown filter operator: {operator}")
 
 
-def run_named_sql(spark, sql: str, params: dict, contract: Iterable[str]) -> DataFrame:
+def run_named_sql(spark, sql: str, params: dict, contract: Iterable[str], **frames: DataFrame) -> DataFrame:
     """Run SQL with named parameters whose names must equal the declared contract."""
     names, declared = set(params), set(contract)
     if names != declared:
         raise ValueError(
             f"parameter names differ: missing {sorted(declared - names)}, extra {sorted(names - declared)}"
         )
-    return spark.sql(sql, args=params)
+    return spark.sql(sql, args=params, **frames)
 
 
 def capped(df: DataFrame, rows: int, order: Sequence[Column]) -> DataFrame:
