@@ -84,7 +84,7 @@ def monthly_observations(
     parsed = (
         F.col(period).cast("date")
         if types[period] in ("date", "timestamp", "timestamp_ntz")
-        else F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, F.lit("yyyy-MM-dd")))
+        else F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
     )
     rows = df.select(
         *keys,
