@@ -34,17 +34,24 @@ PATH_MASK = "<database-path>"
 ERROR_TEXT_LIMIT = 500
 
 
+def _adjacent(chars: Column, width: int) -> list[Column]:
+    """Runs of 1, 2, ... ``width`` neighbouring characters.
+
+    Neighbours come from zipping the array with itself shifted: linear in the text, where
+    cutting substrings by position would walk the text again for each of them.
+    """
+    grams = [chars]
+    for shift in range(1, width):
+        grams.append(F.zip_with(grams[-1], F.slice(chars, F.lit(shift + 1), F.size(chars)), lambda a, b: F.concat(a, b)))
+    return [grams[0], *[F.array_compact(g) for g in grams[1:]]]
+
+
 def lexical_terms(text: Column | str) -> Column:
     """Distinct lower-case identifiers and adjacent Han character pairs of a text."""
     lowered = F.lower(text)
     words = F.regexp_extract_all(lowered, F.lit(f"({IDENTIFIER})"), 1)
     runs = F.regexp_extract_all(lowered, F.lit(f"({HAN_RUN})"), 1)
-    pairs = F.flatten(
-        F.transform(
-            F.filter(runs, lambda r: F.length(r) > 1),
-            lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: r.substr(i, F.lit(2))),
-        )
-    )
+    pairs = F.flatten(F.transform(runs, lambda r: _adjacent(F.split(r, ""), 2)[1]))
     return F.array_distinct(F.concat(words, pairs))
 
 
@@ -65,18 +72,17 @@ def normalize_template(text: Column | str) -> Column:
     return out
 
 
-def character_grams(text: Column | str, widths: Sequence[int] = (2, 3)) -> Column:
-    """Distinct character n-grams of the given widths; a text too short for any is its own gram."""
-    text = F.col(text) if isinstance(text, str) else text
-    parts = [
-        F.when(
-            F.length(text) >= w,
-            F.transform(F.sequence(F.lit(1), F.length(text) - (w - 1)), lambda i, w=w: text.substr(i, F.lit(w))),
-        ).otherwise(F.array().cast("array<string>"))
-        for w in widths
-    ]
-    grams = F.array_distinct(F.concat(*parts))
-    return F.when(F.size(grams) > 0, grams).otherwise(F.array(text))
+def character_grams(text: Column | str) -> Column:
+    """Distinct character 2- and 3-grams of a text, each packed into one bigint.
+
+    Three 21-bit code points fit a bigint exactly, so set operations run on primitive arrays
+    and two grams are equal only if their characters are. A shorter text is its own gram.
+    """
+    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("bigint"))
+    pairs = F.zip_with(codes, F.slice(codes, F.lit(2), F.size(codes)), lambda a, b: a * (1 << 42) + b * (1 << 21))
+    triples = F.zip_with(pairs, F.slice(codes, F.lit(3), F.size(codes)), lambda p, c: p + c)
+    grams = F.array_distinct(F.concat(F.array_compact(pairs), F.array_compact(triples)))
+    return F.when(F.size(grams) > 0, grams).otherwise(F.transform(codes, lambda c: c * (1 << 42)))
 
 
 def redact(text: Column | str, limit: int = ERROR_TEXT_LIMIT) -> Column:

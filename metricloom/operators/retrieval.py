@@ -46,13 +46,13 @@ def with_dependencies(
     """
     named = documents.select(F.col(doc_id).alias("referenced_id"), text.alias("_text"))
     gathered = (
-        references.select("doc_id", "referenced_id")
+        references.select(F.col("doc_id").alias("_referrer"), "referenced_id")
         .distinct()
         .join(named, "referenced_id")
-        .groupBy("doc_id")
+        .groupBy("_referrer")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("referenced_id", "_text"))), lambda r: r["_text"]), " ").alias("dependencies"))
     )
-    return documents.join(gathered, documents[doc_id] == gathered["doc_id"], "left").drop(gathered["doc_id"])
+    return documents.join(gathered, F.col(doc_id) == F.col("_referrer"), "left").drop("_referrer")
 
 
 def postings(index: TermIndex) -> DataFrame:

@@ -313,11 +313,14 @@ def _plain(spark, folder):
 
 
 _PLAIN = f"""WITH RECURSIVE t AS (SELECT min(doc_id) AS id, count(*) AS copies, x FROM (SELECT doc_id, {_PLAIN_SQL} AS x FROM documents) GROUP BY x),
-gr AS (SELECT id, copies, CASE WHEN length(x) < 2 THEN [x] ELSE list_distinct(list_concat([substr(x, CAST(i AS INTEGER), 2) for i in range(1, length(x))],
-  [substr(x, CAST(i AS INTEGER), 3) for i in range(1, length(x) - 1)])) END AS g FROM t),
-pr AS (SELECT a.id AS left_id, b.id AS right_id, a.copies AS left_copies, b.copies AS right_copies,
-  2.0::DOUBLE * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)) AS similarity
-  FROM gr a JOIN gr b ON a.id < b.id AND len(b.g) >= len(a.g) * 0.754 AND len(a.g) >= len(b.g) * 0.754),
+ch AS (SELECT id, x, string_split(x, '') AS c FROM t),
+oc AS (SELECT id, c[i] || c[i + 1] AS g, c[i] || c[i + 1] || c[i + 2] AS g3 FROM (SELECT id, c, unnest(range(1, len(c))) AS i FROM ch WHERE len(c) > 1)),
+gr AS (SELECT DISTINCT id, g FROM (SELECT id, g FROM oc UNION ALL SELECT id, g3 FROM oc WHERE length(g3) = 3 UNION ALL SELECT id, x FROM ch WHERE length(x) < 2)),
+po AS (SELECT id, hash(g) AS h, count(*) OVER (PARTITION BY id) AS n FROM gr),
+sh AS (SELECT a.id AS left_id, b.id AS right_id, any_value(a.n) AS ln, any_value(b.n) AS rn, count(*) AS shared
+  FROM po a JOIN po b ON a.h = b.h AND a.id < b.id GROUP BY 1, 2),
+pr AS (SELECT left_id, right_id, l.copies AS left_copies, r.copies AS right_copies, 2.0::DOUBLE * shared / (ln + rn) AS similarity
+  FROM sh JOIN t l ON l.id = left_id JOIN t r ON r.id = right_id WHERE 2.0::DOUBLE * shared / (ln + rn) >= 0.86),
 hi AS (SELECT * FROM pr WHERE similarity >= 0.86),
 e AS (SELECT left_id AS s, right_id AS d FROM hi UNION SELECT right_id, left_id FROM hi),
 v AS (SELECT s AS id FROM e UNION SELECT id FROM t WHERE copies > 1),
