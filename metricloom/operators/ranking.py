@@ -9,24 +9,20 @@ from pyspark.sql import functions as F
 
 from metricloom.operators.windows import running_totals
 
-ROWS_PER_BLOCK = 50_000
-MOST_BLOCKS = 1_000
+BLOCKS = 256
 
 
-def value_blocks(df: DataFrame, column: str, rows_per_block: int = ROWS_PER_BLOCK) -> Column:
+def value_blocks(df: DataFrame, column: str, blocks: int = BLOCKS) -> Column:
     """A non-decreasing block number of a numeric column with about equal rows per block.
 
-    The cut points are at most a thousand approximate quantiles, fixed in the plan as literals,
-    so a recomputed task assigns the same block again. Any cut points give exact results; they
+    The cut points are approximate quantiles read as one scalar subquery: a few hundred numbers
+    computed once per query and shared by every task. Any cut points give exact results; they
     only balance the work.
     """
-    rows = df.count()
-    blocks = min(MOST_BLOCKS, rows // rows_per_block)
-    if blocks < 2:
-        return F.lit(0)
-    cuts = df.stat.approxQuantile(column, [i / blocks for i in range(1, blocks)], 0.5 / blocks)
-    points = F.array(*[F.lit(c) for c in sorted(set(cuts))])
-    return F.size(F.filter(points, lambda p: p <= F.col(column)))
+    cuts = df.agg(
+        F.percentile_approx(column, [i / blocks for i in range(1, blocks)], 10 * blocks).alias("cuts")
+    ).scalar()
+    return F.size(F.filter(cuts, lambda p: p <= F.col(column)))
 
 
 def cumulative_counts(counts: DataFrame, by: Sequence[str], value: str, names: dict[str, str]) -> DataFrame:

@@ -1,2 +1,51 @@
+"""Streaming re-runs of the log operators, checked against their batch meaning."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from metricloom.streaming.logs import read_log_stream, run_available, stream_first_seen, stream_usage
+from registry.common import tables
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def _events(spark, folder):
+    """Event time needs a session time zone type for watermarks; the clock reading is kept as UTC."""
+    schema = tables(spark, folder)("events").schema
+    stream = read_log_stream(spark, folder, schema, "events.parquet")
+    if isinstance(schema["ts"].dataType, T.TimestampNTZType):
+        stream = stream.withColumn("at", F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp"))
+    else:
+        stream = stream.withColumn("at", F.col("ts"))
+    return stream
+
+
+def _usage(spark, folder):
+    totals = stream_usage(
+        _events(spark, folder), "at", "1 day", "2 hours", ("event_type",),
+        {"total_value": F.col("value").cast("decimal(18,2)")},
+    )
+    out = run_available(totals)
+    return out.select(
+        F.from_utc_timestamp(F.to_utc_timestamp("window_start", F.current_timezone()), "UTC").cast("date").alias("window_day"),
+        "event_type",
+        "calls",
+        F.col("total_value").cast("double").alias("total_value"),
+    )
+
+
+QUERIES["stream_usage_per_day"] = _usage
+ORACLES["stream_usage_per_day"] = """SELECT CAST(date_trunc('day', ts) AS DATE) AS window_day, event_type, count(*) AS calls, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_value
+FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events) GROUP BY 1, 2"""
+
+
+def _first(spark, folder):
+    log = _events(spark, folder).select("at", "user_id", F.sha2(F.concat_ws("|", F.lower("event_type"), "props"), 256).alias("text_sha256"))
+    return run_available(stream_first_seen(log, "at", "60 days", ("user_id", "text_sha256"))).select("user_id", "text_sha256")
+
+
+QUERIES["stream_first_seen"] = _first
+ORACLES["stream_first_seen"] = "SELECT DISTINCT user_id, sha256(lower(event_type) || '|' || props) AS text_sha256 FROM events"
