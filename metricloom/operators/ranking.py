@@ -10,26 +10,35 @@ from pyspark.sql import functions as F
 from metricloom.operators.windows import running_totals
 
 BLOCKS = 256
+STEP = 16
 
 
-def value_blocks(df: DataFrame, column: str, blocks: int = BLOCKS) -> Column:
-    """A non-decreasing block number of a numeric column with about equal rows per block.
+def with_value_blocks(df: DataFrame, column: str, name: str, blocks: int = BLOCKS) -> DataFrame:
+    """Add a non-decreasing block number of a numeric column with about equal rows per block.
 
-    The cut points are approximate quantiles read as one scalar subquery: a few hundred numbers
-    computed once per query and shared by every task. Any cut points give exact results; they
-    only balance the work.
+    The cut points are approximate quantiles: one row of a few hundred numbers, made in the same
+    job and broadcast. Any cut points give exact results; they only balance the work.
     """
+    one, step = F.lit(1).alias("_one"), STEP
     cuts = df.agg(
-        F.percentile_approx(column, [i / blocks for i in range(1, blocks)], 10 * blocks).alias("cuts")
-    ).scalar()
-    return F.size(F.filter(cuts, lambda p: p <= F.col(column)))
+        F.percentile_approx(column, [i / blocks for i in range(1, blocks)], 10 * blocks).alias("_cuts")
+    ).select(one, "_cuts", F.filter("_cuts", lambda _, i: i % step == step - 1).alias("_coarse"))
+    placed = df.select("*", one).join(F.broadcast(cuts), "_one")
+
+    def below(points: Column) -> Column:
+        return F.size(F.filter(points, lambda p: p <= F.col(column)))
+
+    # First among every 16th cut, then among the few between: a short search instead of a scan.
+    placed = placed.withColumn("_c", below(F.col("_coarse")) * step)
+    found = F.col("_c") + below(F.slice("_cuts", F.col("_c") + 1, F.lit(step - 1)))
+    return placed.withColumn(name, found).drop("_one", "_cuts", "_coarse", "_c")
 
 
 def cumulative_counts(counts: DataFrame, by: Sequence[str], value: str, names: dict[str, str]) -> DataFrame:
     """Running sums of count columns along ``value``; ``counts`` is already one row per value."""
-    return running_totals(
-        counts, by, value, value_blocks(counts, value), {out: F.col(source) for out, source in names.items()}
-    )
+    blocked = with_value_blocks(counts, value, "_cut_block")
+    sums = {out: F.col(source) for out, source in names.items()}
+    return running_totals(blocked, by, value, F.col("_cut_block"), sums).drop("_cut_block")
 
 
 def exact_quantiles(

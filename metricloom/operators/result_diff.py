@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from metricloom.functions.scope import flag
 from metricloom.operators.ranking import cumulative_counts
 from metricloom.operators.similarity import connected_components
+from metricloom.session import cut_lineage
 
 RANKS_PER_BLOCK = 10_000
 
@@ -207,7 +208,8 @@ def diff_results(expected: DataFrame, actual: DataFrame, rules: DiffRules, by: S
         return side.select(*case, *exact, *nulls, *filled, F.lit(1).alias(mine), F.lit(0).alias(other))
 
     rows = counted(e, "e", "a").unionByName(counted(a, "a", "e"))
-    cells = rows.groupBy(*key, *values).agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
+    # Both results are computed once and kept as counts; every later step reads those.
+    cells = cut_lineage(rows.groupBy(*key, *values).agg(F.sum("e").alias("e"), F.sum("a").alias("a")))
     totals = cells.groupBy(*key).agg(
         F.sum("e").alias("_te"),
         F.sum("a").alias("_ta"),
@@ -216,13 +218,16 @@ def diff_results(expected: DataFrame, actual: DataFrame, rules: DiffRules, by: S
             flag(reduce(lambda p, q: p | q, [F.isnan(v) | (F.abs(v) == float("inf")) for v in values], F.lit(False)))
         ).alias("_not_finite"),
     )
-    # A plain key per group keeps the later joins free of null-safe comparisons.
-    group = F.sha2(F.to_json(F.struct(*key)), 256) if key else F.lit("all")
+    # One text key per group keeps the later joins free of null-safe comparisons: each part is
+    # written after its own length, so no two groups share a key.
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in key]
+    group = F.concat_ws("|", *[x for p in parts for x in (F.length(p), p)]) if key else F.lit("all")
     settled = totals.select(group.alias("_g"), *case, "_te", "_ta", "_differs", "_not_finite")
     bad = (F.col("_te") != F.col("_ta")) | (F.col("_not_finite") == 1)
     failing = settled.filter(bad).select("_g")
     if values:
         open_groups = settled.filter(~bad & (F.col("_differs") == 1)).select("_g")
+    if values and open_groups.limit(1).count():
         dirty = cells.select(group.alias("_g"), *values, "e", "a").join(open_groups, "_g", "left_semi")
         if len(values) == 1:
             failing = failing.union(_pair_runs(dirty, ["_g"], values[0], tolerances[0]))

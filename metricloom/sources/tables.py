@@ -27,3 +27,12 @@ def table_reader(
         return read_table(spark, folder, name, schemas[path])
 
     return read
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core for heavy row work on a table that came in fewer splits than cores.
+
+    A table of many files passes through untouched; only a small one is redistributed.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

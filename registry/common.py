@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from metricloom.plans.catalog import Period
 from metricloom.plans.star import StarSchema, bench_star
-from metricloom.sources.tables import table_reader
+from metricloom.sources.tables import spread, table_reader
 
 _KNOWN: dict = {}
 
 
 def tables(spark, folder):
-    """Reader of the bench tables; each schema is inferred once per process."""
-    return table_reader(spark, folder, _KNOWN)
+    """Reader of the bench tables; each schema is inferred once per process.
+
+    The text tables feed regular expressions over whole texts, so they are spread over the cores.
+    """
+    read = table_reader(spark, folder, _KNOWN)
+    keys = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+    return lambda name: spread(read(name), keys[name]) if name in keys else read(name)
 
 
 def bound_star(spark, folder, open_status: str = "open") -> StarSchema:
