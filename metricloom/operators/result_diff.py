@@ -102,17 +102,16 @@ def _pair_runs(dirty: DataFrame, key: list[str], value: str, tolerance: tuple[fl
     """
     ranked = cumulative_counts(dirty, key, value, {"_e_end": "e", "_a_end": "a"})
 
-    def pieces(count: str, end: str, name: str) -> DataFrame:
-        first, last = F.col(end) - F.col(count), F.col(end) - 1
-        block = F.explode(F.sequence(F.floor(first / RANKS_PER_BLOCK), F.floor(last / RANKS_PER_BLOCK)))
-        return (
-            ranked.filter(F.col(count) > 0)
-            .select(*key, first.alias("_first"), F.col(value).alias(name), block.alias("_block"))
-            .withColumn("_at", F.greatest("_first", F.col("_block") * RANKS_PER_BLOCK))
-            .select(*key, "_block", "_at", name)
-        )
-
-    both = pieces("e", "_e_end", "_e").unionByName(pieces("a", "_a_end", "_a"), allowMissingColumns=True)
+    sides = F.array(
+        F.struct(F.col("e").alias("n"), F.col("_e_end").alias("end"), F.col(value).alias("_e"), F.lit(None).cast("double").alias("_a")),
+        F.struct(F.col("a").alias("n"), F.col("_a_end").alias("end"), F.lit(None).cast("double").alias("_e"), F.col(value).alias("_a")),
+    )
+    runs = ranked.select(*key, F.explode(sides).alias("s")).filter(F.col("s.n") > 0)
+    first, last = F.col("s.end") - F.col("s.n"), F.col("s.end") - 1
+    block = F.explode(F.sequence(F.floor(first / RANKS_PER_BLOCK), F.floor(last / RANKS_PER_BLOCK)))
+    both = runs.select(*key, first.alias("_first"), "s._e", "s._a", block.alias("_block")).withColumn(
+        "_at", F.greatest("_first", F.col("_block") * RANKS_PER_BLOCK)
+    )
     starts = both.groupBy(*key, "_block", "_at").agg(F.max("_e").alias("_e"), F.max("_a").alias("_a"))
     along = Window.partitionBy(*key, "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     paired = starts.select(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from metricloom.functions.scope import flag
 from metricloom.functions.text import lexical_terms
 from metricloom.operators.windows import first_n_per_group
-from metricloom.session import broadcast_if_small
+from metricloom.session import broadcast_if_small, cut_lineage
 
 # Field weights.
 FIELD_WEIGHTS = {"name": 3, "description": 1, "dependencies": 1}
@@ -88,7 +88,8 @@ def _query_terms(index: TermIndex, queries: DataFrame, query_id: str, text: str)
     weighed = asked.join(idf(index, vocabulary), "term").select(
         "query_id", "term", F.round("idf", 12).cast(SCORE).alias("idf")
     )
-    return broadcast_if_small(weighed)
+    # Kept as a written table: its size check and its use then share one pass over the corpus.
+    return broadcast_if_small(cut_lineage(weighed))
 
 
 def _matches(index: TermIndex, asked: DataFrame, keep: DataFrame | None) -> DataFrame:
