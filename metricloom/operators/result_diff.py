@@ -126,7 +126,7 @@ def _match_components(dirty: DataFrame, key: list[str], values: list[str], toler
     Candidate pairs come from a grid on the first number; only rows that are linked by closeness
     can affect each other, so each connected component is matched by itself.
     """
-    rows = dirty.withColumn("node", F.xxhash64(*key, *values, F.lit(0)))
+    rows = dirty.withColumnRenamed("_node", "node")
     absolute, relative = tolerances[0]
     width = F.greatest(F.lit(absolute), F.lit(relative) * F.max(F.abs(values[0])), F.lit(1e-300))
     widths = rows.groupBy(*key).agg((width * 1.0000001).alias("_width"))
@@ -208,7 +208,8 @@ def diff_results(expected: DataFrame, actual: DataFrame, rules: DiffRules, by: S
 
     rows = counted(e, "e", "a").unionByName(counted(a, "a", "e"))
     # Both results are computed once and kept as counts; every later step reads those.
-    cells = cut_lineage(rows.groupBy(*key, *values).agg(F.sum("e").alias("e"), F.sum("a").alias("a")))
+    cells = rows.groupBy(*key, *values).agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
+    cells = cut_lineage(cells.withColumn("_node", F.monotonically_increasing_id()))
     totals = cells.groupBy(*key).agg(
         F.sum("e").alias("_te"),
         F.sum("a").alias("_ta"),
@@ -227,7 +228,7 @@ def diff_results(expected: DataFrame, actual: DataFrame, rules: DiffRules, by: S
     if values:
         open_groups = settled.filter(~bad & (F.col("_differs") == 1)).select("_g")
     if values and open_groups.limit(1).count():
-        dirty = cells.select(group.alias("_g"), *values, "e", "a").join(open_groups, "_g", "left_semi")
+        dirty = cells.select(group.alias("_g"), *values, "e", "a", "_node").join(open_groups, "_g", "left_semi")
         if len(values) == 1:
             failing = failing.union(_pair_runs(dirty, ["_g"], values[0], tolerances[0]))
         else:
