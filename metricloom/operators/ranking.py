@@ -16,14 +16,13 @@ STEP = 16
 def with_value_blocks(df: DataFrame, column: str, name: str, blocks: int = BLOCKS) -> DataFrame:
     """Add a non-decreasing block number of a numeric column with about equal rows per block.
 
-    The cut points are approximate quantiles: one row of a few hundred numbers, made in the same
-    job and broadcast. Any cut points give exact results; they only balance the work.
+    The cut points are approximate quantiles: one row of a few hundred numbers, read as a scalar
+    subquery of the same job. Any cut points give exact results; they only balance the work.
     """
-    one, step = F.lit(1).alias("_one"), STEP
-    cuts = df.agg(
-        F.percentile_approx(column, [i / blocks for i in range(1, blocks)], 10 * blocks).alias("_cuts")
-    ).select(one, "_cuts", F.filter("_cuts", lambda _, i: i % step == step - 1).alias("_coarse"))
-    placed = df.select("*", one).join(F.broadcast(cuts), "_one")
+    step = STEP
+    cuts = df.agg(F.percentile_approx(column, [i / blocks for i in range(1, blocks)], 10 * blocks).alias("cuts"))
+    coarse = cuts.select(F.filter("cuts", lambda _, i: i % step == step - 1))
+    placed = df.withColumns({"_cuts": cuts.scalar(), "_coarse": coarse.scalar()})
 
     def below(points: Column) -> Column:
         return F.size(F.filter(points, lambda p: p <= F.col(column)))
@@ -31,7 +30,7 @@ def with_value_blocks(df: DataFrame, column: str, name: str, blocks: int = BLOCK
     # First among every 16th cut, then among the few between: a short search instead of a scan.
     placed = placed.withColumn("_c", below(F.col("_coarse")) * step)
     found = F.col("_c") + below(F.slice("_cuts", F.col("_c") + 1, F.lit(step - 1)))
-    return placed.withColumn(name, found).drop("_one", "_cuts", "_coarse", "_c")
+    return placed.withColumn(name, found).drop("_cuts", "_coarse", "_c")
 
 
 def cumulative_counts(counts: DataFrame, by: Sequence[str], value: str, names: dict[str, str]) -> DataFrame:

@@ -284,8 +284,7 @@ def operational_summary(
     ).select(*by, ((F.col("_low") + F.col("_high")) / 2).alias("median_latency"), "p95_latency")
     if by:
         return basics.join(ranked, list(by), "left")
-    one = F.lit(1).alias("_one")
-    return basics.select("*", one).join(ranked.select("*", one), "_one", "left").drop("_one")
+    return basics.withColumns({name: ranked.select(name).scalar() for name in ranked.columns})
 
 
 # --------------------------------------------------------------------------- paired comparison

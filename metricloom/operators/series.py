@@ -359,8 +359,9 @@ def contribution(
     if keys:
         rows = components.join(carried, keys)
     else:
-        one = carried.withColumn("_one", F.lit(1))
-        rows = components.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
+        rows = components.withColumns(
+            {name: carried.select(name).scalar() for name in ("denominator", "calculation_status")}
+        )
     share = F.when(
         F.col("calculation_status") == "computed", safe_ratio(F.col(value), F.col("denominator"))
     )

@@ -208,10 +208,11 @@ def retail_star(tables: dict[str, DataFrame]) -> StarSchema:
     return StarSchema(orders, items, payments, customers, products)
 
 
-def bench_star(table: Callable[[str], DataFrame], open_status: str = "open") -> StarSchema:
+def bench_star(table: Callable[[str], DataFrame], open_is_unavailable: bool = False) -> StarSchema:
     """Bind the order/line/customer/part tables, read by name, to the same roles.
 
-    Status F is delivered, P canceled, O ``open_status``. The delivery time is the last ship
+    Status F is delivered and P canceled; O is open, or unavailable on request. Metrics compare
+    the stored codes, so a status filter reaches the scan. The delivery time is the last ship
     date of the order; hand-over and estimate are 5 and 60 days after the order date. That
     left join has a unique right side, so Catalyst drops it from plans that read no times.
     """
@@ -220,16 +221,11 @@ def bench_star(table: Callable[[str], DataFrame], open_status: str = "open") ->
     shipping = lines.groupBy(F.col("l_orderkey").alias("order_id")).agg(
         F.min("l_shipdate").alias("approved_ts"), F.max("l_shipdate").alias("delivered_ts")
     )
-    status = (
-        F.when(F.col("o_orderstatus") == "F", "delivered")
-        .when(F.col("o_orderstatus") == "P", "canceled")
-        .otherwise(open_status)
-    )
     orders = (
         raw_orders.select(
             F.col("o_orderkey").alias("order_id"),
             F.col("o_custkey").alias("customer_id"),
-            status.alias("order_status"),
+            F.col("o_orderstatus").alias("order_status"),
             F.col("o_orderdate").alias("purchase_ts"),
             (F.col("o_orderdate") + F.expr("INTERVAL 5 DAYS")).alias("carrier_ts"),
             (F.col("o_orderdate") + F.expr("INTERVAL 60 DAYS")).alias("estimated_ts"),
@@ -265,4 +261,5 @@ def bench_star(table: Callable[[str], DataFrame], open_status: str = "open") ->
         F.col("p_partkey").alias("product_id"),
         F.expr("nullif(p_type, 'PROMO')").alias("product_category"),
     )
-    return StarSchema(orders, items, payments, customers, products)
+    statuses = Statuses("F", "P", "O" if open_is_unavailable else "none")
+    return StarSchema(orders, items, payments, customers, products, statuses)

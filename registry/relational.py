@@ -90,7 +90,7 @@ def _projections(spark, folder):
         "order_id",
         month_start("purchase_ts").alias("purchase_month"),
         F.round(elapsed_days("purchase_ts", "delivered_ts"), 6).alias("days"),
-        flag(F.col("order_status") == "delivered").alias("is_delivered"),
+        flag(F.col("order_status") == s.statuses.delivered).alias("is_delivered"),
         flag(F.col("delivered_ts") <= F.col("estimated_ts")).alias("is_on_time"),
     )
 
@@ -148,8 +148,8 @@ def _facts_and_dims(spark, folder):
 
 
 QUERIES["join_orders_payments_customers"] = _facts_and_dims
-ORACLES["join_orders_payments_customers"] = f"""WITH {star()} SELECT oid AS order_id, st AS order_status, payment_type,
-CAST(paid AS DOUBLE) AS paid, customer_state FROM sales JOIN pay USING (oid) JOIN cust USING (cid)"""
+ORACLES["join_orders_payments_customers"] = f"""WITH {star()} SELECT oid AS order_id, o_orderstatus AS order_status, payment_type,
+CAST(paid AS DOUBLE) AS paid, customer_state FROM sales JOIN pay USING (oid) JOIN cust USING (cid) JOIN orders ON o_orderkey = oid"""
 
 
 def _history(spark, folder):
@@ -187,8 +187,8 @@ def _preaggregated(spark, folder):
 QUERIES["join_preaggregated_facts"] = _preaggregated
 ORACLES["join_preaggregated_facts"] = f"""WITH {star()},
 g AS (SELECT oid, sum(price) AS gmv, count(*) AS n FROM line GROUP BY 1), p AS (SELECT oid, sum(paid) AS paid FROM pay GROUP BY 1)
-SELECT oid AS order_id, st AS order_status, CAST(gmv AS DOUBLE) AS gmv, coalesce(n, 0) AS item_rows, CAST(p.paid AS DOUBLE) AS paid
-FROM sales LEFT JOIN g USING (oid) LEFT JOIN p USING (oid)"""
+SELECT oid AS order_id, o_orderstatus AS order_status, CAST(gmv AS DOUBLE) AS gmv, coalesce(n, 0) AS item_rows, CAST(p.paid AS DOUBLE) AS paid
+FROM sales JOIN orders ON o_orderkey = oid LEFT JOIN g USING (oid) LEFT JOIN p USING (oid)"""
 
 
 def _fanout_sides(spark, folder):

@@ -271,7 +271,7 @@ def _external(spark, folder):
     """Category values against the payments of the same month: totals that do not agree."""
     star_ = bound_star(spark, folder)
     paid = (
-        star_.orders.filter(F.col("order_status") == "delivered")
+        star_.orders.filter(F.col("order_status") == star_.statuses.delivered)
         .join(star_.payments, "order_id")
         .groupBy(F.trunc("purchase_ts", "MM").alias("period"))
         .agg(F.sum("payment_value").alias("denominator"))
