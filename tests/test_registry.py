@@ -62,5 +62,7 @@ def test_ranks_are_limited_before_the_shuffle(spark, name):
 
 
 def test_status_and_period_reach_the_scan(spark):
-    shown = plan(spark, "report_gmv_by_month")
+    frame = all_queries()["report_gmv_by_month"](spark, FOLDER)
+    shown = frame._sc._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "formatted")
     assert "EqualTo(o_orderstatus,F)" in shown and "LessThan(o_orderdate" in shown
+    assert "struct<l_orderkey:bigint,l_extendedprice:double>" in shown
