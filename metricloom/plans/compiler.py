@@ -35,6 +35,7 @@ from metricloom.plans.catalog import (
     CUSTOMER_CITY,
     CUSTOMER_STATE,
     METRICS,
+    ORDER_DIMENSIONS,
     PAYMENT_TYPE,
     PRODUCT_CATEGORY,
     PURCHASE_MONTH,
@@ -259,6 +260,8 @@ def _order_measures(star: StarSchema, plan: AnalysisPlan, needed: set[str], meas
         "order_freight": F.when(delivered, _zero("freight")),
         "order_items": F.when(delivered, _zero("item_rows")),
         "order_paid": F.when(delivered, _zero("paid")),
+        # Item and payment amounts that ride along stay NULL where an order has none.
+        **{name: F.when(delivered, F.col(name)) for name in ("price", "freight", "item_rows", "paid")},
     }
     statuses: set[str] = set()
     for name in measures:
@@ -272,9 +275,9 @@ def _order_measures(star: StarSchema, plan: AnalysisPlan, needed: set[str], meas
         }.get(name, {s.delivered})
     if statuses:
         orders = orders.filter(F.col("order_status").isin(*sorted(statuses)))
-    if {"order_price", "order_freight", "order_items"} & set(measures):
+    if {"order_price", "order_freight", "order_items", "price", "freight", "item_rows"} & set(measures):
         orders = orders.join(order_totals(star, "items"), "order_id", "left")
-    if "order_paid" in measures:
+    if {"order_paid", "paid"} & set(measures):
         orders = orders.join(order_totals(star, "payments"), "order_id", "left")
     rows = orders.select(*keys, *[columns[m].alias(m) for m in measures])
     return _collapse(rows, star, keys, needed, plan, measures)
@@ -382,6 +385,11 @@ def compile_plan(star: StarSchema, plan: AnalysisPlan) -> DataFrame:
     by_family: dict[str, list[str]] = {}
     for metric_id in plan.metrics:
         by_family.setdefault(METRICS[metric_id].family, []).append(metric_id)
+    asked = {*plan.dimensions, *(f.field for f in plan.filters)}
+    if asked <= ORDER_DIMENSIONS and len({"items", "payments", "orders"} & set(by_family)) > 1:
+        # Without an item or payment dimension all three live at order grain: one pass for them.
+        merged = [m for family in ("orders", "items", "payments") for m in by_family.pop(family, [])]
+        by_family["orders"] = merged
     frames = [_family_frame(star, plan, family, ids) for family, ids in by_family.items()]
     if len(frames) == 1:
         return frames[0]
