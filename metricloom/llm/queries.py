@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from metricloom.llm.decontamination import leak_report
 from metricloom.llm.licenses import license_scan
+from metricloom.llm.near_duplicates import near_duplicates
 from metricloom.llm.packing_best_fit import packed_matrices
 from metricloom.llm.packing_mixture import mixture_packed
 from metricloom.llm.quality_rules import quality_verdicts
+from metricloom.llm.repeats import repeat_report
 from metricloom.llm.sharding import contiguous_shards
 from metricloom.llm.token_counts import token_counts
 
@@ -23,6 +25,10 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed_matrices(_read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(_read(spark, folder, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_verdicts(_read(spark, folder, "documents"))
 
@@ -35,6 +41,10 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(_read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeat_report(_read(spark, folder, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return leak_report(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
 
