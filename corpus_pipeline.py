@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from metricloom.llm.decontamination import decontaminated
+from metricloom.llm.near_duplicates import keep_one
 from metricloom.llm.packing_mixture import mixture_packed
 from metricloom.llm.quality_rules import keep_good
+from metricloom.llm.repeats import without_repeats
 from metricloom.llm.support import staged
 
 
@@ -16,6 +18,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: one document of each group of near duplicates stays, at a similarity of 0.8."""
+    return keep_one(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: text of 100 bytes or more that occurs earlier goes."""
+    return without_repeats(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: passages of benchmark items go, and documents that are mostly such passages."""
     return decontaminated(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
@@ -28,6 +40,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_rules", quality),
+    ("near_duplicates", near_duplicates),
+    ("suffix_repeats", repeats),
     ("benchmark_decontamination", decontamination),
     ("mixture_packing", packing),
 ]

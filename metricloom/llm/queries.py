@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricloom.llm.decontamination import leak_report
+from metricloom.llm.language_model import scored_texts
 from metricloom.llm.licenses import license_scan
 from metricloom.llm.near_duplicates import near_duplicates
 from metricloom.llm.packing_best_fit import packed_matrices
@@ -58,5 +59,9 @@ def op9_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.drop("ids")
 
 
+def op10_context_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return scored_texts(_read(spark, folder, "documents"))
+
+
 QUERIES = {name: run for name, run in list(globals().items()) if name.startswith("op")}
 ORACLES: dict[str, str] = {}
