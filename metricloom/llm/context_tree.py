@@ -30,7 +30,7 @@ def grams(data: np.ndarray, edges: np.ndarray, depth: int) -> tuple[np.ndarray,
     out = ended.copy()
     for back in range(1, depth + 1):
         before = np.full(len(ended), END, np.uint64)
-        before[back:] = ended[:-back] if len(ended) > back else ended[:0]
+        before[back:] = ended[:-back]
         before[index - back < start] = END
         out |= before << np.uint64(8 * (depth + 1 - back))
     return out, places

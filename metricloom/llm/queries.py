@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metricloom.llm.check_sql import ORACLES as ORACLES
 from metricloom.llm.decontamination import leak_report
 from metricloom.llm.language_model import scored_texts
 from metricloom.llm.licenses import license_scan
@@ -31,7 +32,8 @@ def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return quality_verdicts(_read(spark, folder, "documents"))
+    verdicts = quality_verdicts(_read(spark, folder, "documents"))
+    return verdicts.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,4 +66,3 @@ def op10_context_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {name: run for name, run in list(globals().items()) if name.startswith("op")}
-ORACLES: dict[str, str] = {}
