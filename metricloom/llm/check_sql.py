@@ -21,9 +21,9 @@ shingled AS (
     ELSE list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) END) AS s FROM split),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY 1),
 common AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM shingled a JOIN shingled b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingled a JOIN shingled b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
 links AS (
-  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both >= 85 * (x.n + y.n - both)),
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
 both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reached AS (
   SELECT doc_id, doc_id AS at FROM documents

@@ -137,7 +137,7 @@ def _borders(rows: DataFrame, least: int, parts: int) -> np.ndarray:
     """Strings that cut the sorted order into ``parts`` of about equal size."""
     total = rows.count()
     at = (F.rand(7) * F.greatest(F.octet_length("text") - least, F.lit(1))).cast("int") + 1
-    some = rows.sample(min(1.0, BORDER_SAMPLE / max(1, total)), 7).select(F.substring("text", at, 24).alias("s")).limit(2 * BORDER_SAMPLE)
+    some = rows.where("text IS NOT NULL").sample(min(1.0, BORDER_SAMPLE / max(1, total)), 7).select(F.substring("text", at, 24).alias("s")).limit(2 * BORDER_SAMPLE)
     strings = sorted(bytes(r["s"]) for r in some.collect())
     chosen = [strings[len(strings) * k // parts] for k in range(1, parts)] if strings else []
     return np.array(sorted(set(chosen)), f"S{least}")
