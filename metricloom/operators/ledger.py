@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metricloom.functions.joins import join_on
 from metricloom.functions.scope import flag
 from metricloom.operators.windows import running_totals
 
@@ -163,7 +164,7 @@ def sequence_audit(log: DataFrame, by: Sequence[str], sequence: str) -> DataFram
     """
     numbers = log.groupBy(*by, sequence).agg(F.count(F.lit(1)).alias("_n"))
     previous = numbers.select(*by, (F.col(sequence) + 1).alias(sequence), F.lit(1).alias("_has"))
-    linked = numbers.join(previous, [*by, sequence], "left")
+    linked = join_on(numbers, previous, [*by, sequence], "left")
     out = linked.groupBy(*by).agg(
         F.sum("_n").alias("rows"),
         F.min(sequence).alias("first_number"),
@@ -212,7 +213,7 @@ def first_seen(log: DataFrame, by: Sequence[str], identity: Column, sequence: st
     """
     rows = log.withColumn("text_sha256", F.sha2(identity, 256))
     firsts = rows.groupBy(*by, "text_sha256").agg(F.min(sequence).alias("first_seen"))
-    return rows.join(firsts, [*by, "text_sha256"]).withColumn(
+    return join_on(rows, firsts, [*by, "text_sha256"]).withColumn(
         "is_duplicate", flag(F.col(sequence) > F.col("first_seen"))
     )
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metricloom.functions.joins import join_on
 from metricloom.operators.windows import running_totals
 
 BLOCKS = 256
@@ -51,7 +52,7 @@ def exact_quantiles(
     running = cumulative_counts(counts, by, value, {"_upto": "_count"})
     totals = counts.groupBy(*by).agg(F.sum("_count").alias("n"))
     if by:
-        placed = running.join(totals, list(by))
+        placed = join_on(running, totals, list(by))
     else:
         placed = running.withColumn("n", totals.scalar())
     return placed.groupBy(*by, "n").agg(

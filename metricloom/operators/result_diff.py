@@ -1,8 +1,9 @@
 """Tolerant comparison of expected and actual result sets, for many cases at once.
 
-Rows match when every column does: NULL only NULL, booleans never numbers, dates as ISO text,
-numbers within ``max(relative * larger magnitude, absolute)``. Unordered results match when a
-one-to-one pairing of all rows exists.
+Rows match when every column does: NULL only NULL, booleans never numbers, dates and times as full
+ISO text, numbers within ``max(relative * larger magnitude, absolute)``. Integers and decimals
+without a tolerance compare digit by digit; NaN and infinity match nothing. Unordered results match
+when a one-to-one pairing of all rows exists.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from metricloom.functions.joins import join_on
 from metricloom.functions.scope import flag
 from metricloom.operators.ranking import cumulative_counts
 from metricloom.operators.similarity import connected_components
@@ -26,7 +28,8 @@ RANKS_PER_BLOCK = 10_000
 
 @dataclass(frozen=True)
 class DiffRules:
-    """``tolerance`` maps numeric columns to (absolute, relative); others compare exactly.
+    """``tolerance`` maps numeric columns to (absolute, relative), ``default_tolerance`` holds for the
+    numeric columns it does not name; without either, values compare exactly.
 
     ``position`` names a row-number column of both sides when the order must match too.
     """
@@ -35,6 +38,10 @@ class DiffRules:
     tolerance: dict[str, tuple[float, float]] = field(default_factory=dict)
     position: str | None = None
     allow_extra: bool = False
+    default_tolerance: tuple[float, float] | None = None
+
+    def of(self, column: str) -> tuple[float, float] | None:
+        return self.tolerance.get(column, self.default_tolerance)
 
 
 def _kind(data_type: T.DataType) -> str:
@@ -45,16 +52,30 @@ def _kind(data_type: T.DataType) -> str:
     return "text"
 
 
-def _comparable(df: DataFrame, column: str) -> Column:
-    """Text form that is equal exactly when two values of any type are equal."""
+def _inexact(data_type: T.DataType) -> bool:
+    return isinstance(data_type, (T.FloatType, T.DoubleType))
+
+
+def _comparable(df: DataFrame, column: str, as_double: bool, mark: str) -> Column:
+    """Text form that is equal exactly when two values of any type are equal.
+
+    ``as_double`` says that one of the sides holds doubles; ``mark`` is the side's own, so that
+    what is not finite equals nothing on the other side.
+    """
     data_type = df.schema[column].dataType
     kind = _kind(data_type)
-    if kind == "number":
-        shown = F.col(column).cast("double").cast("string")
+    if kind == "number" and as_double:
+        value = F.col(column).cast("double") + F.lit(0.0)
+        finite = ~F.isnan(value) & (F.abs(value) < float("inf"))
+        shown = F.when(value.isNotNull(), F.when(finite, value.cast("string")).otherwise(mark))
+    elif kind == "number":
+        plain = F.col(column).cast("string")
+        shown = F.regexp_replace(plain, r"(\.\d*?)0+$", "$1") if isinstance(data_type, T.DecimalType) else plain
+        shown = F.regexp_replace(F.regexp_replace(shown, r"\.$", ""), "^-0$", "0")
     elif isinstance(data_type, T.TimestampType):
-        shown = F.date_format(F.to_utc_timestamp(column, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        shown = F.date_format(F.to_utc_timestamp(column, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     elif isinstance(data_type, T.TimestampNTZType):
-        shown = F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss")
+        shown = F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     else:
         shown = F.col(column).cast("string")
     return F.concat(F.lit(kind[0]), shown)
@@ -76,21 +97,22 @@ def _aligned(expected: DataFrame, actual: DataFrame, by: Sequence[str], rules: D
     tolerant = [
         c
         for c in rules.columns
-        if c in rules.tolerance
+        if rules.of(c)
         and all(c in d.columns and _kind(d.schema[c].dataType) == "number" for d in (expected, actual))
     ]
     exact = [c for c in rules.columns if c not in tolerant]
+    doubles = {c for c in exact if any(c in d.columns and _inexact(d.schema[c].dataType) for d in (expected, actual))}
 
     def side(df: DataFrame, absent_mark: str) -> DataFrame:
         texts = [
-            (_comparable(df, c) if c in df.columns else F.lit(absent_mark)).alias(f"x{i}") for i, c in enumerate(exact)
+            (_comparable(df, c, c in doubles, absent_mark) if c in df.columns else F.lit(absent_mark)).alias(f"x{i}") for i, c in enumerate(exact)
         ]
         numbers = [F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(tolerant)]
         place = [F.col(rules.position).alias("position")] if rules.position else []
         return df.select(*by, *texts, *numbers, *place)
 
     names = [f"x{i}" for i in range(len(exact))], [f"v{i}" for i in range(len(tolerant))]
-    return side(expected, "absent in expected"), side(actual, "absent in actual"), *names, [rules.tolerance[c] for c in tolerant]
+    return side(expected, "absent in expected"), side(actual, "absent in actual"), *names, [rules.of(c) for c in tolerant]
 
 
 def _pair_runs(dirty: DataFrame, key: list[str], value: str, tolerance: tuple[float, float]) -> DataFrame:
@@ -251,9 +273,9 @@ def diff_results(expected: DataFrame, actual: DataFrame, rules: DiffRules, by: S
             for v, t in zip(values, tolerances)
         ]
         same = reduce(lambda p, q: p & q, tests, F.col("_e").isNotNull() & F.col("_a").isNotNull())
-        moved = left.join(right, place, "full").filter(~same).groupBy(*case).agg(F.count(F.lit(1)).alias("_moved"))
+        moved = join_on(left, right, place, "full").filter(~same).groupBy(*case).agg(F.count(F.lit(1)).alias("_moved"))
         if case:
-            verdict = verdict.join(moved, case, "left")
+            verdict = join_on(verdict, moved, case, "left")
         else:
             verdict = verdict.withColumn("_moved", moved.scalar())
         order_ok = count_ok & (F.coalesce(F.col("_moved"), F.lit(0)) == 0)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from metricloom.functions.scope import flag
 from metricloom.functions.text import lexical_terms
 from metricloom.operators.windows import first_n_per_group
-from metricloom.session import broadcast_if_small, cut_lineage
+from metricloom.session import cut_lineage
 
 # Field weights.
 FIELD_WEIGHTS = {"name": 3, "description": 1, "dependencies": 1}
@@ -84,12 +84,12 @@ def idf(index: TermIndex, vocabulary: DataFrame | None = None) -> DataFrame:
 
 def _query_terms(index: TermIndex, queries: DataFrame, query_id: str, text: str) -> DataFrame:
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(lexical_terms(text)).alias("term"))
-    vocabulary = broadcast_if_small(asked.select("term").distinct())
+    vocabulary = asked.select("term").distinct()
     weighed = asked.join(idf(index, vocabulary), "term").select(
         "query_id", "term", F.round("idf", 12).cast(SCORE).alias("idf")
     )
-    # Kept as a written table: its size check and its use then share one pass over the corpus.
-    return broadcast_if_small(cut_lineage(weighed))
+    # Kept as a written table, whose size Spark knows when it plans the joins.
+    return cut_lineage(weighed)
 
 
 def _matches(index: TermIndex, asked: DataFrame, keep: DataFrame | None) -> DataFrame:
@@ -116,9 +116,9 @@ def search(
 ) -> DataFrame:
     """Top ``k`` documents per query by summed field weight times IDF of shared terms.
 
-    ``keep`` lists the document ids a filter admits; IDF still counts the whole corpus. The
-    query side is broadcast only after its size was checked, so postings of frequent words stay
-    where they are; otherwise the join shuffles by term and AQE splits the frequent ones. All
+    ``keep`` lists the document ids a filter admits; IDF still counts the whole corpus. Spark
+    broadcasts the query side if its bytes allow it, so postings of frequent words stay where they
+    are; otherwise the join shuffles by term and AQE splits the frequent ones. All
     terms of a document sit in one task, so the partial sums are already whole scores and the
     ranking limit drops most of them before the shuffle to queries.
     """

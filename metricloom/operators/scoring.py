@@ -5,12 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from metricloom.functions.joins import join_on
 from metricloom.functions.scope import flag, safe_ratio
 from metricloom.operators.quality import key_audit
 from metricloom.operators.ranking import exact_quantiles
@@ -283,30 +281,24 @@ def operational_summary(
         },
     ).select(*by, ((F.col("_low") + F.col("_high")) / 2).alias("median_latency"), "p95_latency")
     if by:
-        return basics.join(ranked, list(by), "left")
+        return join_on(basics, ranked, list(by), "left")
     return basics.withColumns({name: ranked.select(name).scalar() for name in ranked.columns})
 
 
 # --------------------------------------------------------------------------- paired comparison
 
-# Above this many pairs a resample is drawn from the three outcome counts directly.
-DRAW_LIMIT = 10_000
-
-
 def paired_difference(
     left: DataFrame,
     right: DataFrame,
     metric: str,
     resamples: int = 10_000,
     seed: int = 15_015,
-    draw_limit: int = DRAW_LIMIT,
 ) -> DataFrame:
     """Outcome counts of jointly evaluated cases and a percentile bootstrap of the difference.
 
-    A resampled mean depends only on how often each of -1, 0 and +1 is drawn. Up to
-    ``draw_limit`` pairs, draws are hashes of (seed, resample, position) and so independent of
-    partitioning; beyond it each resample is one multinomial draw from the three counts, the
-    same distribution, whose cost does not grow with the number of pairs.
+    A resampled mean depends only on how often each of -1, 0 and +1 is drawn. Draws are hashes of
+    (seed, resample, position) and so independent of partitioning, and of the same kind at every
+    size: ``resamples`` times the number of pairs, made and summed in the tasks.
     """
     if resamples < 1:
         raise ValueError("resamples must be positive")
@@ -333,24 +325,12 @@ def paired_difference(
     if not n:
         raise ValueError(f"no jointly evaluated cases for {metric}")
     spark = left.sparkSession
-    if n <= draw_limit:
-        draws = spark.range(resamples * n).select(
-            F.floor(F.col("id") / n).alias("b"), (F.col("id") % n).alias("j")
-        )
-        text = F.concat_ws("|", F.lit(str(seed)), "b", "j")
-        spot = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % n
-        drawn = F.when(spot < down, -1).when(spot >= n - up, 1).otherwise(0)
-        means = draws.select("b", drawn.alias("d")).groupBy("b").agg((F.sum("d") / F.lit(n)).alias("mean"))
-    else:
-
-        @F.pandas_udf(T.DoubleType())
-        def resampled(index: pd.Series) -> pd.Series:
-            shares = [down / n, (n - down - up) / n, up / n]
-            return index.map(
-                lambda i: float(np.diff(np.random.default_rng([seed, i]).multinomial(n, shares)[[0, 2]])[0]) / n
-            )
-
-        means = spark.range(resamples).select(F.col("id").alias("b"), resampled("id").alias("mean"))
+    draws = spark.range(resamples * n).select(F.floor(F.col("id") / n).alias("b"), (F.col("id") % n).alias("j"))
+    text = F.concat_ws("|", F.lit(str(seed)), "b", "j")
+    spot = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % n
+    drawn = F.when(spot < down, -1).when(spot >= n - up, 1).otherwise(0)
+    # A resample is a stretch of neighbouring numbers, so each task sends one sum for each of its own.
+    means = draws.select("b", drawn.alias("d")).groupBy("b").agg((F.sum("d") / F.lit(n)).alias("mean"))
     low = max(0, resamples * 25 // 1000) + 1
     high = min(resamples, -(-resamples * 975 // 1000))
     place = F.row_number().over(Window.orderBy("mean", "b"))  # one row per resample, never per case
@@ -406,19 +386,20 @@ def diagnose_failures(scored: DataFrame) -> DataFrame:
 def representatives(failures: DataFrame, order: str, minimum: int = 10) -> DataFrame:
     """The first failure of each (version, primary boundary), then the earliest others, to ``minimum``.
 
-    There are few version-boundary pairs, so the covering set is small; the fill is one top-k.
+    A case can fail in several versions, so rows are told apart by version and boundary too. There
+    are few version-boundary pairs, so the covering set is small; the fill is one top-k. Fewer
+    failures than ``minimum`` are refused.
     """
     if minimum < 1:
         raise ValueError("minimum must be positive")
-    firsts = failures.groupBy("version", "primary_boundary").agg(F.min(order).alias(order)).select(order)
-    marked = failures.join(firsts.withColumn("_first", F.lit(0)), order, "left").withColumn(
-        "_first", F.coalesce("_first", F.lit(1))
-    )
+    group = ("version", "primary_boundary")
+    firsts = failures.groupBy(*group).agg(F.min(order).alias(order)).withColumn("_first", F.lit(0))
+    marked = join_on(failures, firsts, [*group, order], "left").withColumn("_first", F.coalesce("_first", F.lit(1)))
     covering = marked.filter(F.col("_first") == 0)
-    filler = marked.filter(F.col("_first") == 1).orderBy(order).limit(minimum)
-    ranked = covering.unionByName(filler).withColumn(
-        "selection_rank", F.row_number().over(Window.orderBy("_first", order))
-    )
+    filler = marked.filter(F.col("_first") == 1).orderBy(order, "version").limit(minimum)
+    if failures.limit(minimum).count() < minimum:
+        raise ValueError(f"fewer than {minimum} failures")
+    ranked = covering.unionByName(filler).withColumn("selection_rank", F.row_number().over(Window.orderBy("_first", order, "version")))
     return ranked.filter((F.col("_first") == 0) | (F.col("selection_rank") <= minimum)).drop("_first")
 
 

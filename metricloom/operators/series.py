@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from metricloom.functions.joins import join_on
 from metricloom.functions.scope import UNKNOWN, flag, month_index, safe_ratio
 
 # Completeness and status words of the result contract.
@@ -43,7 +44,7 @@ def fill_calendar(
 ) -> DataFrame:
     """Put a series on a calendar. Absent months stay NULL unless the caller vouches that
     absence means an observed zero."""
-    out = calendar.join(series, [*keys, "period"], "left")
+    out = join_on(calendar, series, [*keys, "period"], "left")
     return out.withColumn(value, F.coalesce(value, F.lit(0))) if zero_is_observed else out
 
 
@@ -94,14 +95,14 @@ def monthly_observations(
     )
     if incomplete is not None:
         marked = incomplete.select(*keys, "period", "reason", F.lit(True).alias("_partial"))
-        rows = rows.join(marked, [*keys, "period"], "left")
+        rows = join_on(rows, marked, [*keys, "period"], "left")
     else:
         rows = rows.withColumn("reason", F.lit(None).cast("string")).withColumn("_partial", F.lit(None).cast("boolean"))
     # A month given twice is ambiguous; counting before the join back keeps this a plain sum.
     repeats = rows.groupBy(*keys, "period").agg(F.count(F.lit(1)).alias("_n")).filter(
         (F.col("_n") > 1) & F.col("period").isNotNull()
     )
-    rows = rows.join(repeats, [*keys, "period"], "left")
+    rows = join_on(rows, repeats, [*keys, "period"], "left")
     partial = F.coalesce(F.col("_partial"), F.lit(False))
     finite = ~F.isnan("value") & (F.abs("value") < F.lit(float("inf")))
     code = (
@@ -147,7 +148,7 @@ def _targeted(obs: DataFrame, keys: Sequence[str], targets: DataFrame | None) ->
     marked = targets.select(*keys, "period").distinct().withColumn("_target", F.lit(True))
     seen = obs.withColumn("_seen", F.lit(True))
     return (
-        seen.join(marked, [*keys, "period"], "full")
+        join_on(seen, marked, [*keys, "period"], "full")
         .withColumn("_idx", month_index("period"))
         .withColumn("_complete", F.col("completeness") == COMPLETE)
     )
@@ -346,7 +347,7 @@ def contribution(
     if denominators is None:
         sums = sums.withColumn("denominator", F.col("component_sum"))
     elif keys:
-        sums = sums.join(denominators.select(*keys, "denominator"), keys)
+        sums = join_on(sums, denominators.select(*keys, "denominator"), keys)
     else:
         sums = sums.withColumn("denominator", denominators.select("denominator").scalar())
     status = (
@@ -357,7 +358,7 @@ def contribution(
     sums = sums.withColumn("calculation_status", status)
     carried = sums.select(*keys, "denominator", "calculation_status")
     if keys:
-        rows = components.join(carried, keys)
+        rows = join_on(components, carried, keys)
     else:
         rows = components.withColumns(
             {name: carried.select(name).scalar() for name in ("denominator", "calculation_status")}
@@ -403,7 +404,7 @@ SCOPE_COLUMNS = ("metric_id", "period", "filters", "status_scope", "amount_basis
 
 def scope_match(numerators: DataFrame, denominators: DataFrame, scope: Sequence[str] = SCOPE_COLUMNS) -> DataFrame:
     """Every numerator scope with its denominator, or with ``scope_mismatch`` when none agrees."""
-    left, right = numerators.alias("n"), denominators.alias("d")
+    left, right = numerators.alias("n"), denominators.withColumn("_found", F.lit(True)).alias("d")
     same = None
     for name in scope:
         test = F.col(f"n.{name}").eqNullSafe(F.col(f"d.{name}"))
@@ -412,7 +413,7 @@ def scope_match(numerators: DataFrame, denominators: DataFrame, scope: Sequence[
     return joined.select(
         "n.*",
         F.col("d.denominator").alias("denominator"),
-        F.when(F.col("d.denominator").isNull(), "scope_mismatch").otherwise("matched").alias("scope_status"),
+        F.when(F.col("d._found").isNull(), "scope_mismatch").otherwise("matched").alias("scope_status"),
     )
 
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metricloom.functions.joins import join_on
 from metricloom.functions.scope import flag, month_start, safe_ratio
 
 
@@ -71,7 +72,7 @@ def year_over_year(
         F.col(value).alias("previous_year_value"),
         F.col("is_boundary_month").alias("is_previous_year_month_boundary"),
     )
-    joined = rows.join(earlier, [*by, month], "left")
+    joined = join_on(rows, earlier, [*by, month], "left")
     return joined.withColumn(
         "yoy_rate", safe_ratio(F.col(value), F.col("previous_year_value")) - 1
     ).withColumn(
@@ -112,7 +113,7 @@ def share_of_partition(df: DataFrame, by: Sequence[str], value: str, share: str
         return df.withColumn(share, safe_ratio(F.col(value), total))
     totals = df.groupBy(*by).agg(F.sum(value).alias("_partition_total"))
     return (
-        df.join(totals, list(by))
+        join_on(df, totals, list(by))
         .withColumn(share, safe_ratio(F.col(value), F.col("_partition_total")))
         .drop("_partition_total")
     )

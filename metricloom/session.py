@@ -5,11 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A side is broadcast only after its row count was measured to be at most this many rows.
-BROADCAST_ROW_LIMIT = 200_000
-
 
 def local_session(app: str = "metricloom", cores: str = "*") -> SparkSession:
     """A single-machine session for tests and benchmarks; clusters bring their own."""
@@ -30,14 +25,18 @@ def local_session(app: str = "metricloom", cores: str = "*") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a private one only where none is named."""
+    """The folder named by ``spark.checkpoint.dir``, which all executors share.
+
+    On one machine a session without the setting gets a folder of its own; on a cluster it is refused,
+    since no folder of the driver can be read by executors.
+    """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
+    named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return named or current.get()
+    if not named and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = named or tempfile.mkdtemp(prefix="metricloom-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
@@ -47,13 +46,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive the loss of the executors that made them."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Mark a join side for broadcast after a bounded count proved it small.
-
-    Above the limit the frame comes back unmarked, so the join shuffles and AQE splits skew.
-    The probe reads at most ``limit + 1`` rows per partition and never returns data.
-    """
-    rows = df.limit(limit + 1).agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    return F.broadcast(df) if rows <= limit else df

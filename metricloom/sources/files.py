@@ -2,27 +2,45 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from metricloom.operators.quality import key_audit
 
-# Larger files are listed without a byte hash: one task would have to hold the whole file.
-HASHED_FILE_LIMIT = 256 * 1024 * 1024
+# Bytes of a file that a task holds at a time while it hashes.
+HASH_BUFFER = 8 << 20
 
 
-def file_manifest(spark: SparkSession, folder: str, pattern: str = "*", limit: int = HASHED_FILE_LIMIT) -> DataFrame:
-    """Per file: name, size, modification time and SHA-256 of its bytes.
+def file_manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """Per file: name, size and SHA-256 of its bytes, whatever its size.
 
-    ``length`` filters are pushed into the source, so contents are opened only for files under
-    the limit; bigger ones are described by ``csv_shape`` and the row digest instead.
+    The listing reads no contents. Each file is then streamed through the hash by the task that
+    owns its path, so memory does not depend on the size of the file.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    facts = (F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("size_bytes"))
-    small = files.filter(F.col("length") <= limit).select(*facts, F.sha2("content", 256).alias("sha256"))
-    large = files.filter(F.col("length") > limit).select(*facts, F.lit(None).cast("string").alias("sha256"))
-    return small.unionByName(large)
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", F.col("length").alias("size_bytes"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = []
+            for path in batch.column(0).to_pylist():
+                # Spark writes local paths with one slash.
+                files, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                digest = hashlib.sha256()
+                with files.open_input_stream(place) as stream:
+                    while block := stream.read(HASH_BUFFER):
+                        digest.update(block)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], ["path", "size_bytes", "sha256"])
+
+    found = listed.repartition("path").mapInArrow(hashed, "path string, size_bytes long, sha256 string")
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "size_bytes", "sha256")
 
 
 def csv_shape(spark: SparkSession, path: str) -> DataFrame:

@@ -60,3 +60,30 @@ def run_available(stream: DataFrame, output: str | None = None) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{output}/rows")
+
+
+def run_updates(stream: DataFrame, keys: Sequence[str], output: str | None = None) -> DataFrame:
+    """Process everything there is now and return the newest row of each key, open windows included.
+
+    Each batch writes the rows that it changed to a folder of its own, so a batch that is repeated
+    after a failure replaces what it wrote; the newest row of a key is that of its last batch.
+    """
+    spark = stream.sparkSession
+    output = output or f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+    def keep(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{output}/rows/batch={batch}")
+
+    query = (
+        stream.writeStream.foreachBatch(keep)
+        .outputMode("update")
+        .option("checkpointLocation", f"{output}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    rest = [c for c in stream.columns if c not in keys]
+    changed = spark.read.schema(schema).parquet(f"{output}/rows")
+    newest = changed.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row"))
+    return newest.select(*keys, "row.*").select(*stream.columns)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from registry import evaluation, metrics, quality, relational, series, streams, text
+from registry import evaluation, metrics, nulls, quality, relational, series, streams, text
 
-_MODULES = (metrics, relational, series, quality, text, evaluation, streams)
+_MODULES = (metrics, relational, series, quality, text, evaluation, nulls, streams)
 
 
 def all_queries() -> dict:

@@ -305,11 +305,27 @@ f AS (SELECT *, CAST(row_number() OVER (PARTITION BY version, primary_boundary O
 r AS (SELECT *, row_number() OVER (ORDER BY later, case_id) AS selection_rank FROM f) SELECT case_id, version, primary_boundary, selection_rank FROM r WHERE later = 0 OR selection_rank <= 15"""
 
 
+def _shared_failures(spark, folder):
+    """Every document fails under two versions, so case ids are shared."""
+    docs = tables(spark, folder)("documents")
+    version = F.explode(F.array(F.lit("first"), F.lit("second"))).alias("version")
+    boundary = F.concat(F.col("source"), F.when(F.col("version") == "first", F.col("lang")).otherwise(F.lit("any")))
+    failed = docs.select(F.col("doc_id").alias("case_id"), "lang", "source", version).withColumn("primary_boundary", boundary)
+    return representatives(failed, "case_id", 150).select("case_id", "version", "primary_boundary", "selection_rank")
+
+
+QUERIES["evaluate_representatives_of_versions"] = _shared_failures
+ORACLES["evaluate_representatives_of_versions"] = """WITH v AS (
+SELECT doc_id AS case_id, version, source || CASE WHEN version = 'first' THEN lang ELSE 'any' END AS primary_boundary FROM documents, (VALUES ('first'), ('second')) x(version)),
+f AS (SELECT *, CAST(row_number() OVER (PARTITION BY version, primary_boundary ORDER BY case_id) > 1 AS INTEGER) AS later FROM v),
+r AS (SELECT *, row_number() OVER (ORDER BY later, case_id, version) AS selection_rank FROM f) SELECT case_id, version, primary_boundary, selection_rank FROM r WHERE later = 0 OR selection_rank <= 150"""
+
+
 def _paired(spark, folder):
     labels = tables(spark, folder)("labels")
     left = labels.select(F.col("doc_id").alias("case_id"), F.when(F.col("doc_id") > 20, F.col("toxic") == 1).alias("ok"))
     right = labels.select(F.col("doc_id").alias("case_id"), (F.col("quality") == 1).alias("ok"))
-    out = paired_difference(left, right, "ok", resamples=200, draw_limit=1_000_000)
+    out = paired_difference(left, right, "ok", resamples=200)
     return out.withColumns({n: F.round(n, 9) for n in ("right_minus_left", "bootstrap_low", "bootstrap_high")})
 
 
@@ -452,12 +468,15 @@ def _resume(spark, folder):
 
 
 QUERIES["evaluate_resume"] = _resume
+QUERIES["evaluate_resume_all"] = lambda spark, folder: resume(tables(spark, folder)("documents").select("doc_id", "lang"), tables(spark, folder)("labels"), "doc_id", "doc_id")
+ORACLES["evaluate_resume_all"] = "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
 ORACLES["evaluate_resume"] = "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 250"
 
 
 def _seal(spark, folder):
     orders = tables(spark, folder)("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    return seal(orders, orders.columns, 15000).withColumn("complete", F.col("complete").cast("int"))
+    shipped = tables(spark, folder)("lineitem").select("l_orderkey").distinct().count()
+    return seal(orders, orders.columns, shipped).withColumn("complete", F.col("complete").cast("int"))
 
 
 QUERIES["evaluate_seal"] = _seal
@@ -465,7 +484,7 @@ ORACLES["evaluate_seal"] = """WITH j AS (SELECT '{"o_custkey":' || o_custkey ||
 h AS (SELECT sha256(j) AS h, length(j) AS b FROM j),
 s AS (SELECT count(*) AS n, CAST(sum(b) AS BIGINT) AS b, """ + ", ".join(
     f"CAST(sum(CAST(CAST('0x' || substr(h, {1 + 16 * i}, 16) AS UBIGINT) AS HUGEINT)) AS VARCHAR) AS s{i}" for i in range(4)
-) + """ FROM h) SELECT sha256(n || '|' || s0 || '|' || s1 || '|' || s2 || '|' || s3) AS content_sha256, n AS row_count, b AS byte_count, CAST(n = 15000 AS INTEGER) AS complete FROM s"""
+) + """ FROM h) SELECT sha256(n || '|' || s0 || '|' || s1 || '|' || s2 || '|' || s3) AS content_sha256, n AS row_count, b AS byte_count, CAST(n = (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS INTEGER) AS complete FROM s"""
 
 
 def _outcomes(spark, folder):

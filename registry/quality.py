@@ -48,14 +48,15 @@ _DIRTY = """d AS (SELECT CASE WHEN o_orderkey % 97 = 0 THEN ' ' ELSE CAST(o_orde
 
 
 def _profile(spark, folder):
-    return profile(_dirty_orders(spark, folder), ("id",), ("score",), ("event_time",), target_rows=15000)
+    shipped = tables(spark, folder)("lineitem").select("l_orderkey").distinct().count()
+    return profile(_dirty_orders(spark, folder), ("id",), ("score",), ("event_time",), target_rows=shipped)
 
 
 _CELL = "SELECT '{c}' AS column_name, '{m}' AS measure, CAST({v} AS DOUBLE) AS number, CAST(NULL AS VARCHAR) AS text FROM d{w}"
 _NUM = "CASE WHEN score <> 'n/a' THEN TRY_CAST(score AS DOUBLE) END"
 _PROFILE = [
     ("table", "row_count", "count(*)", ""),
-    ("table", "row_count_difference", "15000 - count(*)", ""),
+    ("table", "row_count_difference", "(SELECT count(DISTINCT l_orderkey) FROM lineitem) - count(*)", ""),
     ("id", "missing", "0", " LIMIT 1"),
     ("score", "missing", "count(*) FILTER (score = 'n/a')", ""),
     ("event_time", "missing", "count(*) FILTER (event_time IS NULL)", ""),
@@ -126,8 +127,8 @@ def _fk(spark, folder):
     pairs = (
         ("lineitem.l_orderkey", t("lineitem"), "l_orderkey", t("orders"), "o_orderkey"),
         ("orders.o_custkey", t("orders"), "o_custkey", t("customer"), "c_custkey"),
-        ("events.user_id", t("events"), "user_id", t("orders").filter("o_orderstatus = 'F'"), "o_custkey"),
-        ("labels.doc_id", t("documents"), "doc_id", t("labels"), "doc_id"),
+        ("events.user_id", t("events").withColumn("user_id", F.expr("CASE WHEN event_id % 7 = 0 THEN -user_id ELSE user_id END")), "user_id", t("orders"), "o_custkey"),
+        ("documents.doc_id", t("documents"), "doc_id", t("labels"), "doc_id"),
     )
     out = None
     for name, child, column, parent, key in pairs:
@@ -147,21 +148,21 @@ ORACLES["quality_foreign_key_audit"] = " UNION ALL ".join(
     [
         _fk_sql("lineitem.l_orderkey", "lineitem", "l_orderkey", "orders", "o_orderkey"),
         _fk_sql("orders.o_custkey", "orders", "o_custkey", "customer", "c_custkey"),
-        _fk_sql("events.user_id", "events", "user_id", "(SELECT * FROM orders WHERE o_orderstatus = 'F')", "o_custkey"),
-        _fk_sql("labels.doc_id", "documents", "doc_id", "labels", "doc_id"),
+        _fk_sql("events.user_id", "(SELECT CASE WHEN event_id % 7 = 0 THEN -user_id ELSE user_id END AS user_id FROM events)", "user_id", "orders", "o_custkey"),
+        _fk_sql("documents.doc_id", "documents", "doc_id", "labels", "doc_id"),
     ]
 )
 
 
 def _soft(spark, folder):
     t = tables(spark, folder)
-    events = t("events").select(F.when(F.col("event_type") != "view", F.col("user_id")).alias("user_id"))
-    return unmatched_reference(events, "user_id", t("orders").filter("o_totalprice > 300000"), "o_custkey")
+    events = t("events").select(F.expr("CASE WHEN event_type <> 'view' THEN CASE WHEN event_id % 5 = 0 THEN -user_id ELSE user_id END END AS user_id"))
+    return unmatched_reference(events, "user_id", t("orders"), "o_custkey")
 
 
 QUERIES["quality_soft_reference"] = _soft
-ORACLES["quality_soft_reference"] = """WITH e AS (SELECT CASE WHEN event_type <> 'view' THEN user_id END AS u FROM events),
-p AS (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 300000)
+ORACLES["quality_soft_reference"] = """WITH e AS (SELECT CASE WHEN event_type <> 'view' THEN CASE WHEN event_id % 5 = 0 THEN -user_id ELSE user_id END END AS u FROM events),
+p AS (SELECT DISTINCT o_custkey FROM orders)
 SELECT count(*) AS child_rows, count(*) FILTER (u IS NULL) AS missing_references,
 count(*) FILTER (u IS NOT NULL AND o_custkey IS NULL) AS unmatched_references, count(*) FILTER (o_custkey IS NOT NULL) AS matched_references
 FROM e LEFT JOIN p ON u = o_custkey"""

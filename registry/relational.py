@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from metricloom.functions.scope import (
     capped,
@@ -13,6 +16,7 @@ from metricloom.functions.scope import (
     month_start,
     run_named_sql,
     safe_ratio,
+    schema_drift,
     scoped_view,
     unknown_bucket,
 )
@@ -23,7 +27,10 @@ from metricloom.operators.grain import (
     orphans,
     preaggregate_then_join,
 )
-from metricloom.sources.loading import load_dedup
+from metricloom.plans.star import RETAIL_SCHEMAS
+from metricloom.session import shared_folder
+from metricloom.sources.files import read_records, write_report
+from metricloom.sources.loading import load_all, load_dedup, load_table, publish
 from registry.common import MONEY, amount, bound_star, ratio, star, tables
 
 QUERIES: dict = {}
@@ -155,7 +162,7 @@ CAST(paid AS DOUBLE) AS paid, customer_state FROM sales JOIN pay USING (oid) JOI
 def _history(spark, folder):
     orders = tables(spark, folder)("orders")
     current = orders.filter(in_period(orders, "o_orderdate", "1998-01-01", "1999-12-31")).select("o_custkey").distinct()
-    before = orders.filter(in_period(orders, "o_orderdate", "1990-01-01", "1997-12-31"))
+    before = orders.filter(F.col("o_orderdate") < F.lit("1998-01-01").cast(orders.schema["o_orderdate"].dataType))
     return exists_in(current, before, ("o_custkey",), "seen_before")
 
 
@@ -268,10 +275,83 @@ WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM lineitem o WHERE o.l_shipdate < TIMES
   AND o.l_orderkey = x.l_orderkey AND o.l_linenumber = x.l_linenumber)"""
 
 
-def _counter(spark, folder):
-    bound = tables(spark, folder)("orders").agg(F.max("o_orderkey").alias("m")).first()["m"]
-    return spark.range(1, bound + 1).withColumnRenamed("id", "x").orderBy(F.col("x").desc()).limit(1)
+# ---------------------------------------------------------------- loading and publication, over given tables written as files
+
+
+def _written(frame, form, **options):
+    """The rows of a table as text files in the shared folder, where the loaders find them."""
+    path = f"{shared_folder(frame.sparkSession).rstrip('/')}/raw-{uuid.uuid4().hex}"
+    frame.write.options(**options).format(form).save(path)
+    return path
+
+
+_EVENT_FILE = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())])
+
+
+def _load_table(spark, folder):
+    events = tables(spark, folder)("events").select(*_EVENT_FILE.names)
+    return load_table(spark, _written(events, "csv", header=True), _EVENT_FILE)
+
+
+QUERIES["load_table_from_csv"] = _load_table
+ORACLES["load_table_from_csv"] = "SELECT event_id, user_id, event_type, value FROM events"
+
+
+def _sellers(spark, folder):
+    """Suppliers as the sellers file, each twice."""
+    suppliers = tables(spark, folder)("supplier")
+    names = RETAIL_SCHEMAS["dim_sellers"].names
+    rows = suppliers.select(F.col("s_suppkey").cast("string"), F.lpad(F.col("s_nationkey").cast("string"), 5, "0"), F.lower("s_name"), F.lit("SP")).toDF(*names)
+    return _written(rows.unionByName(rows), "csv", header=True)
+
+
+def _load_all(spark, folder):
+    _, counts = load_all(spark, {"dim_sellers": _sellers(spark, folder)})
+    return counts
+
+
+QUERIES["load_all_reconciled"] = _load_all
+ORACLES["load_all_reconciled"] = """SELECT 'dim_sellers' AS table_name, 2 * count(*) AS source_rows, count(*) AS target_rows, -count(*) AS row_count_difference,
+0 AS row_count_matches FROM supplier"""
+
+
+def _published(spark, folder):
+    loaded, _ = load_all(spark, {"dim_sellers": _sellers(spark, folder)})
+    target = f"{shared_folder(spark).rstrip('/')}/published-{uuid.uuid4().hex}"
+    publish(loaded, target)
+    publish(loaded, target)
+    return spark.read.parquet(f"{target}/dim_sellers")
+
+
+QUERIES["load_publish_tables"] = _published
+ORACLES["load_publish_tables"] = "SELECT CAST(s_suppkey AS VARCHAR) AS seller_id, lpad(CAST(s_nationkey AS VARCHAR), 5, '0') AS seller_zip_code_prefix, lower(s_name) AS seller_city, 'SP' AS seller_state FROM supplier"
+
+
+def _records(spark, folder):
+    turns = tables(spark, folder)("conversations").select(F.concat_ws("-", "conv_id", "turn").alias("record_id"), "role", "text")
+    return read_records(spark, _written(turns, "json"), T.StructType.fromDDL("record_id string, role string, text string"), "record_id")
+
+
+QUERIES["load_records_from_json"] = _records
+ORACLES["load_records_from_json"] = "SELECT conv_id || '-' || turn AS record_id, role, text FROM conversations"
+
+
+def _write_report(spark, folder):
+    counts = tables(spark, folder)("documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("characters"))
+    path = f"{shared_folder(spark).rstrip('/')}/report-{uuid.uuid4().hex}"
+    write_report(counts, path)
+    return spark.read.schema(counts.schema).json(path)
+
+
+QUERIES["load_report_written_as_json"] = _write_report
+ORACLES["load_report_written_as_json"] = "SELECT lang, source, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS characters FROM documents GROUP BY 1, 2"
+
+
+def _drift(spark, folder):
+    wanted = T.StructType.fromDDL("doc_id int, text string, lang string, origin string, n_chars bigint")
+    return schema_drift(tables(spark, folder)("documents"), wanted)
 
 
-QUERIES["sequence_counter_top"] = _counter
-ORACLES["sequence_counter_top"] = "SELECT max(o_orderkey) AS x FROM orders"
+QUERIES["scope_schema_drift"] = _drift
+ORACLES["scope_schema_drift"] = """SELECT * FROM (VALUES ('doc_id', 'type_changed', 'int', 'bigint'), ('origin', 'missing', 'string', NULL), ('source', 'unexpected', NULL, 'string'))
+v(column_name, issue, expected_type, actual_type) WHERE EXISTS (SELECT 1 FROM documents)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metricloom.streaming.logs import read_log_stream, run_available, stream_first_seen, stream_usage
+from metricloom.streaming.logs import read_log_stream, run_available, run_updates, stream_first_seen, stream_usage
 from registry.common import tables
 
 QUERIES: dict = {}
@@ -28,7 +28,7 @@ def _usage(spark, folder):
         _events(spark, folder), "at", "1 day", "2 hours", ("event_type",),
         {"total_value": F.col("value").cast("decimal(18,2)")},
     )
-    out = run_available(totals)
+    out = run_updates(totals, ("window_start", "window_end", "event_type"))
     return out.select(
         F.from_utc_timestamp(F.to_utc_timestamp("window_start", F.current_timezone()), "UTC").cast("date").alias("window_day"),
         "event_type",
@@ -39,7 +39,7 @@ def _usage(spark, folder):
 
 QUERIES["stream_usage_per_day"] = _usage
 ORACLES["stream_usage_per_day"] = """SELECT CAST(date_trunc('day', ts) AS DATE) AS window_day, event_type, count(*) AS calls, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_value
-FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events) GROUP BY 1, 2"""
+FROM events GROUP BY 1, 2"""
 
 
 def _first(spark, folder):

@@ -201,13 +201,14 @@ SELECT scope, k, count(*) AS reviewed_count, round(avg(coverage), 6) AS mean_cov
 _WORDS = ("click", "view", "signup", "purchase")
 
 
-def _vectors(spark, folder):
-    events = tables(spark, folder)("events")
-    busy = events.filter((F.col("event_type") != "error") | (F.col("value") > 150))
-    return count_vectors(busy, "user_id", "event_type", _WORDS)
+# A user's events of one day are a document; days with an error have a term outside the vocabulary.
+_DAY = "user_id * 100000 + datediff(CAST(ts AS DATE), DATE'1970-01-01')"
+_DAY_SQL = "user_id * 100000 + date_diff('day', DATE '1970-01-01', CAST(ts AS DATE))"
 
 
-_BUSY = "busy AS (SELECT * FROM events WHERE event_type <> 'error' OR value > 150)"
+def _vectors(spark, folder, words=_WORDS):
+    events = tables(spark, folder)("events").withColumn("day", F.expr(_DAY))
+    return count_vectors(events, "day", "event_type", words)
 
 
 def _count_vectors(spark, folder):
@@ -218,8 +219,8 @@ def _count_vectors(spark, folder):
 
 
 QUERIES["text_count_vectors"] = _count_vectors
-ORACLES["text_count_vectors"] = f"""WITH {_BUSY}, c AS (SELECT user_id AS doc_id, {', '.join(f"count(*) FILTER (event_type = '{w}') AS {w}" for w in _WORDS)},
-count(*) FILTER (event_type = 'error') AS unknown_terms FROM busy GROUP BY 1)
+ORACLES["text_count_vectors"] = f"""WITH c AS (SELECT {_DAY_SQL} AS doc_id, {', '.join(f"count(*) FILTER (event_type = '{w}') AS {w}" for w in _WORDS)},
+count(*) FILTER (event_type = 'error') AS unknown_terms FROM events GROUP BY 1)
 SELECT doc_id, {', '.join(f"CASE WHEN unknown_terms = 0 THEN {w} END AS {w}" for w in _WORDS)}, unknown_terms FROM c"""
 
 
@@ -239,18 +240,16 @@ FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
 
 
 def _cosine_counts(spark, folder):
-    events = tables(spark, folder)("events")
-    few = events.filter((F.col("value") > 60) | (F.col("event_type") == "error"))
-    good, _ = count_vectors(few, "user_id", "event_type", (*_WORDS, "error"))
-    zeroed = good.withColumn("vector", F.slice("vector", 1, 3))
-    return cosine_pairs(zeroed, "doc_id", "vector", _neighbours(zeroed, "doc_id")).withColumn("cosine", F.round("cosine", 6))
+    """Each day of a user beside the next, over all events."""
+    good, _ = _vectors(spark, folder, (*_WORDS, "error"))
+    return cosine_pairs(good, "doc_id", "vector", _neighbours(good, "doc_id")).withColumn("cosine", F.round("cosine", 6))
 
 
 QUERIES["text_cosine_count_vector_pairs"] = _cosine_counts
-ORACLES["text_cosine_count_vector_pairs"] = """WITH v AS (SELECT user_id, [CAST(count(*) FILTER (event_type = 'click') AS DOUBLE), count(*) FILTER (event_type = 'view'), count(*) FILTER (event_type = 'signup')] AS v
-FROM events WHERE value > 60 OR event_type = 'error' GROUP BY 1)
-SELECT a.user_id AS left_id, b.user_id AS right_id, CASE WHEN list_sum(a.v) > 0 AND list_sum(b.v) > 0 THEN round(list_cosine_similarity(a.v, b.v), 6) END AS cosine,
-CASE WHEN list_sum(a.v) = 0 OR list_sum(b.v) = 0 THEN 'zero' END AS reason FROM v a JOIN v b ON b.user_id = a.user_id + 1"""
+ORACLES["text_cosine_count_vector_pairs"] = f"""WITH v AS (SELECT {_DAY_SQL} AS day, [{', '.join(f"CAST(count(*) FILTER (event_type = '{w}') AS DOUBLE)" for w in (*_WORDS, "error"))}] AS v
+FROM events GROUP BY 1)
+SELECT a.day AS left_id, b.day AS right_id, round(list_cosine_similarity(a.v, b.v), 6) AS cosine, CAST(NULL AS VARCHAR) AS reason
+FROM v a JOIN v b ON b.day = a.day + 1"""
 
 # ---------------------------------------------------------------- duplicates
 
@@ -400,12 +399,12 @@ ORACLES["text_secret_scan"] = """WITH l AS (SELECT doc_id, generate_subscripts(s
 
 def _scan_summary(spark, folder):
     docs = tables(spark, folder)("documents")
-    return scan_summary(docs, secret_scan(docs, "doc_id", "text", _RULES[:4]))
+    return scan_summary(docs, secret_scan(docs, "doc_id", "text", _RULES))
 
 
 QUERIES["text_secret_scan_summary"] = _scan_summary
 ORACLES["text_secret_scan_summary"] = "WITH f AS (SELECT " + " + ".join(
-    f"sum(len(regexp_extract_all(text, '{p}')))" for _, p in _RULES[:4]
+    f"sum(len(regexp_extract_all(text, '{p}')))" for _, p in _RULES
 ) + " AS n FROM documents) SELECT (SELECT count(*) FROM documents) AS scanned_documents, CAST(n AS BIGINT) AS finding_count, CAST(n = 0 AS INTEGER) AS passed FROM f"
 
 QUERIES["text_redact"] = lambda spark, folder: tables(spark, folder)("pages").select(

@@ -135,7 +135,9 @@ def test_manifest_shape_records_and_reports(spark, raw, tmp_path):
     data = pathlib.Path(raw["fact_orders"]).read_bytes()
     assert manifest["fact_orders.csv"].sha256 == hashlib.sha256(data).hexdigest()
     assert manifest["fact_orders.csv"].size_bytes == len(data)
-    assert file_manifest(spark, folder, "fact_orders.csv", limit=10).first().sha256 is None
+    large = tmp_path / "large.bin"
+    large.write_bytes(bytes(range(256)) * (20 << 12))  # more than two read buffers
+    assert file_manifest(spark, folder, "large.bin").first().sha256 == hashlib.sha256(large.read_bytes()).hexdigest()
     shape = csv_shape(spark, raw["dim_customers"]).first()
     assert (shape.column_count, shape.row_count) == (5, 2)
     schema = T.StructType.fromDDL("case_id string, n int")
