@@ -16,7 +16,10 @@ from metricloom.llm.components import connected, merged
 from metricloom.llm.support import LOWER, RangeHash, as_bytes, byte_slices, mix, staged, word_spans
 
 BITS = 12
-ROUNDS = 3
+# Bits of a set's parity map: whether an odd number of its shingles falls on each.
+PARITY = 1024
+# Counters of shingles by which they are ordered, rare ones first; more would change no result.
+COUNTERS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -78,6 +81,25 @@ class Signatures:
         return total
 
 
+    def may_link(self, a: str, b: str) -> Column:
+        """Whether two classes that share a rare shingle can be linked at all and are not yet.
+
+        The shingles from the shared one on must be as many as a link needs in common, the parity
+        maps must not differ in more bits than the sets may differ in shingles, and the signatures
+        must be within the distance.
+        """
+        n_a, n_b = F.col(f"{a}_n_shingles"), F.col(f"{b}_n_shingles")
+        most = F.least(n_a - F.col(f"{a}_place"), n_b - F.col(f"{b}_place"))
+        new = F.col(f"{a}_component") < F.col(f"{b}_component")
+        enough = most * (100 + self.percent) >= self.percent * (n_a + n_b)
+        odd = F.lit(0)
+        for i in range(PARITY // 64):
+            odd = odd + F.bit_count(F.get(f"{a}_parity", F.lit(i)).bitwiseXOR(F.get(f"{b}_parity", F.lit(i))))
+        # 100 * common >= percent * (n_a + n_b - common), with n_a + n_b - 2 * common >= odd.
+        alike = (n_a + n_b - odd) * (100 + self.percent) >= 2 * self.percent * (n_a + n_b)
+        return new & enough & alike & (self.distance(F.col(f"{a}_chunks"), F.col(f"{b}_chunks")) <= self.most)
+
+
 _FACTORS = np.random.default_rng(5).integers(1, 2**62, (2, 512), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = np.random.default_rng(6).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -110,25 +132,27 @@ def _signature(found: np.ndarray, symbols: int) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, kind: Signatures) -> DataFrame:
-    """row, n_shingles, a 128-bit fingerprint of the shingle set and the signature of every text."""
+    """row, n_shingles, a 128-bit fingerprint and a parity map of the shingle set, and the signature of every text."""
     symbols = kind.chunks * kind.width
     places = (np.uint64(BITS) * np.arange(kind.width, dtype=np.uint64))[None, :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, edges in byte_slices(batch):
-                sizes, prints, words = [], [], []
+                sizes, prints, words, maps = [], [], [], []
                 for found in shingle_sets(data, edges, kind.shingle):
                     sizes.append(len(found))
+                    odd = np.bincount((found >> np.uint64(38)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+                    maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                     prints.append((mix(found + _PLACES[20]).sum(dtype=np.uint64), mix(found ^ _PLACES[21]).sum(dtype=np.uint64)))
                     words.append(np.bitwise_or.reduce(_signature(found, symbols).reshape(kind.chunks, kind.width) << places, axis=1).view(np.int64))
                 prints = np.array(prints, np.uint64).view(np.int64)
-                chunks = pa.ListArray.from_arrays(np.arange(0, len(words) * kind.chunks + 1, kind.chunks, dtype=np.int32), pa.array(np.concatenate(words)))
+                chunks, parity = (pa.ListArray.from_arrays(np.arange(0, len(x) * len(x[0]) + 1, len(x[0]), dtype=np.int32), pa.array(np.concatenate(x))) for x in (words, maps))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(sizes, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), chunks], ["row", "n_shingles", "print_a", "print_b", "chunks"]
+                    [rows.column(0), pa.array(sizes, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), chunks, parity], ["row", "n_shingles", "print_a", "print_b", "chunks", "parity"]
                 )
 
-    return rows.select("row", as_bytes("text")).mapInArrow(run, "row long, n_shingles long, print_a long, print_b long, chunks array<long>")
+    return rows.select("row", as_bytes("text")).mapInArrow(run, "row long, n_shingles long, print_a long, print_b long, chunks array<long>, parity array<long>")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, kind: Signatures) -> DataFrame:
@@ -158,47 +182,82 @@ def _linked(pairs: DataFrame, texts: DataFrame, kind: Signatures) -> DataFrame:
     return joined.mapInArrow(run, "left long, right long")
 
 
+def _rare_shingles(texts: DataFrame, kind: Signatures) -> DataFrame:
+    """class, shingle and place of the first shingles of each text, rare ones first.
+
+    Of two linked sets one of the first n - ceil(percent * n) + 1 shingles of each is common, in any
+    order that is the same for all. Here it is that of a fixed number of counters over all texts.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for _, data, edges in byte_slices(batch):
+                for found in shingle_sets(data, edges, kind.shingle):
+                    total += np.bincount((found >> np.uint64(48)).astype(np.int64), minlength=COUNTERS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["counter", "n"])
+
+    counted = texts.select("row", "text").mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect()
+    totals = np.zeros(COUNTERS, np.int64)
+    for r in counted:
+        totals[r["counter"]] = r["n"]
+    known = texts.sparkSession.sparkContext.broadcast(totals)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = known.value
+        for batch in batches:
+            for rows, data, edges in byte_slices(batch):
+                classes, shingles, places = [], [], []
+                for row, found in zip(rows.column(0).to_pylist(), shingle_sets(data, edges, kind.shingle), strict=True):
+                    n = len(found) - -(-kind.percent * len(found) // 100) + 1
+                    order = np.lexsort((found, totals[(found >> np.uint64(48)).astype(np.int64)]))[:n]
+                    classes.append(np.full(n, row))
+                    shingles.append(found[order].view(np.int64))
+                    places.append(np.arange(n))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (classes, shingles, places)], ["class", "shingle", "place"])
+
+    return texts.select("row", "text").mapInArrow(first, "class long, shingle long, place long")
+
+
 def near_duplicate_groups(rows: DataFrame, percent: int, shingle: int = 5) -> DataFrame:
     """row, n_shingles and group of each row of ``rows`` (unique long row, text).
 
     ``rows`` is read more than once and should be a written table. Equal shingle sets are one class,
-    and only classes are compared. Candidates are classes that share a key. In each of a few rounds
-    a class is held against one member of its keys, so that a large group of near copies becomes one
-    component by a number of pairs that is linear in its size; then every pair of a key that is still
-    in two components, of similar size and within the signature distance, is held against each
-    other. All links are confirmed on whole shingle sets. The group is the least row of the component;
-    texts without words are alone.
+    and only classes are compared. Candidates are classes that share a key. First each class is held
+    against the hub of its keys, so that a large group of near copies becomes one component by a
+    number of pairs that is linear in its size. Classes of keys that still join
+    different components are then paired where they share a rare shingle, as linked sets must, are
+    within the signature distance and can still reach the similarity. All links are confirmed on
+    whole shingle sets. The group is the least row of the component; texts without words are alone.
     """
     kind = Signatures(percent, shingle)
     known = staged(signatures(rows, kind))
     same = ["print_a", "print_b", "n_shingles"]
-    classes = staged(known.where("n_shingles > 0").groupBy(*same).agg(F.min("row").alias("class"), F.min_by("chunks", "row").alias("chunks")))
+    classes = staged(known.where("n_shingles > 0").groupBy(*same).agg(F.min("row").alias("class"), F.min_by("chunks", "row").alias("chunks"), F.min_by("parity", "row").alias("parity")))
     keyed = classes.select("class", F.explode(kind.keys(F.col("chunks"))).alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("key")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     keyed = staged(keyed.join(shared, "key"))
-    involved = keyed.select(F.col("class").alias("row")).distinct()
-    texts = staged(rows.select("row", as_bytes("text")).join(involved, "row"))
-
-    components = None
-    for salt in range(ROUNDS):
-        at = keyed.withColumn("component", F.col("class")) if components is None else keyed.join(components, "class")
-        hubs = at.groupBy("key").agg(
-            F.min_by("class", F.xxhash64(F.lit(salt), "class")).alias("hub"), F.min_by("component", F.xxhash64(F.lit(salt), "class")).alias("hub_component"), F.min("component").alias("low"), F.max("component").alias("high")
-        )
-        asked = at.join(hubs.where("low < high"), "key").where("component != hub_component")
-        stars = asked.groupBy("class", "hub").count().groupBy("class").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
-        links = _linked(stars.select(F.col("class").alias("left"), F.col("hub").alias("right")), texts, kind)
-        components = merged(involved.withColumnRenamed("row", "class"), components, links)
-
-    # What is left: keys that still join different components.
+    # The class that meets most others is the hub of its keys: in a group of copies, the original.
+    weights = staged(keyed.groupBy("class").agg(F.sum("members").alias("weight")))
+    involved = weights.select("class")
+    texts = staged(rows.select("row", as_bytes("text")).join(weights.select(F.col("class").alias("row")), "row"))
+    weighted = keyed.select("key", "class").join(weights, "class")
+    hubs = weighted.groupBy("key").agg(F.max_by("class", F.struct("weight", "class")).alias("hub"), F.max("weight").alias("hub_weight"))
+    asked = keyed.select("key", "class").join(hubs, "key").where("class != hub")
+    stars = asked.groupBy("class").agg(F.max_by("hub", F.struct("hub_weight", "hub")).alias("hub"))
+    links = _linked(stars.select(F.col("class").alias("left"), F.col("hub").alias("right")), texts, kind)
+    components = merged(involved, None, links)
+
+    # What is left: classes of keys that still join different components.
     at = keyed.join(components, "class")
     open_keys = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    members = at.join(open_keys, "key").join(classes.select("class", "n_shingles", "chunks"), "class")
-    a, b = (members.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("class", "component", "n_shingles", "chunks")]) for side in ("a", "b"))
-    small, large = F.least("a_n_shingles", "b_n_shingles"), F.greatest("a_n_shingles", "b_n_shingles")
-    close = (F.col("a_component") < F.col("b_component")) & (100 * small >= percent * large) & (kind.distance(F.col("a_chunks"), F.col("b_chunks")) <= kind.most)
-    pairs = a.join(b, (a["key"] == b["key"]) & close).select(F.col("a_class").alias("left"), F.col("b_class").alias("right")).distinct()
-    components = merged(involved.withColumnRenamed("row", "class"), components, _linked(pairs, texts, kind))
+    left = at.join(open_keys, "key").select("class", "component").distinct()
+    members = staged(left.join(classes.select("class", "n_shingles", "chunks", "parity"), "class"))
+    marks = _rare_shingles(texts.join(members.select(F.col("class").alias("row")), "row", "left_semi"), kind).join(members, "class")
+    a, b = (marks.select(*[F.col(c).alias(f"{side}_{c}") for c in marks.columns]) for side in ("a", "b"))
+    pairs = a.join(b, (F.col("a_shingle") == F.col("b_shingle")) & kind.may_link("a", "b")).select(F.col("a_class").alias("left"), F.col("b_class").alias("right")).distinct()
+    components = merged(involved, components, _linked(pairs, texts, kind))
 
     of_class = classes.join(components, "class", "left").select(*same, F.coalesce("component", "class").alias("group"))
     linked = known.where("n_shingles > 0").join(of_class, same).select("row", "n_shingles", "group")
