@@ -13,24 +13,29 @@ from pyspark.sql import functions as F
 from metricloom.llm.suffix_runs import Run, cut_run, merge, sorted_run
 from metricloom.llm.support import RangeHash, as_bytes, byte_slices, mix, partitions, staged
 
-# Suffixes of one sorted run; with ``least`` = 100 bytes each, about 20 MB in a task.
-RUN = 200_000
+# Suffixes of one sorted run: with 100 bytes before and after each anchor, about 20 MB in a task.
+RUN = 100_000
 # Strings from which the borders between the parts of the sort are taken; they only balance it.
 BORDER_SAMPLE = 4_000
 
 
+def _span(least: int) -> tuple[int, int]:
+    """Grams in a window, a power of two, and the bytes of a gram."""
+    span = 1 << max(0, (least - 1).bit_length() - 1)
+    return span, least - span + 1
+
+
 def _anchors(data: np.ndarray, edges: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """Windows of ``least`` bytes, in runs that share an anchor: text, first, count, two hashes.
+    """Windows of ``least`` bytes, in runs that share an anchor: text, first, count, anchor, two hashes.
 
     The anchor of a window is its leftmost smallest gram, so equal windows have it at the same
     place. ``gram`` is its hash; ``around`` that of all bytes of the run's windows.
     """
-    span = 1 << max(0, least.bit_length() - 1 - (least & (least - 1) == 0 and least > 1))
-    span = min(span, least)
-    gram = least - span + 1
+    span, gram = _span(least)
     n = len(data)
+    nothing = tuple(np.zeros(0, t) for t in (*[np.int64] * 4, np.uint64, np.uint64))
     if n < least:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return nothing
     hashes = RangeHash(data, 0)
     starts = np.arange(n - gram + 1)
     value = hashes(starts, starts + gram)
@@ -46,7 +51,7 @@ def _anchors(data: np.ndarray, edges: np.ndarray, least: int) -> tuple[np.ndarra
     whole = np.arange(len(place)) + least <= edges[1:][text]
     windows = np.flatnonzero(whole)
     if not len(windows):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return nothing
     anchor = place[windows]
     new = np.ones(len(windows), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (text[windows[1:]] != text[windows[:-1]])
@@ -55,11 +60,11 @@ def _anchors(data: np.ndarray, edges: np.ndarray, least: int) -> tuple[np.ndarra
     at = anchor[new]
     around = RangeHash(data, 1)(first, first + count - 1 + least)
     owner = text[first]
-    return owner, first - edges[owner], count, hashes(at, at + gram), mix(around + (at - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return owner, first - edges[owner], count, at - edges[owner], hashes(at, at + gram), mix(around + (at - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-_RECORD = "gram long, around long, row long, first int, count int, decided boolean"
-_SPANS = "row long, first int, count int, decided boolean"
+_RECORD = "gram long, around long, row long, first int, count int, anchor int, decided boolean"
+_SPANS = "row long, first int, count int, anchor int, decided boolean"
 
 
 def _records(rows: DataFrame, least: int) -> DataFrame:
@@ -69,9 +74,9 @@ def _records(rows: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             parts = []
             for rows, data, edges in byte_slices(batch):
-                owner, first, count, gram, around = _anchors(data, edges, least)
-                parts.append((gram, around, rows.column(0).to_numpy()[owner], first, count))
-            gram, around, row, first, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+                owner, first, count, anchor, gram, around = _anchors(data, edges, least)
+                parts.append((gram, around, rows.column(0).to_numpy()[owner], first, count, anchor))
+            gram, around, row, first, count, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((np.arange(len(gram)), around, gram))
             g, a = gram[order], around[order]
             again = np.zeros(len(gram), bool)
@@ -81,7 +86,7 @@ def _records(rows: DataFrame, least: int) -> DataFrame:
             for at in range(0, len(gram), 20_000):
                 cut = slice(at, at + 20_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram[cut].view(np.int64)), pa.array(around[cut].view(np.int64)), pa.array(row[cut]), pa.array(first[cut].astype(np.int32)), pa.array(count[cut].astype(np.int32)), pa.array(again[cut])],
+                    [pa.array(gram[cut].view(np.int64)), pa.array(around[cut].view(np.int64)), pa.array(row[cut]), *(pa.array(x[cut].astype(np.int32)) for x in (first, count, anchor)), pa.array(again[cut])],
                     [f.split()[0] for f in _RECORD.split(", ")],
                 )
 
@@ -96,8 +101,8 @@ def _resolved(records: DataFrame) -> DataFrame:
         held: list[np.ndarray] | None = None  # the first run of the last gram, until another one is seen
         last_gram = last_around = None
         for batch in batches:
-            decided = batch.column(5).to_numpy(zero_copy_only=False)
-            columns = [c.to_numpy() for c in batch.columns[:5]]
+            decided = batch.column(6).to_numpy(zero_copy_only=False)
+            columns = [c.to_numpy() for c in batch.columns[:6]]
             out = [[c[decided] for c in columns[2:]]]
             flags = [np.ones(int(decided.sum()), bool)]
             gram, around, *rest = (c[~decided] for c in columns)
@@ -127,93 +132,143 @@ def _resolved(records: DataFrame) -> DataFrame:
                     if not mixed[group[-1]]:
                         held = [c[start : start + 1].copy() for c in rest]
                 last_gram, last_around = gram[-1], around[-1]
-            row, first, count = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(first), pa.array(count), pa.array(np.concatenate(flags))], ["row", "first", "count", "decided"])
+            found = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, found), pa.array(np.concatenate(flags))], ["row", "first", "count", "anchor", "decided"])
 
     return ordered.mapInArrow(resolve, _SPANS)
 
 
 def _borders(rows: DataFrame, least: int, parts: int) -> np.ndarray:
-    """Strings that cut the sorted order into ``parts`` of about equal size."""
+    """Strings that cut the sorted order into ``parts`` of about equal size, never between equal grams."""
     total = rows.count()
     at = (F.rand(7) * F.greatest(F.octet_length("text") - least, F.lit(1))).cast("int") + 1
     some = rows.where("text IS NOT NULL").sample(min(1.0, BORDER_SAMPLE / max(1, total)), 7).select(F.substring("text", at, 24).alias("s")).limit(2 * BORDER_SAMPLE)
-    strings = sorted(bytes(r["s"]) for r in some.collect())
+    strings = sorted(bytes(r["s"])[: _span(least)[1]] for r in some.collect())
     chosen = [strings[len(strings) * k // parts] for k in range(1, parts)] if strings else []
     return np.array(sorted(set(chosen)), f"S{least}")
 
 
-_BLOCK = "part int, common binary, tails binary, owners binary, places binary"
+_BLOCK = "part int, common binary, tails binary, owners binary, anchors binary, lefts binary, firsts binary, counts binary"
 
 
 def _runs(texts: DataFrame, least: int, borders: np.ndarray) -> DataFrame:
-    """Front-coded parts of sorted runs; a part of -1 has suffixes that repeat one of their own run.
+    """Front-coded parts of sorted runs of the suffixes at anchors, with the bytes before each.
 
-    ``texts`` has row, text and the window runs ``firsts`` and ``counts``, in order of row.
+    ``texts`` has row, text and the window runs ``firsts``, ``counts`` and ``anchors``.
     """
-
-    def block(part: int, common: np.ndarray, tails: bytes, owners: np.ndarray, places: np.ndarray) -> list:
-        return [part, common.astype(np.uint32).tobytes(), tails, owners.astype(np.int64).tobytes(), places.astype(np.int32).tobytes()]
+    before = _span(least)[0] - 1
+    kinds = [pa.int32()] + [pa.binary()] * 7
+    names = [f.split()[0] for f in _BLOCK.split(", ")]
+
+    def sorted_parts(rights: list, lefts: list, facts: list) -> pa.RecordBatch:
+        matrix = np.frombuffer(b"".join(rights), np.uint8).reshape(-1, least)
+        left = np.frombuffer(b"".join(lefts), np.uint8).reshape(-1, before) if before else np.zeros((len(matrix), 0), np.uint8)
+        owner, anchor, first, count = np.array(facts, np.int64).reshape(-1, 4).T
+        ordered = np.lexsort((anchor, owner))
+        matrix, left, owner, anchor, first, count = (x[ordered] for x in (matrix, left, owner, anchor, first, count))
+        order, common = sorted_run(matrix)
+        out = []
+        for part, mine, shared, tails in cut_run(matrix, order, common, borders):
+            wide = (x[mine].astype(np.int32).tobytes() for x in (first, count))
+            out.append([part, shared.astype(np.uint32).tobytes(), tails, owner[mine].tobytes(), anchor[mine].astype(np.int32).tobytes(), left[mine].tobytes(), *wide])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
-        places: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            matrix, owner, place = np.concatenate(strings), np.concatenate(owners), np.concatenate(places)
-            in_order = np.lexsort((place, owner))
-            matrix, owner, place = matrix[in_order], owner[in_order], place[in_order]
-            order, common, again_owner, again_place = sorted_run(matrix, owner, place)
-            out = [block(-1, np.zeros(0), b"", again_owner, again_place)] if len(again_owner) else []
-            out += [block(part, shared, tails, owner[mine], place[mine]) for part, mine, shared, tails in cut_run(matrix, order, common, borders)]
-            for x in (strings, owners, places):
-                x.clear()
-            kinds = [pa.int32()] + [pa.binary()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds, strict=True)], [f.split()[0] for f in _BLOCK.split(", ")])
-
+        rights: list[bytes] = []
+        lefts: list[bytes] = []
+        facts: list[tuple[int, int, int, int]] = []
         for batch in batches:
-            for row, text, firsts, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                views = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text.as_buffer(), np.uint8), least)
-                for first, count in zip(firsts, counts, strict=True):
-                    for at in range(first, first + count, RUN):
-                        end = min(first + count, at + RUN)
-                        strings.append(views[at:end].copy())
-                        owners.append(np.full(end - at, row))
-                        places.append(np.arange(at, end))
-                        size += end - at
-                        if size >= RUN:
-                            yield flush()
-                            size = 0
-        if size:
-            yield flush()
+            for row, text, *runs in zip(batch.column(0).to_pylist(), batch.column(1), *(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                # Past its ends a text goes on with zeros, which no window of it reaches.
+                raw = bytes(before) + text.as_buffer().to_pybytes() + bytes(least)
+                for first, count, anchor in zip(*runs, strict=True):
+                    lefts.append(raw[anchor : anchor + before])
+                    rights.append(raw[anchor + before : anchor + before + least])
+                    facts.append((row, anchor, first, count))
+                    if len(facts) >= RUN:
+                        yield sorted_parts(rights, lefts, facts)
+                        rights, lefts, facts = [], [], []
+        if facts:
+            yield sorted_parts(rights, lefts, facts)
 
     return texts.mapInArrow(run, _BLOCK)
 
 
-def _merged(blocks: DataFrame, least: int) -> DataFrame:
-    """Every suffix that equals an earlier one, as a span of one window."""
+def _ones(mask: int) -> Iterator[tuple[int, int]]:
+    """Stretches of set bits of a number: lowest and highest of each."""
+    while mask:
+        low = (mask & -mask).bit_length() - 1
+        size = ((mask >> low) + 1 & ~(mask >> low)).bit_length() - 1
+        yield low, low + size - 1
+        mask &= ~(((1 << size) - 1) << low)
 
-    def spans(row: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(place.astype(np.int32)), pa.array(np.ones(len(row), np.int32)), pa.array(np.ones(len(row), bool))], ["row", "first", "count", "decided"])
 
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for owners, places in zip(batch.column(0), batch.column(1), strict=True):
-                yield spans(np.frombuffer(owners.as_buffer(), np.int64), np.frombuffer(places.as_buffer(), np.int32))
+def _group_repeats(group: list[list], least: int, before: int) -> Iterator[tuple[int, int, int]]:
+    """Owner, first and count of the windows of a group that an earlier member of it has too.
+
+    ``group`` is a stretch of the suffix order with all suffixes that begin with one gram. The window
+    that starts ``back`` bytes before its anchor is that of another member if both agree on so many
+    bytes before the anchor and on the other ``least - back`` from it, which the common prefixes tell.
+    """
+    if len(group) == 2:
+        # The common case, without a table: one stretch of windows.
+        (_, _, owner_a, anchor_a, (left_a, first_a, count_a), _), (common, _, owner_b, anchor_b, (left_b, first_b, count_b), _) = group
+        same = 0
+        while same < before and left_a[before - 1 - same] == left_b[before - 1 - same]:
+            same += 1
+        least_back = max(least - common, anchor_a - first_a - count_a + 1, anchor_b - first_b - count_b + 1)
+        most_back = min(same, anchor_a - first_a, anchor_b - first_b)
+        if least_back <= most_back:
+            owner, anchor = max((owner_a, anchor_a), (owner_b, anchor_b))
+            yield owner, anchor - most_back, most_back - least_back + 1
+        return
+    repeats = [0] * len(group)
+    for back in range(before + 1):
+        seen: dict[tuple[int, bytes], int] = {}
+        depth = 0
+        for k, (common, _, owner, anchor, (left, first, count), _) in enumerate(group):
+            if common < least - back:
+                depth += 1
+            if not first <= anchor - back < first + count:
+                continue
+            key = (depth, left[before - back :])
+            other = seen.setdefault(key, k)
+            if other != k:
+                if (group[other][2], group[other][3]) > (owner, anchor):
+                    seen[key], other = k, other
+                    repeats[other] |= 1 << back
+                else:
+                    repeats[k] |= 1 << back
+    for mask, (_, _, owner, anchor, _, _) in zip(repeats, group, strict=True):
+        for low, high in _ones(mask):
+            yield owner, anchor - high, high - low + 1
 
-    def join(table: pa.Table) -> pa.Table:
-        runs = [
-            Run(np.frombuffer(c, np.uint32), t, np.frombuffer(o, np.int64), np.frombuffer(p, np.int32), least)
-            for c, t, o, p in zip(*(table.column(i).to_pylist() for i in range(1, 5)), strict=True)
-        ]
-        again = [(owner, place) for owner, place, common in merge(runs) if common == least]
-        found = np.array(again, np.int64).reshape(-1, 2)
-        return pa.Table.from_batches([spans(found[:, 0], found[:, 1])])
 
-    inside = blocks.where("part < 0").select("owners", "places").mapInArrow(known, _SPANS)
-    return inside.unionByName(blocks.where("part >= 0").groupBy("part").applyInArrow(join, _SPANS))
+def _merged(blocks: DataFrame, least: int) -> DataFrame:
+    """Spans of windows that an earlier anchor has too, from the merged runs of each part."""
+    span, gram = _span(least)
+    before = span - 1
+
+    def join(table: pa.Table) -> pa.Table:
+        runs = []
+        for common, tails, owners, anchors, lefts, firsts, counts in zip(*(table.column(i).to_pylist() for i in range(1, 8)), strict=True):
+            first, count = np.frombuffer(firsts, np.int32).tolist(), np.frombuffer(counts, np.int32).tolist()
+            extra = [(lefts[k * before : (k + 1) * before], f, c) for k, (f, c) in enumerate(zip(first, count, strict=True))]
+            runs.append(Run(np.frombuffer(common, np.uint32), tails, np.frombuffer(owners, np.int64), np.frombuffer(anchors, np.int32), least, extra))
+        found: list[tuple[int, int, int]] = []
+        group: list[list] = []
+        for member in merge(runs):
+            if member[0] < gram and group:
+                found += _group_repeats(group, least, before) if len(group) > 1 else ()
+                group = []
+            # A head changes when it has lost again, so the group keeps a copy.
+            group.append(member.copy())
+        if len(group) > 1:
+            found += _group_repeats(group, least, before)
+        row, first, count = np.array(found, np.int64).reshape(-1, 3).T
+        return pa.table([pa.array(row.copy()), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], ["row", "first", "count"])
+
+    return blocks.groupBy("part").applyInArrow(join, "row long, first int, count int")
 
 
 def repeated_spans(rows: DataFrame, least: int = 100) -> DataFrame:
@@ -222,15 +277,15 @@ def repeated_spans(rows: DataFrame, least: int = 100) -> DataFrame:
     ``rows`` is a written table of row (unique, in order of precedence) and text (binary). Windows
     are first met by the fingerprint of an anchor that equal windows must share: an anchor that is
     met once has no repeats, and runs of windows whose bytes are all equal are decided together. The
-    windows of the others are sorted as suffixes: sorted runs are front-coded, dealt out by range
-    and merged, and a suffix that shares all its bytes with the one before it is a repeat.
+    others are sorted by the suffixes at their anchors: sorted runs are front-coded, dealt out by
+    range and merged, and the common prefixes in the merged order, with the bytes before the
+    anchors, tell which windows are repeats.
     """
     found = staged(_resolved(_records(rows, least)))
-    unsure = found.where("not decided").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "count"))).alias("runs"))
-    texts = rows.join(unsure, "row").select("row", "text", "runs.first", "runs.count").sortWithinPartitions("row")
-    parts = partitions(rows.sparkSession)
-    blocks = staged(_runs(texts, least, _borders(rows, least, parts)))
-    spans = found.where("decided").unionByName(_merged(blocks, least))
+    unsure = found.where("not decided").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "count", "anchor"))).alias("runs"))
+    texts = rows.join(unsure, "row").select("row", "text", "runs.first", "runs.count", "runs.anchor")
+    blocks = _runs(texts, least, _borders(rows, least, partitions(rows.sparkSession)))
+    spans = found.where("decided").select("row", "first", "count").unionByName(_merged(blocks, least))
     return staged(spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "count"))).alias("runs")).select("row", F.col("runs.first").alias("firsts"), F.col("runs.count").alias("counts")))
 
 

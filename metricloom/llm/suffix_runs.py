@@ -2,41 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
 
 class Run:
-    """A sorted run. ``common`` is the prefix each string shares with the one before, ``tails`` the rest."""
+    """A sorted run. ``common`` is the prefix each string shares with the one before, ``tails`` the rest.
 
-    def __init__(self, common: np.ndarray, tails: bytes, owners: np.ndarray, places: np.ndarray, length: int) -> None:
-        self.common, self.tails, self.owners, self.places, self.length = common, tails, owners, places, length
+    ``owners`` and ``places`` say where a string is from; ``extra`` is what comes with each.
+    """
+
+    def __init__(self, common: np.ndarray, tails: bytes, owners: np.ndarray, places: np.ndarray, length: int, extra: Sequence[object]) -> None:
+        self.common, self.tails, self.owners, self.places, self.length, self.extra = common, tails, owners, places, length, extra
 
-    def __iter__(self) -> Iterator[tuple[bytes, int, int, int]]:
+    def __iter__(self) -> Iterator[list]:
+        """Heads of a merge: prefix shared with the string before, string, owner, place, extra."""
         string, at = b"", 0
-        for common, owner, place in zip(self.common.tolist(), self.owners.tolist(), self.places.tolist(), strict=True):
+        for common, owner, place, extra in zip(self.common.tolist(), self.owners.tolist(), self.places.tolist(), self.extra, strict=True):
             end = at + self.length - common
             string = string[:common] + self.tails[at:end]
             at = end
-            yield string, common, owner, place
+            yield [common, string, owner, place, extra, 0]
 
 
-def sorted_run(strings: np.ndarray, owners: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the distinct strings (rows of a byte matrix), their common prefixes, and the repeats.
+def sorted_run(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of equally long strings (rows of a byte matrix) and the prefix each shares with the one before.
 
-    Returns the order of first occurrences, the prefix each shares with the one before it, and owner
-    and place of every other occurrence. The input is in order of owner and place.
+    Equal strings keep their order, which should be that of owner and place.
     """
     length = strings.shape[1]
     order = np.argsort(np.ascontiguousarray(strings).view(f"S{length}").ravel(), kind="stable")
     rows = strings[order]
-    differs = np.ones((len(rows), length), bool)
-    np.not_equal(rows[1:], rows[:-1], out=differs[1:])
-    common = np.where(differs.any(axis=1), differs.argmax(axis=1), length)
-    common[:1] = 0
-    first = common < length
-    return order[first], common[first], owners[order[~first]], places[order[~first]]
+    common = np.zeros(len(rows), np.int64)
+    differs = rows[1:] != rows[:-1]
+    common[1:] = np.where(differs.any(axis=1), differs.argmax(axis=1), length)
+    return order, common
 
 
 def cut_run(strings: np.ndarray, order: np.ndarray, common: np.ndarray, borders: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, bytes]]:
@@ -45,7 +47,7 @@ def cut_run(strings: np.ndarray, order: np.ndarray, common: np.ndarray, borders:
     rows = strings[order]
     keys = np.ascontiguousarray(rows).view(f"S{length}").ravel()
     edges = [0, *np.searchsorted(keys, borders, "left").tolist(), len(order)]
-    for part, (start, end) in enumerate(zip(edges, edges[1:])):
+    for part, (start, end) in enumerate(itertools.pairwise(edges)):
         if start == end:
             continue
         shared = common[start:end].copy()
@@ -54,8 +56,8 @@ def cut_run(strings: np.ndarray, order: np.ndarray, common: np.ndarray, borders:
         yield part, order[start:end], shared, tails.tobytes()
 
 
-def merge(runs: list[Run]) -> Iterator[tuple[int, int, int]]:
-    """Owner, place and common prefix with the string before, of all strings of all runs in order.
+def merge(runs: list[Run]) -> Iterator[list]:
+    """The heads of all runs in order, each with the prefix that it shares with the one before.
 
     A loser tree over the heads of the runs. Each head knows the prefix that it shares with the last
     winner: of two heads the one that shares more is smaller, and only heads that share equally much
@@ -67,13 +69,13 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, int, int]]:
         width *= 2
     sources = [iter(run) for run in runs]
     length = runs[0].length if runs else 0
-    # A head is [common with the last winner, string, owner, place, source]; an ended run has common -1.
-    ended = [-1, b"", 0, 0, -1]
+    ended = [-1, b"", 0, 0, None, 0]  # an ended run shares less than any other
 
     def head(source: int) -> list:
-        for string, common, owner, place in sources[source]:
-            return [common, string, owner, place, source]
-        return ended
+        found = next(sources[source], ended)
+        if found is not ended:
+            found[5] = source
+        return found
 
     def smaller(a: list, b: list) -> tuple[list, list]:
         if a[0] != b[0]:
@@ -104,8 +106,8 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, int, int]]:
         level = above
     winner = level[0] if level else ended
     while winner[0] >= 0:
-        yield winner[2], winner[3], winner[0]
-        source = winner[4]
+        yield winner
+        source = winner[5]
         winner = head(source)
         at = (width + source) // 2
         while at:

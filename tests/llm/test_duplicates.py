@@ -162,19 +162,16 @@ def test_merging_runs_equals_sorting():
     for owner in range(7):
         strings = rng.integers(97, 100, (int(rng.integers(1, 60)), length), dtype=np.uint8)
         owners, places = np.full(len(strings), owner), np.arange(len(strings))
-        order, common, again, _ = sorted_run(strings, owners, places)
-        assert len(order) + len(again) == len(strings)
-        want += [(strings[i].tobytes(), owner, i) for i in order.tolist()]
+        order, common = sorted_run(strings)
+        want += [(strings[i].tobytes(), owner, i) for i in range(len(strings))]
         for part, mine, shared, tails in cut_run(strings, order, common, borders):
-            pieces.append((part, Run(shared, tails, owners[mine], places[mine], length)))
-    strings = {(o, p): s for s, o, p in want}
+            pieces.append((part, Run(shared, tails, owners[mine], places[mine], length, mine.tolist())))
     got = []
     for part in range(3):
         last = b""
-        for owner, place, common in merge([run for p, run in pieces if p == part]):
-            string = strings[owner, place]
+        for common, string, owner, place, extra, _ in merge([run for p, run in pieces if p == part]):
             known = next((i for i in range(length) if string[i : i + 1] != last[i : i + 1]), length)
-            assert common == known
+            assert common == known and extra == place
             got.append((string, owner, place))
             last = string
     assert got == sorted(want)
