@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,8 +20,8 @@ from metricloom.llm.support import as_bytes
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # White space other than the space and the line feed.
 RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-# Distinct pieces whose ids a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 250_000, 64
+# Distinct words whose ids a worker remembers, and the longest of them.
+REMEMBERED, LONGEST = 500_000, 64
 
 
 def _byte_of() -> dict[str, int]:
@@ -34,8 +35,8 @@ class TextEncoder:
     """Ids of texts. Strings of special tokens are ordinary text.
 
     A single space between two other characters always begins a new piece, so texts are cut there
-    and the ids of each piece are looked up; only new pieces, and texts with unusual white space,
-    are encoded.
+    and the ids of each word behind a space are looked up; only new words, and texts with unusual
+    white space, are encoded.
     """
 
     def __init__(self, path: str) -> None:
@@ -45,27 +46,42 @@ class TextEncoder:
         special = {t["content"] for t in model.get("added_tokens", [])}
         ranks = {bytes(byte_of[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in special}
         self.encoding = tiktoken.Encoding("corpus", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        # For what is one piece of the split already, such as a space and letters.
+        self.piece_encoding = tiktoken.Encoding("piece", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.kind = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")
         self.remembered: dict[str, bytes] = {}
+        self.stops = {stop: self._ids(stop) for stop in ".,"}
 
-    def _ids(self, piece: str) -> bytes:
-        ids = np.array(self.encoding.encode_ordinary(piece), self.kind).tobytes()
-        if len(piece) <= LONGEST:
-            if len(self.remembered) >= REMEMBERED:
-                self.remembered.clear()
-            self.remembered[piece] = ids
-        return ids
+    def _ids(self, text: str) -> bytes:
+        return array(self.kind.char, self.encoding.encode_ordinary(text)).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and a word; letters are one piece, and a full stop or comma another."""
+        stop = self.stops.get(word[-1:], b"")
+        stem = word[:-1] if stop else word
+        if stem.isalpha():
+            ids = self.remembered.get(stem) if stop else None
+            return (ids or array(self.kind.char, self.piece_encoding.encode_ordinary(" " + stem)).tobytes()) + stop
+        return self._ids(" " + word)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian numbers of the encoder's width."""
         if "  " in text or " \n" in text or "\n " in text or RARE_SPACE.search(text):
-            return np.array(self.encoding.encode_ordinary(text), self.kind).tobytes()
-        first, *rest = text.split(" ")
-        pieces = [first, *[" " + piece for piece in rest]] if first else [" " + piece for piece in rest]
-        known = list(map(self.remembered.get, pieces))
-        if None in known:
-            known = [self._ids(piece) if ids is None else ids for ids, piece in zip(known, pieces, strict=True)]
-        return b"".join(known)
+            return self._ids(text)
+        first, *words = text.split(" ")
+        known = list(map(self.remembered.get, words))
+        at = -1
+        try:
+            while True:
+                at = known.index(None, at + 1)
+                word = words[at]
+                known[at] = ids = self._word(word)
+                if len(word) <= LONGEST:
+                    if len(self.remembered) >= REMEMBERED:
+                        self.remembered.clear()
+                    self.remembered[word] = ids
+        except ValueError:  # no further word is unknown
+            return b"".join([self._ids(first), *known])
 
 
 @lru_cache(maxsize=2)
