@@ -35,9 +35,14 @@ HEADLINE = (
     "quality_foreign_key_audit",
     "quality_event_order",
     "retrieval_search_top5",
+    "retrieval_search_with_dependencies_top3",
     "text_secret_scan",
     "text_exact_duplicates",
+    "text_dice_pairs_plain",
+    "text_similarity_clusters_plain",
     "evaluate_result_diff_multiset",
+    "evaluate_score_cases",
+    "evaluate_paired_bootstrap",
     "evaluate_slice_summary",
     "evaluate_operational_summary",
     "evaluate_usage_ledger",

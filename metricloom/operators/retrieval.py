@@ -82,26 +82,31 @@ def idf(index: TermIndex, vocabulary: DataFrame | None = None) -> DataFrame:
     )
 
 
-def _query_terms(index: TermIndex, queries: DataFrame, query_id: str, text: str) -> DataFrame:
+def _evidence(index: TermIndex, queries: DataFrame, query_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Postings of the asked terms, by document, and the weighed terms of each query.
+
+    The corpus is read once: of each document only the terms that some query asks for are kept, as a
+    written table from which document frequencies and scores are both taken.
+    """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(lexical_terms(text)).alias("term"))
-    vocabulary = asked.select("term").distinct()
-    weighed = asked.join(idf(index, vocabulary), "term").select(
-        "query_id", "term", F.round("idf", 12).cast(SCORE).alias("idf")
-    )
-    # Kept as a written table, whose size Spark knows when it plans the joins.
-    return cut_lineage(weighed)
+    found = cut_lineage(postings(index).join(asked.select("term").distinct(), "term", "left_semi").select("doc_id", "field", "term"))
+    total = index.documents.agg(F.count(F.lit(1)).alias("n")).scalar()
+    counts = found.select("doc_id", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
+    value = F.log((total + 1).cast("double") / (F.col("documents") + 1).cast("double")) + 1.0
+    weighed = asked.join(counts, "term").select("query_id", "term", F.round(value, 12).cast(SCORE).alias("idf"))
+    return found, weighed
 
 
-def _matches(index: TermIndex, asked: DataFrame, keep: DataFrame | None) -> DataFrame:
-    documents = index.documents
+def _matches(found: DataFrame, weighed: DataFrame, keep: DataFrame | None) -> DataFrame:
+    """Weighed matches, with all terms of a document in one task."""
     if keep is not None:
-        documents = documents.join(keep.select("doc_id"), "doc_id", "left_semi")
+        found = found.join(keep.select("doc_id"), "doc_id", "left_semi")
     weight = F.lit(None).cast("int")
     for field, value in FIELD_WEIGHTS.items():
         weight = F.when(F.col("field") == field, F.lit(value)).otherwise(weight)
     return (
-        postings(TermIndex(documents, index.fields))
-        .join(asked, "term")
+        found.repartition("doc_id")
+        .join(weighed, "term")
         .select("query_id", "doc_id", "field", "term", (weight * F.col("idf")).cast(SCORE).alias("weight"))
     )
 
@@ -116,16 +121,14 @@ def search(
 ) -> DataFrame:
     """Top ``k`` documents per query by summed field weight times IDF of shared terms.
 
-    ``keep`` lists the document ids a filter admits; IDF still counts the whole corpus. Spark
-    broadcasts the query side if its bytes allow it, so postings of frequent words stay where they
-    are; otherwise the join shuffles by term and AQE splits the frequent ones. All
-    terms of a document sit in one task, so the partial sums are already whole scores and the
+    ``keep`` lists the document ids a filter admits; IDF still counts the whole corpus. Only the
+    postings of asked terms are dealt out by document, so partial sums are whole scores and the
     ranking limit drops most of them before the shuffle to queries.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    asked = _query_terms(index, queries, query_id, text)
-    scores = _matches(index, asked, keep).groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score"))
+    found, weighed = _evidence(index, queries, query_id, text)
+    scores = _matches(found, weighed, keep).groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score"))
     order = (F.col("score").desc(), F.col("doc_id").asc())
     return first_n_per_group(scores.filter(F.col("score") > 0), ("query_id",), order, k, "rank")
 
@@ -137,9 +140,9 @@ def term_contributions(
 
     Only documents that are hits are matched again; a map is bounded by its query's terms.
     """
-    asked = _query_terms(index, queries, query_id, text)
+    found, weighed = _evidence(index, queries, query_id, text)
     wanted = hits.select("query_id", "doc_id", "rank")
-    evidence = _matches(index, asked, wanted.select("doc_id").distinct()).join(wanted, ["query_id", "doc_id"])
+    evidence = _matches(found, weighed, wanted.select("doc_id").distinct()).join(wanted, ["query_id", "doc_id"])
     return evidence.groupBy("query_id", "doc_id", "rank", "field").agg(
         F.map_from_entries(
             F.array_sort(F.collect_list(F.struct("term", F.col("weight").cast("double").alias("weight"))))

@@ -1,5 +1,7 @@
 """Registered queries against their check SQL on the smallest tables, and the plans they get."""
 
+import re
+
 import pytest
 
 from registry import all_oracles, all_queries
@@ -25,6 +27,10 @@ CHECKED = (
     "evaluate_paired_bootstrap",
     "evaluate_usage_ledger",
     "stream_usage_per_day",
+    "null_key_sequence_audit",
+    "null_key_first_seen",
+    "load_publish_tables",
+    "evaluate_representatives_of_versions",
 )
 
 
@@ -66,3 +72,7 @@ def test_status_and_period_reach_the_scan(spark):
     shown = frame._sc._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "formatted")
     assert "EqualTo(o_orderstatus,F)" in shown and "LessThan(o_orderdate" in shown
     assert "struct<l_orderkey:bigint,l_extendedprice:double>" in shown
+
+
+def test_search_scores_are_whole_before_they_move(spark):
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, doc_id", plan(spark, "retrieval_search_top5"))
