@@ -21,6 +21,8 @@ BORDER_SAMPLE = 4_000
 
 def _span(least: int) -> tuple[int, int]:
     """Grams in a window, a power of two, and the bytes of a gram."""
+    if not 0 < least < 1 << 15:
+        raise ValueError("windows of 1 to 32767 bytes")
     span = 1 << max(0, (least - 1).bit_length() - 1)
     return span, least - span + 1
 
@@ -63,7 +65,9 @@ def _anchors(data: np.ndarray, edges: np.ndarray, least: int) -> tuple[np.ndarra
     return owner, first - edges[owner], count, at - edges[owner], hashes(at, at + gram), mix(around + (at - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-_RECORD = "gram long, around long, row long, first int, count int, anchor int, decided boolean"
+# ``place`` has the first window and, below 32 bits, the bytes from there to the anchor, the number of
+# windows and a 0; or, if the run is decided, the number of windows and a 1.
+_RECORD = "gram long, around long, row long, place long"
 _SPANS = "row long, first int, count int, anchor int, decided boolean"
 
 
@@ -77,35 +81,43 @@ def _records(rows: DataFrame, least: int) -> DataFrame:
                 owner, first, count, anchor, gram, around = _anchors(data, edges, least)
                 parts.append((gram, around, rows.column(0).to_numpy()[owner], first, count, anchor))
             gram, around, row, first, count, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((np.arange(len(gram)), around, gram))
+            place = first << 32 | (anchor - first) << 16 | count << 1
+            order = np.lexsort((place, row, around, gram))  # a batch need not be in order
             g, a = gram[order], around[order]
             again = np.zeros(len(gram), bool)
             again[order[1:]] = (g[1:] == g[:-1]) & (a[1:] == a[:-1])
-            # A decided run meets no other; it is dealt by its place.
-            gram = np.where(again, mix(row.astype(np.uint64) + first.astype(np.uint64)), gram)
+            # Decided runs that follow each other are one; it meets no other and is dealt by its place.
+            done = np.flatnonzero(again)
+            follows = np.zeros(len(done), bool)
+            follows[1:] = (row[done][1:] == row[done][:-1]) & (first[done][1:] == (first + count)[done][:-1])
+            heads = np.flatnonzero(~follows)
+            sums = np.add.reduceat(count[done], heads) if len(done) else count[done]
+            row, first, some = np.append(row[~again], row[done][heads]), first[done][heads], len(gram) - len(done)
+            place = np.append(place[~again], first << 32 | sums << 1 | 1)
+            gram = np.append(gram[~again], mix(row[some:].astype(np.uint64) + first.astype(np.uint64)))
+            around = np.append(around[~again], np.zeros(len(heads), np.uint64))
             for at in range(0, len(gram), 20_000):
                 cut = slice(at, at + 20_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram[cut].view(np.int64)), pa.array(around[cut].view(np.int64)), pa.array(row[cut]), *(pa.array(x[cut].astype(np.int32)) for x in (first, count, anchor)), pa.array(again[cut])],
-                    [f.split()[0] for f in _RECORD.split(", ")],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(x[cut].view(np.int64)) for x in (gram, around, row, place)], [f.split()[0] for f in _RECORD.split(", ")])
 
     return rows.select("row", "text").mapInArrow(run, _RECORD)
 
 
 def _resolved(records: DataFrame) -> DataFrame:
     """Runs that are copies of an earlier one (decided), and those that share an anchor with a different one."""
-    ordered = records.repartition(partitions(records.sparkSession), "gram").sortWithinPartitions("gram", "around", "row", "first")
+    ordered = records.repartition(partitions(records.sparkSession), "gram").sortWithinPartitions("gram", "around", "row", "place")
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None  # the first run of the last gram, until another one is seen
         last_gram = last_around = None
         for batch in batches:
-            decided = batch.column(6).to_numpy(zero_copy_only=False)
-            columns = [c.to_numpy() for c in batch.columns[:6]]
-            out = [[c[decided] for c in columns[2:]]]
+            gram, around, row, place = (c.to_numpy() for c in batch.columns)
+            decided = place & 1 == 1
+            first = place >> 32
+            out = [[row[decided], first[decided], place[decided] >> 1 & 0x7FFFFFFF, first[decided]]]
             flags = [np.ones(int(decided.sum()), bool)]
-            gram, around, *rest = (c[~decided] for c in columns)
+            gram, around, row, place, first = (x[~decided] for x in (gram, around, row, place, first))
+            rest = [row, first, place >> 1 & 0x7FFF, first + (place >> 16 & 0xFFFF)]
             if len(gram):
                 same_gram = np.empty(len(gram), bool)
                 same_gram[1:] = gram[1:] == gram[:-1]
@@ -132,8 +144,8 @@ def _resolved(records: DataFrame) -> DataFrame:
                     if not mixed[group[-1]]:
                         held = [c[start : start + 1].copy() for c in rest]
                 last_gram, last_around = gram[-1], around[-1]
-            found = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([*map(pa.array, found), pa.array(np.concatenate(flags))], ["row", "first", "count", "anchor", "decided"])
+            row, *found = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(row), *(pa.array(x.astype(np.int32)) for x in found), pa.array(np.concatenate(flags))], ["row", "first", "count", "anchor", "decided"])
 
     return ordered.mapInArrow(resolve, _SPANS)
 
