@@ -281,9 +281,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The row with the smallest doc_id of each group of near duplicates, with the columns of ``docs``."""
-    rows = staged(docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
-    groups = near_duplicate_groups(rows, percent)
+    rows = staged(docs.select(F.struct(*docs.columns).alias("whole")).withColumn("row", F.monotonically_increasing_id()))
+    groups = near_duplicate_groups(rows.select("row", "whole.text"), percent)
     # Null ids come last; of repeated ids the first row stays.
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    first = rows.select("row", "doc_id").join(groups, "row").groupBy("group").agg(F.min_by("row", order).alias("row")).select("row")
+    first = rows.select("row", "whole.doc_id").join(groups, "row").groupBy("group").agg(F.min_by("row", order).alias("row")).select("row")
     return rows.join(first, "row").select("whole.*")
