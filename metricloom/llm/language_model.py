@@ -18,6 +18,8 @@ DEPTH = 5
 SHARED = 3
 # Bytes of text that ask for their words and grams together.
 GROUP_BYTES = 32 << 20
+# Bytes that are looked at at once, and slices whose counts are kept apart; both only bound memory.
+SLICE, MERGED = 1 << 19, 8
 WORD, GRAM = 0, 1
 SMOOTHING = 0.1
 
@@ -28,9 +30,8 @@ def _asked(rows: DataFrame, depth: int) -> DataFrame:
     def emit(group: int, kind: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         if not parts:
             return
-        keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        counts = np.bincount(inverse, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
-        keys = keys.view(np.int64)
+        _together(parts, 1)
+        keys, counts = parts[0][0].view(np.int64), parts[0][1].astype(np.int64)
         for at in range(0, len(keys), 50_000):
             k, c = keys[at : at + 50_000], counts[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), group)), pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(c)], ["g", "kind", "key", "n"])
@@ -38,7 +39,7 @@ def _asked(rows: DataFrame, depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, words, found = None, [], []
         for batch in batches:
-            for part, data, edges in byte_slices(batch):
+            for part, data, edges in byte_slices(batch, limit=SLICE):
                 groups, trained = part.column(0).to_numpy(), ~part.column(1).to_numpy(zero_copy_only=False)
                 for start, end in zip(*_stretches(groups), strict=True):
                     if groups[start] != group:
@@ -53,6 +54,8 @@ def _asked(rows: DataFrame, depth: int) -> DataFrame:
                         words.append(_counted(RangeHash(mine, 0, LOWER)(begin, stop), np.repeat(trained[start:end], np.diff(first))))
                     keys, places = grams(LOWER[mine], own, depth)
                     found.append(_counted(keys, np.repeat(trained[start:end], np.diff(places))))
+                    _together(words, MERGED)
+                    _together(found, MERGED)
         if group is not None:
             yield from emit(group, WORD, words)
             yield from emit(group, GRAM, found)
@@ -60,6 +63,16 @@ def _asked(rows: DataFrame, depth: int) -> DataFrame:
     return rows.select("g", "held_out", "text").mapInArrow(run, "g long, kind int, key long, n long")
 
 
+def _together(parts: list[tuple[np.ndarray, np.ndarray]], most: int) -> None:
+    """Make one of the counted keys of several slices, once there are more than ``most`` of them."""
+    if len(parts) > most:
+        keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        parts[:] = [(keys[first], np.add.reduceat(counts, first))]
+
+
 def _stretches(values: np.ndarray) -> tuple[list[int], list[int]]:
     turns = np.flatnonzero(values[1:] != values[:-1]) + 1
     return [0, *turns.tolist()], [*turns.tolist(), len(values)]
@@ -67,7 +80,7 @@ def _stretches(values: np.ndarray) -> tuple[list[int], list[int]]:
 
 def _counted(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     found, inverse = np.unique(keys, return_inverse=True)
-    return found, np.bincount(inverse, trained, len(found))
+    return found, np.bincount(inverse, trained, len(found)).astype(np.int32)
 
 
 def _node_ids(keys: np.ndarray, bit: int) -> np.ndarray:
@@ -234,8 +247,8 @@ def scored_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             order = np.argsort(unsigned)
             keys[k], values[k] = unsigned[order], value[mine][order]
         out = []
-        for batch in texts.combine_chunks().to_batches():
-            for part, data, edges in byte_slices(batch):
+        for batch in texts.to_batches():
+            for part, data, edges in byte_slices(batch, limit=SLICE):
                 begin, stop, first = word_spans(data, edges)
                 count = np.diff(first)
                 owner = np.repeat(np.arange(len(count)), count)
@@ -246,6 +259,8 @@ def scored_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 distinct, inverse = np.unique(found, return_inverse=True)
                 score = np.add.reduceat(values[GRAM][np.searchsorted(keys[GRAM], distinct)][inverse], places[:-1]) / np.log(10)
                 out.append(pa.table([part.column(3), part.column(1), pa.array(count + 1), pa.array(heard), pa.array(np.full(len(count), n)), pa.array(base), pa.array(score)], _NAMES))
+        del keys, values, kind, key, value
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in _KINDS], _NAMES)
 
     return rows.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
