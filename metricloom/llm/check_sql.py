@@ -26,9 +26,9 @@ links AS (
   SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
 both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reached AS (
-  SELECT doc_id, doc_id AS at FROM documents
-  UNION SELECT r.doc_id, l.b FROM reached r JOIN both_ways l ON l.a = r.at),
-least AS (SELECT doc_id, min(at) AS component_id FROM reached GROUP BY 1)
+  SELECT doc_id, doc_id AS node FROM documents
+  UNION SELECT r.doc_id, l.b FROM reached r JOIN both_ways l ON l.a = r.node),
+least AS (SELECT doc_id, min(node) AS component_id FROM reached GROUP BY 1)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)"""
 
