@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from metricloom.llm.support import ordered_offsets, staged
 from metricloom.llm.tokens import encoded
 
+# Parts into which the rows of a source are dealt where they meet its quantum.
+PARTS = 64
+
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary"
 
 
@@ -38,8 +41,10 @@ def mixture_order(documents: DataFrame, window: int, piece: int, weights: DataFr
         shares = shares.withColumn("weight", F.greatest(F.col("weight"), F.lit(1e-12)))
     whole = shares.agg(F.sum("weight")).first()[0] or 1.0
     queues = starts.join(shares, "of_source").select("of_source", "queue_start", (window * F.col("weight") / whole).alias("quantum"))
+    # A source can hold most documents, so each queue's two numbers are repeated and its rows dealt out.
+    queues = queues.withColumn("of_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
     pieces = (
-        queued.join(queues, F.col("source") == F.col("of_source"))
+        queued.join(queues, (F.col("source") == F.col("of_source")) & (F.pmod("row", F.lit(PARTS)) == F.col("of_part")))
         .withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tokens") - 1, F.lit(piece).cast("long"))))
         .withColumn("length", F.least(F.lit(piece).cast("long"), F.col("n_tokens") - F.col("start")))
         .withColumn("queued", F.col("before") - F.col("queue_start") + F.col("start"))
