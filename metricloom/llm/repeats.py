@@ -15,8 +15,13 @@ from metricloom.llm.support import RangeHash, as_bytes, byte_slices, mix, partit
 
 # Suffixes of one sorted run: with 100 bytes before and after each anchor, about 20 MB in a task.
 RUN = 100_000
-# Strings from which the borders between the parts of the sort are taken; they only balance it.
-BORDER_SAMPLE = 4_000
+# Suffixes of one part of the merge, about; the number of parts follows from it.
+PART = 100_000
+# Strings for each part from which the borders between the parts are taken; they only balance it.
+BORDER_SAMPLE = 300
+# One text of so many is looked at for grams with many surroundings: so many in the sample are many.
+HOT_SAMPLE = 64
+HOT = 64
 
 
 def _span(least: int) -> tuple[int, int]:
@@ -27,11 +32,12 @@ def _span(least: int) -> tuple[int, int]:
     return span, least - span + 1
 
 
-def _anchors(data: np.ndarray, edges: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+def _anchors(data: np.ndarray, edges: np.ndarray, least: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
     """Windows of ``least`` bytes, in runs that share an anchor: text, first, count, anchor, two hashes.
 
     The anchor of a window is its leftmost smallest gram, so equal windows have it at the same
-    place. ``gram`` is its hash; ``around`` that of all bytes of the run's windows.
+    place. ``gram`` is its hash; ``around`` that of all bytes of the run's windows. Windows whose gram
+    is in ``hot`` are on their own: they are their own anchor and gram, and their count is 0.
     """
     span, gram = _span(least)
     n = len(data)
@@ -60,32 +66,60 @@ def _anchors(data: np.ndarray, edges: np.ndarray, least: int) -> tuple[np.ndarra
     first = windows[new]
     count = np.diff(np.append(np.flatnonzero(new), len(windows)))
     at = anchor[new]
-    around = RangeHash(data, 1)(first, first + count - 1 + least)
+    key = hashes(at, at + gram)
+    end = first + count - 1 + least
+    apart = np.isin(key, hot)
+    if apart.any():
+        many = count[apart]
+        single = np.repeat(first[apart] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        first, at, end = (np.append(x[~apart], y) for x, y in ((first, single), (at, single), (end, single + least)))
+        count = np.append(count[~apart], np.zeros(len(single), np.int64))
+        key = np.append(key[~apart], hashes(single, single + least))
+    around = RangeHash(data, 1)(first, end)
     owner = text[first]
-    return owner, first - edges[owner], count, at - edges[owner], hashes(at, at + gram), mix(around + (at - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return owner, first - edges[owner], count, at - edges[owner], key, mix(around + (at - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _same_windows(data: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Whether the windows at ``a`` and ``b`` have equal bytes."""
+    if not len(a):
+        return np.zeros(0, bool)
+    windows = np.lib.stride_tricks.sliding_window_view(data, least)
+    return np.concatenate([(windows[a[i : i + 50_000]] == windows[b[i : i + 50_000]]).all(axis=1) for i in range(0, len(a), 50_000)])
 
 
 # ``place`` has the first window and, below 32 bits, the bytes from there to the anchor, the number of
-# windows and a 0; or, if the run is decided, the number of windows and a 1.
+# windows (0 for a window on its own) and a 0; or, if the run is decided, the number of windows and a 1.
 _RECORD = "gram long, around long, row long, place long"
 _SPANS = "row long, first int, count int, anchor int, decided boolean"
 
 
-def _records(rows: DataFrame, least: int) -> DataFrame:
-    """Anchor runs of all texts. Copies of a run in one batch are decided at once: all but the first go."""
+def _records(rows: DataFrame, least: int, hot: np.ndarray) -> DataFrame:
+    """Anchor runs of all texts. Copies of a run in one batch are decided at once: all but the first go.
+
+    Copies of a window on its own are compared by their bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
+            parts, bytes_of, total = [], [], 0
             for rows, data, edges in byte_slices(batch):
-                owner, first, count, anchor, gram, around = _anchors(data, edges, least)
-                parts.append((gram, around, rows.column(0).to_numpy()[owner], first, count, anchor))
-            gram, around, row, first, count, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
+                owner, first, count, anchor, gram, around = _anchors(data, edges, least, hot)
+                parts.append((gram, around, rows.column(0).to_numpy()[owner], first, count, anchor, total + edges[owner] + first))
+                bytes_of.append(data)
+                total += len(data)
+            gram, around, row, first, count, anchor, start = (np.concatenate(x) for x in zip(*parts, strict=True))
             place = first << 32 | (anchor - first) << 16 | count << 1
             order = np.lexsort((place, row, around, gram))  # a batch need not be in order
             g, a = gram[order], around[order]
             again = np.zeros(len(gram), bool)
             again[order[1:]] = (g[1:] == g[:-1]) & (a[1:] == a[:-1])
+            if len(hot):
+                head = np.empty(len(gram), np.int64)
+                head[order] = order[np.maximum.accumulate(np.where(again[order], 0, np.arange(len(order))))]
+                alone = np.flatnonzero(again & (count == 0))
+                again[alone] = _same_windows(np.concatenate(bytes_of), start[alone], start[head[alone]], least)
+                count = np.where(again, np.maximum(count, 1), count)
             # Decided runs that follow each other are one; it meets no other and is dealt by its place.
             done = np.flatnonzero(again)
             follows = np.zeros(len(done), bool)
@@ -103,8 +137,23 @@ def _records(rows: DataFrame, least: int) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, _RECORD)
 
 
+def _hot_grams(rows: DataFrame, least: int) -> np.ndarray:
+    """Hashes of the grams that stand in many different surroundings, from a sample of the texts.
+
+    All runs of a gram meet in one task, so these are taken apart into windows. The sample grows with
+    the table: what it overlooks stands in about HOT * HOT_SAMPLE surroundings, or in few texts.
+    """
+    some = rows.where(F.pmod(F.xxhash64("row"), F.lit(HOT_SAMPLE)) == 0)
+    runs = _records(some, least, np.zeros(0, np.uint64)).where("place & 1 = 0").select("gram", "around").distinct()
+    found = runs.groupBy("gram").count().where(F.col("count") >= HOT).select("gram").toArrow()
+    return np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
 def _resolved(records: DataFrame) -> DataFrame:
-    """Runs that are copies of an earlier one (decided), and those that share an anchor with a different one."""
+    """Runs that are copies of an earlier one (decided), and those that share an anchor with a different one.
+
+    Windows on their own that are met again are never decided here: their bytes are compared later.
+    """
     ordered = records.repartition(partitions(records.sparkSession), "gram").sortWithinPartitions("gram", "around", "row", "place")
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,6 +174,7 @@ def _resolved(records: DataFrame) -> DataFrame:
                 copy = same_gram.copy()
                 copy[1:] &= around[1:] == around[:-1]
                 copy[0] = same_gram[0] and around[0] == last_around
+                copy &= rest[2] > 0
                 out.append([c[copy] for c in rest])
                 flags.append(np.ones(int(copy.sum()), bool))
                 other = same_gram & ~copy  # not the first reading of its gram
@@ -150,12 +200,12 @@ def _resolved(records: DataFrame) -> DataFrame:
     return ordered.mapInArrow(resolve, _SPANS)
 
 
-def _borders(rows: DataFrame, least: int, parts: int) -> np.ndarray:
-    """Strings that cut the sorted order into ``parts`` of about equal size, never between equal grams."""
-    total = rows.count()
-    at = (F.rand(7) * F.greatest(F.octet_length("text") - least, F.lit(1))).cast("int") + 1
-    some = rows.where("text IS NOT NULL").sample(min(1.0, BORDER_SAMPLE / max(1, total)), 7).select(F.substring("text", at, 24).alias("s")).limit(2 * BORDER_SAMPLE)
-    strings = sorted(bytes(r["s"])[: _span(least)[1]] for r in some.collect())
+def _borders(rows: DataFrame, unsure: DataFrame, least: int, span: int, parts: int, total: int) -> np.ndarray:
+    """Strings that cut the order of the suffixes into ``parts`` of about equal size, never between equal grams."""
+    gram = least - span + 1
+    some = unsure.sample(min(1.0, BORDER_SAMPLE * parts / max(1, total)), 7).select("row", "anchor")
+    strings = rows.join(F.broadcast(some), "row").select(F.expr(f"substring(text, anchor + 1, {gram})").alias("s"))
+    strings = sorted(strings.toArrow().column(0).to_pylist())
     chosen = [strings[len(strings) * k // parts] for k in range(1, parts)] if strings else []
     return np.array(sorted(set(chosen)), f"S{least}")
 
@@ -163,16 +213,18 @@ def _borders(rows: DataFrame, least: int, parts: int) -> np.ndarray:
 _BLOCK = "part int, common binary, tails binary, owners binary, anchors binary, lefts binary, firsts binary, counts binary"
 
 
-def _runs(texts: DataFrame, least: int, borders: np.ndarray) -> DataFrame:
+def _runs(texts: DataFrame, least: int, borders: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Front-coded parts of sorted runs of the suffixes at anchors, with the bytes before each.
 
-    ``texts`` has row, text and the window runs ``firsts``, ``counts`` and ``anchors``.
+    ``texts`` has row, text and the window runs ``firsts``, ``counts`` and ``anchors``. The parts of
+    windows on their own, which have the second borders, are numbered after the others.
     """
-    before = _span(least)[0] - 1
+    befores = _span(least)[0] - 1, 0
     kinds = [pa.int32()] + [pa.binary()] * 7
     names = [f.split()[0] for f in _BLOCK.split(", ")]
 
-    def sorted_parts(rights: list, lefts: list, facts: list) -> pa.RecordBatch:
+    def sorted_parts(apart: int, rights: list, lefts: list, facts: list) -> pa.RecordBatch:
+        before = befores[apart]
         matrix = np.frombuffer(b"".join(rights), np.uint8).reshape(-1, least)
         left = np.frombuffer(b"".join(lefts), np.uint8).reshape(-1, before) if before else np.zeros((len(matrix), 0), np.uint8)
         owner, anchor, first, count = np.array(facts, np.int64).reshape(-1, 4).T
@@ -180,28 +232,30 @@ def _runs(texts: DataFrame, least: int, borders: np.ndarray) -> DataFrame:
         matrix, left, owner, anchor, first, count = (x[ordered] for x in (matrix, left, owner, anchor, first, count))
         order, common = sorted_run(matrix)
         out = []
-        for part, mine, shared, tails in cut_run(matrix, order, common, borders):
+        for part, mine, shared, tails in cut_run(matrix, order, common, borders[apart]):
             wide = (x[mine].astype(np.int32).tobytes() for x in (first, count))
-            out.append([part, shared.astype(np.uint32).tobytes(), tails, owner[mine].tobytes(), anchor[mine].astype(np.int32).tobytes(), left[mine].tobytes(), *wide])
+            out.append([part + apart * (len(borders[0]) + 1), shared.astype(np.uint32).tobytes(), tails, owner[mine].tobytes(), anchor[mine].astype(np.int32).tobytes(), left[mine].tobytes(), *wide])
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rights: list[bytes] = []
-        lefts: list[bytes] = []
-        facts: list[tuple[int, int, int, int]] = []
+        held: list[tuple[list, list, list]] = [([], [], []), ([], [], [])]
         for batch in batches:
             for row, text, *runs in zip(batch.column(0).to_pylist(), batch.column(1), *(c.to_pylist() for c in batch.columns[2:]), strict=True):
                 # Past its ends a text goes on with zeros, which no window of it reaches.
-                raw = bytes(before) + text.as_buffer().to_pybytes() + bytes(least)
+                raw = bytes(befores[0]) + text.as_buffer().to_pybytes() + bytes(least)
                 for first, count, anchor in zip(*runs, strict=True):
-                    lefts.append(raw[anchor : anchor + before])
-                    rights.append(raw[anchor + before : anchor + before + least])
-                    facts.append((row, anchor, first, count))
+                    apart = int(count == 0)
+                    rights, lefts, facts = held[apart]
+                    at = anchor + befores[0]
+                    lefts.append(raw[at - befores[apart] : at])
+                    rights.append(raw[at : at + least])
+                    facts.append((row, anchor, first, max(1, count)))
                     if len(facts) >= RUN:
-                        yield sorted_parts(rights, lefts, facts)
-                        rights, lefts, facts = [], [], []
-        if facts:
-            yield sorted_parts(rights, lefts, facts)
+                        yield sorted_parts(apart, rights, lefts, facts)
+                        held[apart] = [], [], []
+        for apart, lists in enumerate(held):
+            if lists[0]:
+                yield sorted_parts(apart, *lists)
 
     return texts.mapInArrow(run, _BLOCK)
 
@@ -256,12 +310,15 @@ def _group_repeats(group: list[list], least: int, before: int) -> Iterator[tuple
             yield owner, anchor - high, high - low + 1
 
 
-def _merged(blocks: DataFrame, least: int) -> DataFrame:
-    """Spans of windows that an earlier anchor has too, from the merged runs of each part."""
-    span, gram = _span(least)
-    before = span - 1
+def _merged(blocks: DataFrame, least: int, parts: int, apart: int) -> DataFrame:
+    """Spans of windows that an earlier anchor has too, from the merged runs of each part.
+
+    Parts from number ``apart`` on have windows on their own.
+    """
 
     def join(table: pa.Table) -> pa.Table:
+        span = 1 if table.column(0)[0].as_py() >= apart else _span(least)[0]
+        before, gram = span - 1, least - span + 1
         runs = []
         for common, tails, owners, anchors, lefts, firsts, counts in zip(*(table.column(i).to_pylist() for i in range(1, 8)), strict=True):
             first, count = np.frombuffer(firsts, np.int32).tolist(), np.frombuffer(counts, np.int32).tolist()
@@ -280,7 +337,7 @@ def _merged(blocks: DataFrame, least: int) -> DataFrame:
         row, first, count = np.array(found, np.int64).reshape(-1, 3).T
         return pa.table([pa.array(row.copy()), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], ["row", "first", "count"])
 
-    return blocks.groupBy("part").applyInArrow(join, "row long, first int, count int")
+    return blocks.repartition(parts, "part").groupBy("part").applyInArrow(join, "row long, first int, count int")
 
 
 def repeated_spans(rows: DataFrame, least: int = 100) -> DataFrame:
@@ -291,13 +348,22 @@ def repeated_spans(rows: DataFrame, least: int = 100) -> DataFrame:
     met once has no repeats, and runs of windows whose bytes are all equal are decided together. The
     others are sorted by the suffixes at their anchors: sorted runs are front-coded, dealt out by
     range and merged, and the common prefixes in the merged order, with the bytes before the
-    anchors, tell which windows are repeats.
+    anchors, tell which windows are repeats. Grams with very many surroundings would meet in one task:
+    their windows are met one by one, by the fingerprint of the whole window, and those that are met
+    again are sorted by their bytes.
     """
-    found = staged(_resolved(_records(rows, least)))
-    unsure = found.where("not decided").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "count", "anchor"))).alias("runs"))
-    texts = rows.join(unsure, "row").select("row", "text", "runs.first", "runs.count", "runs.anchor")
-    blocks = _runs(texts, least, _borders(rows, least, partitions(rows.sparkSession)))
-    spans = found.where("decided").select("row", "first", "count").unionByName(_merged(blocks, least))
+    found = staged(_resolved(_records(rows, least, _hot_grams(rows, least))))
+    unsure = found.where("not decided")
+    borders, parts = [], 0
+    for span, kind in ((_span(least)[0], "count > 0"), (1, "count = 0")):
+        some = unsure.where(kind)
+        total = some.count()
+        wanted = max(partitions(rows.sparkSession), -(-total // PART))
+        borders.append(_borders(rows, some, least, span, wanted, total))
+        parts += len(borders[-1]) + 1
+    runs = unsure.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "count", "anchor"))).alias("runs"))
+    texts = rows.join(runs, "row").select("row", "text", "runs.first", "runs.count", "runs.anchor")
+    spans = found.where("decided").select("row", "first", "count").unionByName(_merged(_runs(texts, least, tuple(borders)), least, parts, len(borders[0]) + 1))
     return staged(spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "count"))).alias("runs")).select("row", F.col("runs.first").alias("firsts"), F.col("runs.count").alias("counts")))
 
 

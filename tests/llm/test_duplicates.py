@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from metricloom.llm import repeats
 from metricloom.llm.components import connected
 from metricloom.llm.near_duplicates import Signatures, keep_one, near_duplicates
 from metricloom.llm.repeats import repeat_report, without_repeats
@@ -145,6 +146,26 @@ def test_repeats_at_shared_passages(spark, least):
     assert sum(n for _, n, _, _ in got.values()) > 1000
 
 
+def test_a_passage_of_all_texts_is_spread_over_the_parts(spark, monkeypatch):
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = letters(260)
+    texts = [letters(rng.randint(60, 120)) + passage + letters(rng.randint(60, 120)) for _ in range(4000)]
+    texts += [texts[0], passage[:130] + letters(50), letters(80) + passage[130:]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    merged, sizes = repeats._merged, []
+
+    def watched(blocks, *args):
+        sizes.extend(r["n"] for r in blocks.groupBy("part").agg(F.expr("sum(octet_length(owners)) div 8").alias("n")).collect())
+        return merged(blocks, *args)
+
+    monkeypatch.setattr(repeats, "_merged", watched)
+    monkeypatch.setattr(repeats, "HOT", 16, raising=False)  # a small table has few texts in the sample
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeat_report(frame).collect()}
+    assert got == dict(enumerate(brute_repeats(texts)))
+    assert max(sizes) < len(texts) // 2  # an anchor of all texts is not in one part
+
+
 def test_removal_keeps_whole_characters(docs, rows):
     got = without_repeats(docs)
     assert got.columns == docs.columns and got.dtypes == docs.dtypes
