@@ -88,7 +88,8 @@ FAMILIES = (
     ("artistic-1.0", "artistic", r"(?:perl )?artistic license"),
     ("unlicense", "unlicense", r"(?:the )?unlicense"),
     ("wtfpl", "wtfpl", r"wtfpl"),
-    ("python-2.0", "python", r"python software foundation license(?: version)?(?: 2(?: 0)?)?|psf license"),
+    ("python-2.0", "python", r"python software foundation license(?: version)?(?: 2(?: 0)?)?"),
+    ("python-2.0", "psf", r"psf license"),
     ("ruby", "ruby", r"ruby license"),
     ("php-3.01", "php", r"php license(?: version)?(?: 3 01| 3 0)?"),
     ("openssl", "openssl", r"openssl license"),
@@ -108,7 +109,8 @@ FAMILIES = (
     ("bsl-1.1", "business source", r"business source license(?: 1 1)?"),
     ("sspl-1.0", "server side", r"server side public license"),
     ("elastic-2.0", "elastic", r"elastic license(?: 2 0| v2)?"),
-    ("openrail", "openrail", r"(?:creativeml |bigscience )?open ?rail(?: m)?"),
+    ("openrail", "openrail", r"(?:creativeml |bigscience )?openrail(?: m)?"),
+    ("openrail", "open rail", r"(?:creativeml |bigscience )?open rail(?: m)?"),
     ("proprietary", "rights reserved", r"all rights reserved"),
     ("proprietary", "proprietary", r"proprietary and confidential|confidential and proprietary"),
 )
@@ -137,7 +139,7 @@ GRANTS = (
     (r"(?:{name}) (?:license|licence)", 0.6),
 )
 # Names that say what they are without a grant.
-NAMED = ("license", "licence", "cc0", "unlicense", "wtfpl", "in|into|to", "all rights", "proprietary", "open ?rail", "gpl", "mpl ", "cddl")
+NAMED = ("license", "licence", "cc0", "unlicense", "wtfpl", "in|into|to", "all rights", "proprietary", "openrail", "open rail", "gpl", "mpl ", "cddl")
 
 
 def _creative_commons() -> Iterator[tuple[str, str, str]]:
@@ -196,20 +198,27 @@ class LicenseScanner:
         """Accepted detections in a text of single-spaced words, as byte spans in order.
 
         A match inside another one's span is suppressed; of equal spans the earlier rule stays. Of
-        matches that overlap in part, the one of the earlier rule stays.
+        matches that overlap in part, the one of the earlier rule stays. Matches inside one that does
+        not stay are then treated likewise, where they do not touch what stays.
         """
         found = [(m.start(), m.end(), rule) for k in keywords for rule, p in self.by_keyword.get(k, ()) for m in p.finditer(words)]
         found.sort(key=lambda x: (x[0], -x[1], x[2].priority))
-        outer, reach = [], 0
-        for start, end, rule in found:
-            if end > reach:
-                outer.append((start, end, rule))
-                reach = end
         kept: list[tuple[int, int, Rule]] = []
-        for start, end, rule in sorted(outer, key=lambda x: (x[2].priority, x[0])):
+
+        def place(start: int, end: int) -> int | None:
             at = bisect.bisect_left(kept, start, key=lambda x: x[0])
-            if (at == 0 or kept[at - 1][1] <= start) and (at == len(kept) or end <= kept[at][0]):
-                kept.insert(at, (start, end, rule))
+            return at if (at == 0 or kept[at - 1][1] <= start) and (at == len(kept) or end <= kept[at][0]) else None
+
+        while found:
+            outer, inner, reach = [], [], 0
+            for match in found:
+                (outer if match[1] > reach else inner).append(match)
+                reach = max(reach, match[1])
+            for match in sorted(outer, key=lambda x: (x[2].priority, x[0])):
+                at = place(*match[:2])
+                if at is not None:
+                    kept.insert(at, match)
+            found = [match for match in inner if place(*match[:2]) is not None]
         return kept
 
     def base_places(self, words: bytes, keywords: set[str]) -> list[tuple[int, str]]:

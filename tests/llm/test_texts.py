@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
+from metricloom.llm import licenses
 from metricloom.llm.decontamination import decontaminated, leak_report
 from metricloom.llm.language_model import scored_texts
 from metricloom.llm.licenses import LicenseScanner, license_scan, rules
@@ -110,6 +111,45 @@ def test_hundreds_of_rules_with_keywords_that_their_matches_hold():
     assert len(rules()) >= 200 and [r.priority for r in rules()] == list(range(len(rules())))
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("licensed under the CreativeML Open RAIL-M license", ["openrail"]),
+        ("licensed under the CreativeML OpenRAIL-M license", ["openrail"]),
+        ("use it under the PSF license", ["python-2.0"]),
+        ("GPL 3\nLicense-Identifier: MIT", ["gpl-3.0", "mit"]),  # 'gpl 3 license' loses to 'license identifier mit'
+    ],
+)
+def test_license_rules_of_narrow_gates_and_lost_containers(text, labels):
+    test_license_rules(text, labels)
+
+
+def alternatives(tree):
+    """A sample of each alternative of a parsed pattern, with and without what is optional."""
+    found = [""]
+    for kind, value in tree:
+        match str(kind):
+            case "LITERAL":
+                some = [chr(value)]
+            case "IN":
+                some = ["w" if str(k) == "CATEGORY" else chr(v) for k, v in value]
+            case "BRANCH":
+                some = [x for branch in value[1] for x in alternatives(branch)]
+            case "SUBPATTERN":
+                some = alternatives(value[3])
+            case "MAX_REPEAT":
+                some = [*([] if value[0] else [""]), *alternatives(value[2])]
+        found = [a + b for a in found for b in some]
+    return found
+
+
+def test_every_alternative_of_a_license_pattern_passes_its_gate():
+    scanner = LicenseScanner()
+    for _, keyword, pattern in (*licenses.SENTENCES, *licenses.FAMILIES, *licenses._creative_commons()):
+        for sample in alternatives(re._parser.parse(pattern)):
+            assert re.fullmatch(pattern, sample) and keyword in scanner.keywords(f" {sample} ".encode())
+
+
 # ---------------------------------------------------------------- token counts
 
 
