@@ -104,8 +104,70 @@ SELECT doc_id, len(w) AS n_words, coalesce(covered.n, 0) AS n_hit, coalesce(item
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+MIXTURE = r"""
+WITH best AS (
+  SELECT doc_id AS id, max(CASE quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END)::DOUBLE AS weight FROM labels GROUP BY 1),
+d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/1'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+      / coalesce(weight, 1.0) AS key
+  FROM documents LEFT JOIN best ON id = doc_id),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS most,
+    [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+  FROM d GROUP BY source),
+level AS (
+  SELECT *, sum(source_size) OVER () AS total, sum(w) OVER () AS w_total,
+    coalesce(sum(most) OVER before, 0) AS most_before, coalesce(sum(w) OVER before, 0) AS w_before
+  FROM s WINDOW before AS (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+filled AS (SELECT *, most_before * w + most * (w_total - w_before) <= total * w AS is_full FROM level),
+targets AS (
+  SELECT source, source_size, CASE WHEN is_full THEN most::DOUBLE ELSE
+    (w * (total - coalesce(sum(most) FILTER (is_full) OVER (), 0)))::DOUBLE / (sum(w) FILTER (NOT is_full) OVER ())::DOUBLE END AS target
+  FROM filled),
+plan AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM targets),
+queued AS (
+  SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) - size AS before FROM d)
+SELECT doc_id, size, source_size, target, q.source AS source,
+  size * (epochs + CASE WHEN target - epochs * source_size > 0 AND before + size / 2.0 <= target - epochs * source_size THEN 1 ELSE 0 END)::BIGINT AS taken
+FROM queued q JOIN plan p ON q.source IS NOT DISTINCT FROM p.source"""
+
+
+FILTER_INTERACTIONS = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+good AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS failed
+  FROM d LEFT JOIN good USING (doc_id)),
+c AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY 1, 2),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+steps AS (
+  SELECT filter_order, step::INT AS step, filter_order[step] AS letter, 1 << (strpos('ABCDE', filter_order[step]) - 1)::INT AS b,
+    coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (strpos('ABCDE', filter_order[i]) - 1)::INT)), 0)::INT AS earlier
+  FROM orders, range(1, 6) u(step)),
+figures AS (
+  SELECT part, filter_order, step, letter,
+    coalesce(sum(n) FILTER (failed & (earlier | b) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (failed & b > 0 AND failed & earlier = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (failed & b > 0 AND failed & earlier > 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (failed = b), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (failed & b > 0 AND failed & earlier = 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (failed & b > 0 AND failed & earlier = 0), 0)::BIGINT AS toxic_lost
+  FROM c, steps GROUP BY 1, 2, 3, 4)
+SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM figures"""
+
+
 ORACLES = {
     "op2_near_duplicates": NEAR_DUPLICATES,
     "op3_quality_rules": _quality(),
     "op7_decontamination": DECONTAMINATION,
+    "op12_mixed_sources": MIXTURE,
+    "op13_filter_interactions": FILTER_INTERACTIONS,
 }

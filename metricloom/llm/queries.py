@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from metricloom.llm.check_sql import ORACLES as ORACLES
 from metricloom.llm.decontamination import leak_report
+from metricloom.llm.filter_audit import filter_interactions
 from metricloom.llm.language_model import scored_texts
 from metricloom.llm.licenses import license_scan
+from metricloom.llm.mixing import label_weights, mixed
 from metricloom.llm.near_duplicates import near_duplicates
 from metricloom.llm.packing_best_fit import packed_matrices
 from metricloom.llm.packing_mixture import mixture_packed
@@ -65,4 +67,12 @@ def op10_context_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scored_texts(_read(spark, folder, "documents"))
 
 
+def op12_mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixed(_read(spark, folder, "documents"), label_weights(_read(spark, folder, "labels")))
+
+
+def op13_filter_interactions(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_interactions(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
 QUERIES = {name: run for name, run in list(globals().items()) if name.startswith("op")}
