@@ -104,6 +104,23 @@ SELECT doc_id, len(w) AS n_words, coalesce(covered.n, 0) AS n_hit, coalesce(item
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+HARD_NEGATIVES = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id)::INT AS positive_rank
+  FROM s WHERE same QUALIFY positive_rank <= 5)
+SELECT anchor_id, positive_id, positive_rank, positive_score, id AS negative_id, score AS negative_score,
+  row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5"""
+
+
 MIXTURE = r"""
 WITH best AS (
   SELECT doc_id AS id, max(CASE quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END)::DOUBLE AS weight FROM labels GROUP BY 1),
@@ -168,6 +185,7 @@ ORACLES = {
     "op2_near_duplicates": NEAR_DUPLICATES,
     "op3_quality_rules": _quality(),
     "op7_decontamination": DECONTAMINATION,
+    "op11_hard_negatives": HARD_NEGATIVES,
     "op12_mixed_sources": MIXTURE,
     "op13_filter_interactions": FILTER_INTERACTIONS,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from metricloom.llm.check_sql import ORACLES as ORACLES
 from metricloom.llm.decontamination import leak_report
 from metricloom.llm.filter_audit import filter_interactions
+from metricloom.llm.hard_negatives import hard_negatives
 from metricloom.llm.language_model import scored_texts
 from metricloom.llm.licenses import license_scan
 from metricloom.llm.mixing import label_weights, mixed
@@ -67,6 +68,11 @@ def op10_context_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scored_texts(_read(spark, folder, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_read(spark, folder, "embeddings"), label, F.col("vec_id") % 100 == 0)
+
+
 def op12_mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed(_read(spark, folder, "documents"), label_weights(_read(spark, folder, "labels")))
 
