@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.llm.context_tree import Subtrees, grams, weigh
-from metricloom.llm.support import LOWER, RangeHash, as_bytes, byte_slices, partitions, staged, word_spans
+from metricloom.llm.support import LOWER, RangeHash, as_bytes, byte_slices, frugal, give_back, partitions, staged, word_spans
 
 DEPTH = 5
 # Context bytes that the grams of one chunk share. Nodes of two, one and no context bytes are put
@@ -20,7 +20,7 @@ SHARED = 3
 GROUP_BYTES = 32 << 20
 # Bytes that are looked at at once, and slices whose counts are kept apart; both only bound memory.
 SLICE, MERGED = 1 << 19, 8
-WORD, GRAM = 0, 1
+WORD, GRAM, TEXT = 0, 1, 2
 SMOOTHING = 0.1
 
 
@@ -35,6 +35,7 @@ def _asked(rows: DataFrame, depth: int) -> DataFrame:
         for at in range(0, len(keys), 50_000):
             k, c = keys[at : at + 50_000], counts[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), group)), pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(c)], ["g", "kind", "key", "n"])
+        parts.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, words, found = None, [], []
@@ -46,6 +47,7 @@ def _asked(rows: DataFrame, depth: int) -> DataFrame:
                         if group is not None:
                             yield from emit(group, WORD, words)
                             yield from emit(group, GRAM, found)
+                            give_back()
                         group, words, found = groups[start], [], []
                     mine = data[edges[start] : edges[end]]
                     own = edges[start : end + 1] - edges[start]
@@ -60,7 +62,7 @@ def _asked(rows: DataFrame, depth: int) -> DataFrame:
             yield from emit(group, WORD, words)
             yield from emit(group, GRAM, found)
 
-    return rows.select("g", "held_out", "text").mapInArrow(run, "g long, kind int, key long, n long")
+    return rows.select("g", "held_out", "text").mapInArrow(frugal(run), "g long, kind int, key long, n long")
 
 
 def _together(parts: list[tuple[np.ndarray, np.ndarray]], most: int) -> None:
@@ -126,7 +128,7 @@ def _upper_sums(model: DataFrame, depth: int) -> DataFrame:
 
     prefix = F.shiftrightunsigned("key", 8 * (depth + 1 - SHARED))
     dealt = model.repartition(partitions(model.sparkSession), prefix).sortWithinPartitions("key")
-    sums = dealt.mapInArrow(run, "context long, node long, zeros long, ones long, below double")
+    sums = dealt.mapInArrow(frugal(run), "context long, node long, zeros long, ones long, below double")
     return sums.groupBy("context", "node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")])
 
 
@@ -196,7 +198,7 @@ def gram_probabilities(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     places = above.select(F.col("context").alias("pre"), F.lit(0).alias("kind"), F.col("node").alias("key"), F.col("own").alias("a"), ((F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)).alias("b"))
     asked = counts.select(F.shiftrightunsigned("key", 8 * (depth + 2 - SHARED)).alias("pre"), F.lit(1).alias("kind"), "key", F.col("n").cast("double").alias("a"), F.lit(0.0).alias("b"))
     stream = places.unionByName(asked).repartition(partitions(spark), "pre").sortWithinPartitions("pre", "kind", "key")
-    return stream.mapInArrow(run, "key long, log_p double")
+    return stream.mapInArrow(frugal(run), "key long, log_p double")
 
 
 def scored_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -219,52 +221,53 @@ def scored_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     rows = staged(docs.select((F.monotonically_increasing_id() % groups).alias("g"), held_out.alias("held_out"), as_bytes("text"), "doc_id").repartition(groups, "g").sortWithinPartitions("g"))
     asked = staged(_asked(rows, depth))
 
-    by_key = Window.partitionBy("key")
-    words = staged(
-        asked.where(F.col("kind") == WORD)
-        .withColumn("total", F.sum("n").over(by_key))
-        .withColumn("first", F.row_number().over(by_key.orderBy("g")) == 1)
-        .select("g", "key", "total", "first")
-    )
-    sums = words.where("first and total > 0").agg(F.sum("total").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    words = asked.where(F.col("kind") == WORD)
+    totals = staged(words.groupBy("key").agg(F.sum("n").alias("total")))
+    sums = totals.where("total > 0").agg(F.sum("total").alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = rows.where("not held_out").count()
     n, v = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
 
     wanted = asked.where(F.col("kind") == GRAM).select("g", "key", "n")
     counts = staged(wanted.groupBy("key").agg(F.sum("n").alias("n")))
     known = staged(gram_probabilities(counts, depth))
-    answers = words.select("g", F.lit(WORD).alias("kind"), "key", F.col("total").cast("double").alias("value")).unionByName(
+    answers = words.join(totals, "key").select("g", F.lit(WORD).alias("kind"), "key", F.col("total").cast("double").alias("value")).unionByName(
         wanted.join(known, "key").select("g", F.lit(GRAM).alias("kind"), "key", F.col("log_p").alias("value"))
     )
     whole = n + SMOOTHING * (v + 1)
 
-    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        kind, key, value = (answers.column(i).to_numpy() for i in (1, 2, 3))
-        keys, values = {}, {}
-        for k in (WORD, GRAM):
-            mine = kind == k
-            unsigned = key[mine].view(np.uint64)
-            order = np.argsort(unsigned)
-            keys[k], values[k] = unsigned[order], value[mine][order]
-        out = []
-        for batch in texts.to_batches():
-            for part, data, edges in byte_slices(batch, limit=SLICE):
-                begin, stop, first = word_spans(data, edges)
-                count = np.diff(first)
-                owner = np.repeat(np.arange(len(count)), count)
-                c = values[WORD][np.searchsorted(keys[WORD], RangeHash(data, 0, LOWER)(begin, stop))] if len(begin) else np.zeros(0)
-                base = np.bincount(owner, np.log10((c + SMOOTHING) / whole), len(count)) + np.log10((ends + SMOOTHING) / whole)
-                heard = np.bincount(owner, c > 0, len(count)).astype(np.int64) + int(ends > 0)
-                found, places = grams(LOWER[data], edges, depth)
-                distinct, inverse = np.unique(found, return_inverse=True)
-                score = np.add.reduceat(values[GRAM][np.searchsorted(keys[GRAM], distinct)][inverse], places[:-1]) / np.log(10)
-                out.append(pa.table([part.column(3), part.column(1), pa.array(count + 1), pa.array(heard), pa.array(np.full(len(count), n)), pa.array(base), pa.array(score)], _NAMES))
-        del keys, values, kind, key, value
-        pa.default_memory_pool().release_unused()
-        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in _KINDS], _NAMES)
-
-    return rows.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, keys, values = None, {}, {}
+        for batch in batches:
+            groups, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for start, end in zip(*_stretches(groups * 4 + kinds), strict=True):
+                if groups[start] != group:
+                    group, keys, values = groups[start], {WORD: [], GRAM: []}, {WORD: [], GRAM: []}
+                    give_back()
+                kind, mine = int(kinds[start]), batch.slice(start, end - start)
+                if kind != TEXT:
+                    keys[kind].append(mine.column(2).to_numpy().copy())
+                    values[kind].append(mine.column(3).to_numpy().copy())
+                    continue
+                for k in (WORD, GRAM):
+                    if isinstance(keys[k], list):
+                        keys[k], values[k] = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((keys[k], np.int64), (values[k], np.float64)))
+                for part, data, edges in byte_slices(mine, limit=SLICE):
+                    begin, stop, first = word_spans(data, edges)
+                    count = np.diff(first)
+                    owner = np.repeat(np.arange(len(count)), count)
+                    c = values[WORD][np.searchsorted(keys[WORD], RangeHash(data, 0, LOWER)(begin, stop).view(np.int64))] if len(begin) else np.zeros(0)
+                    base = np.bincount(owner, np.log10((c + SMOOTHING) / whole), len(count)) + np.log10((ends + SMOOTHING) / whole)
+                    heard = np.bincount(owner, c > 0, len(count)).astype(np.int64) + int(ends > 0)
+                    found, places = grams(LOWER[data], edges, depth)
+                    distinct, inverse = np.unique(found.view(np.int64), return_inverse=True)
+                    score = np.add.reduceat(values[GRAM][np.searchsorted(keys[GRAM], distinct)][inverse], places[:-1]) / np.log(10)
+                    held_out = pa.array(part.column(3).to_numpy() > 0)
+                    yield pa.RecordBatch.from_arrays([part.column(2), held_out, pa.array(count + 1), pa.array(heard), pa.array(np.full(len(count), n)), pa.array(base), pa.array(score)], _NAMES)
+
+    # In each group the answers come first, sorted by key, and then the texts one after another.
+    texts = rows.select("g", F.lit(TEXT).alias("kind"), F.col("doc_id").cast("long").alias("key"), F.col("held_out").cast("int").cast("double").alias("value"), "text")
+    stream = answers.withColumn("text", F.lit(None).cast("binary")).unionByName(texts).repartition(groups, "g").sortWithinPartitions("g", "kind", "key")
+    return stream.mapInArrow(frugal(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 _NAMES = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-_KINDS = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
