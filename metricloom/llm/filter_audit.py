@@ -9,17 +9,18 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricloom.llm.support import as_bytes, ordered_offsets, staged
+from metricloom.llm.support import as_bytes, partitions, staged
 
 FILTERS = "ABCDE"
 LEAST_WORDS, LEAST_DISTINCT_PERCENT, MOST_CAPITALS_PERCENT = 200, 50, 2
 SYMBOLS = b"#$%&*|"
 # A shard of the matrix ends at so many entries or bytes of vocabulary; a text is split at so many bytes.
-SHARD_ENTRIES, SHARD_BYTES, PIECE = 1 << 19, 8 << 20, 1 << 20
+SHARD_ENTRIES, SHARD_BYTES, PIECE = 1 << 22, 6 << 20, 1 << 20
 
 _LOCAL = "shard long, place int, doc_id long, part string, others int, digest binary, terms binary, counts binary, word binary"
 _NAMES = [f.split()[0] for f in _LOCAL.split(", ")]
@@ -99,23 +100,59 @@ def _local_terms(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", part, as_bytes("text")).mapInArrow(run, _LOCAL)
 
 
-def dictionary(local: DataFrame) -> DataFrame:
+_NUMBERED = "block int, number long, word binary, of_shard long, local int"
+
+
+def numbered_words(local: DataFrame) -> DataFrame:
+    """The words of all shards with ``number`` counting distinct words within each ``block`` of the word order.
+
+    Words meet in ranges of their order, a word once for each shard that has it; ``word`` itself stands
+    in the first row of each only.
+    """
+    spoken = local.where("word is not null").select("word", "shard", "place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, number, last = TaskContext.get().partitionId(), -1, None
+        for batch in batches:
+            words = batch.column(0)
+            new = np.ones(len(words), bool)
+            new[1:] = pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)
+            new[0] = words[0].as_py() != last
+            last = words[-1].as_py()
+            numbers = number + np.cumsum(new)
+            number = int(numbers[-1])
+            firsts = pc.if_else(pa.array(new), words, pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block, np.int32)), pa.array(numbers), firsts, batch.column(1), batch.column(2)], [f.split()[0] for f in _NUMBERED.split(", ")])
+
+    n = partitions(local.sparkSession)
+    return staged(spoken.repartitionByRange(n, "word").sortWithinPartitions("word").mapInArrow(run, _NUMBERED))
+
+
+def _terms(numbered: DataFrame) -> DataFrame:
+    """``numbered`` with ``term``: the dense number of each word among all words."""
+    before = Window.orderBy("of_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = numbered.groupBy(F.col("block").alias("of_block")).agg((F.max("number") + 1).alias("n"))
+    starts = sizes.select("of_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    # One row for each block; Spark sends it to all tasks.
+    return numbered.join(F.broadcast(starts), F.col("block") == F.col("of_block")).withColumn("term", F.col("start") + F.col("number"))
+
+
+def dictionary(numbered: DataFrame) -> DataFrame:
     """Every distinct word once, with ``term``: its dense number in the order of bytes."""
-    return ordered_offsets(local.where("word is not null").select("word").distinct(), ["word"], {"term": F.lit(1).cast("long")})
+    return _terms(numbered.where("word is not null")).select("word", "term")
 
 
 _CSR = "shard long, first int, indptr binary, indices binary, data binary"
 
 
-def csr_shards(local: DataFrame) -> DataFrame:
+def csr_shards(local: DataFrame, numbered: DataFrame) -> DataFrame:
     """Shards of the document-term matrix in compressed sparse rows over the global dictionary.
 
     Rows ``first``, ``first`` + 1, ... of a shard: ``indptr`` (int64), ``indices`` (int64, increasing in
     each row) and ``data`` (int32). A shard asks for the numbers of its own words, so no task holds
     the dictionary, and a frequent word is looked up once for each shard.
     """
-    spoken = local.where("word is not null").select(F.col("shard").alias("of_shard"), F.col("place").alias("local"), "word")
-    numbers = spoken.join(staged(dictionary(local)), "word").select("of_shard", "local", "term")
+    numbers = _terms(numbered.drop("word")).select("of_shard", "local", "term")
     rows = local.where("word is null").select("shard", "place", "terms", "counts")
 
     def encode(rows: pa.Table, numbers: pa.Table) -> pa.Table:
@@ -163,7 +200,7 @@ def document_failures(docs: DataFrame) -> DataFrame:
     copies = rows.groupBy(F.col("digest").alias("_digest")).agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     # Written first, so that Spark can split a text with very many copies.
     firsts = staged(copies)
-    counted = rows.join(row_counts(csr_shards(local)), ["shard", "place"]).join(firsts, F.col("digest") == F.col("_digest"), "left")
+    counted = rows.join(row_counts(csr_shards(local, numbered_words(local))), ["shard", "place"]).join(firsts, F.col("digest") == F.col("_digest"), "left")
     tests = [
         F.col("n_words") < LEAST_WORDS,
         100 * F.col("n_distinct") < LEAST_DISTINCT_PERCENT * F.col("n_words"),

@@ -6,7 +6,7 @@ from itertools import permutations
 
 import pytest
 
-from metricloom.llm.filter_audit import _local_terms, csr_shards, dictionary, filter_interactions, words_of
+from metricloom.llm.filter_audit import _local_terms, csr_shards, dictionary, filter_interactions, numbered_words, words_of
 from metricloom.llm.mixing import label_weights, mixed, source_targets
 from metricloom.llm.support import staged
 
@@ -102,13 +102,15 @@ def test_long_texts_are_counted_piece_by_piece(monkeypatch):
 def test_shards_hold_the_matrix(docs, rows, monkeypatch):
     from metricloom.llm import filter_audit
 
+    monkeypatch.setattr(filter_audit, "SHARD_ENTRIES", 900)
     local = staged(_local_terms(docs))
-    listed = {r["term"]: r["word"].decode() for r in dictionary(local).collect()}
+    numbered = numbered_words(local)
+    listed = {r["term"]: r["word"].decode() for r in dictionary(numbered).collect()}
     assert sorted(listed) == list(range(len(listed))) and [listed[k].encode() for k in sorted(listed)] == sorted(w.encode() for w in listed.values())
     import numpy as np
 
     found = Counter()
-    for r in csr_shards(local).collect():
+    for r in csr_shards(local, numbered).collect():
         ends, terms, counts = np.frombuffer(r["indptr"], np.int64), np.frombuffer(r["indices"], np.int64), np.frombuffer(r["data"], np.int32)
         for a, b in zip(ends, ends[1:]):
             assert (np.diff(terms[a:b]) > 0).all()
