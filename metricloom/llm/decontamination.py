@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from metricloom.llm.licenses import NORMAL
-from metricloom.llm.support import as_bytes, staged
+from metricloom.llm.support import as_bytes, frugal, staged
 
 # Words of benchmark items in one automaton; more items take more passes over the documents.
 BLOCK_WORDS = 200_000
@@ -177,7 +177,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> D
                     items.append(sorted({*old_items, *(k for k in keys if k is not None)}))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(spans, span_type), pa.array(items, pa.list_(pa.string()))], batch.schema.names)
 
-        frame = frame.mapInArrow(scan, schema)
+        frame = frame.mapInArrow(frugal(scan), schema)
         block = next(blocks, None)
         if block is None:
             return frame.drop("text")
@@ -215,12 +215,15 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, most
     """Documents without the text from the first to the last word of each span of item windows.
 
     A document of which more than ``most_percent`` of the words are hit goes as a whole. Documents
-    without a hit are left as they are. The columns are those of ``docs``; n_chars, if there, follows
-    the text.
+    without a hit are left as they are. Where a cut brings the words of another window together, the
+    document is cut again, until no document has a hit. The columns are those of ``docs``; n_chars, if
+    there, follows the text. A null or empty text has no hit and stays as it is; texts of any length
+    are searched whole; repeated rows are treated alike; an empty table gives no rows, and an empty
+    benchmark all rows. A column named ``__spans`` is refused.
     """
-    hits = benchmark_hits(docs, benchmark, window)
+    if "__spans" in docs.columns:
+        raise ValueError("the column __spans is the operator's own")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + F.element_at(s, 2) - F.element_at(s, 1))
-    kept = hits.where(100 * n_hit <= most_percent * F.col("n_words")).select("row.*", F.col("spans").alias("__spans"))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,5 +233,18 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, most
             columns[at] = pa.array(texts, batch.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    out = kept.mapInArrow(clean, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    def cut(hits: DataFrame) -> DataFrame:
+        mostly_own = (n_hit > 0) & (100 * n_hit <= most_percent * F.col("n_words"))
+        out = hits.where(mostly_own).select("row.*", F.col("spans").alias("__spans")).mapInArrow(frugal(clean), docs.schema)
+        return staged(out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out)
+
+    def free_of_hits(hits: DataFrame) -> DataFrame:
+        return hits.where(n_hit == 0).select("row.*")
+
+    hits = benchmark_hits(docs, benchmark, window)
+    # Documents without a hit are only read; each round writes those that it has cut, fewer every time.
+    found, changed = free_of_hits(hits), cut(hits)
+    while not changed.isEmpty():
+        hits = benchmark_hits(changed, benchmark, window)
+        found, changed = found.unionByName(free_of_hits(hits)), cut(hits)
+    return found
