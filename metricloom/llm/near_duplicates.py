@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.llm.components import connected, merged
-from metricloom.llm.support import LOWER, RangeHash, as_bytes, byte_slices, mix, staged, word_spans
+from metricloom.llm.support import LOWER, RangeHash, as_bytes, byte_slices, frugal, mix, staged, word_spans
 
 BITS = 12
 # Bits of a set's parity map: whether an odd number of its shingles falls on each.
@@ -152,7 +152,7 @@ def signatures(rows: DataFrame, kind: Signatures) -> DataFrame:
                     [rows.column(0), pa.array(sizes, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), chunks, parity], ["row", "n_shingles", "print_a", "print_b", "chunks", "parity"]
                 )
 
-    return rows.select("row", as_bytes("text")).mapInArrow(run, "row long, n_shingles long, print_a long, print_b long, chunks array<long>, parity array<long>")
+    return rows.select("row", as_bytes("text")).mapInArrow(frugal(run), "row long, n_shingles long, print_a long, print_b long, chunks array<long>, parity array<long>")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, kind: Signatures) -> DataFrame:
@@ -179,7 +179,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, kind: Signatures) -> DataFrame:
     left = texts.select(F.col("row").alias("left"), F.col("text").alias("left_text"))
     right = texts.select(F.col("row").alias("right"), F.col("text").alias("right_text"))
     joined = pairs.join(left, "left").join(right, "right").select("left", "right", "left_text", "right_text")
-    return joined.mapInArrow(run, "left long, right long")
+    return joined.mapInArrow(frugal(run), "left long, right long")
 
 
 def _rare_shingles(texts: DataFrame, kind: Signatures) -> DataFrame:
@@ -198,7 +198,7 @@ def _rare_shingles(texts: DataFrame, kind: Signatures) -> DataFrame:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["counter", "n"])
 
-    counted = texts.select("row", "text").mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect()
+    counted = texts.select("row", "text").mapInArrow(frugal(count), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect()
     totals = np.zeros(COUNTERS, np.int64)
     for r in counted:
         totals[r["counter"]] = r["n"]
@@ -217,7 +217,7 @@ def _rare_shingles(texts: DataFrame, kind: Signatures) -> DataFrame:
                     places.append(np.arange(n))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (classes, shingles, places)], ["class", "shingle", "place"])
 
-    return texts.select("row", "text").mapInArrow(first, "class long, shingle long, place long")
+    return texts.select("row", "text").mapInArrow(frugal(first), "class long, shingle long, place long")
 
 
 def near_duplicate_groups(rows: DataFrame, percent: int, shingle: int = 5) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.llm.support import ordered_offsets, staged
+from metricloom.llm.support import frugal, ordered_offsets, staged
 from metricloom.llm.tokens import encoded
 
 # Parts into which the rows of a source are dealt where they meet its quantum.
@@ -99,4 +99,4 @@ def mixture_packed(docs: DataFrame, tokenizer_path: str, window: int = 1024, pie
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds, strict=True)], names)
 
-    return joined.mapInArrow(cut, _SCHEMA)
+    return joined.mapInArrow(frugal(cut), _SCHEMA)

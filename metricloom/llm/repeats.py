@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.llm.suffix_runs import Run, cut_run, merge, sorted_run
-from metricloom.llm.support import RangeHash, as_bytes, byte_slices, mix, partitions, staged
+from metricloom.llm.support import SLICE_BYTES, RangeHash, as_bytes, byte_slices, frugal, give_back, mix, partitions, staged
 
 # Suffixes of one sorted run: with 100 bytes before and after each anchor, about 20 MB in a task.
 RUN = 100_000
@@ -80,6 +80,16 @@ def _anchors(data: np.ndarray, edges: np.ndarray, least: int, hot: np.ndarray) -
     return owner, first - edges[owner], count, at - edges[owner], key, mix(around + (at - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def _pieces(data: np.ndarray, edges: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """A slice as it is; a longer text in pieces that share ``least`` - 1 bytes, so each window is in one of them."""
+    if len(edges) > 2 or len(data) <= SLICE_BYTES:
+        yield data, edges, 0
+        return
+    for at in range(0, len(data) - least + 1, SLICE_BYTES):
+        piece = data[at : at + SLICE_BYTES + least - 1]
+        yield piece, np.array([0, len(piece)]), at
+
+
 def _same_windows(data: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
     """Whether the windows at ``a`` and ``b`` have equal bytes."""
     if not len(a):
@@ -104,8 +114,9 @@ def _records(rows: DataFrame, least: int, hot: np.ndarray) -> DataFrame:
         for batch in batches:
             parts, bytes_of, total = [], [], 0
             for rows, data, edges in byte_slices(batch):
-                owner, first, count, anchor, gram, around = _anchors(data, edges, least, hot)
-                parts.append((gram, around, rows.column(0).to_numpy()[owner], first, count, anchor, total + edges[owner] + first))
+                for piece, ends, at in _pieces(data, edges, least):
+                    owner, first, count, anchor, gram, around = _anchors(piece, ends, least, hot)
+                    parts.append((gram, around, rows.column(0).to_numpy()[owner], first + at, count, anchor + at, total + ends[owner] + first + at))
                 bytes_of.append(data)
                 total += len(data)
             gram, around, row, first, count, anchor, start = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -134,7 +145,7 @@ def _records(rows: DataFrame, least: int, hot: np.ndarray) -> DataFrame:
                 cut = slice(at, at + 20_000)
                 yield pa.RecordBatch.from_arrays([pa.array(x[cut].view(np.int64)) for x in (gram, around, row, place)], [f.split()[0] for f in _RECORD.split(", ")])
 
-    return rows.select("row", "text").mapInArrow(run, _RECORD)
+    return rows.select("row", "text").mapInArrow(frugal(run), _RECORD)
 
 
 def _hot_grams(rows: DataFrame, least: int) -> np.ndarray:
@@ -197,7 +208,7 @@ def _resolved(records: DataFrame) -> DataFrame:
             row, *found = (np.concatenate(x) for x in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(row), *(pa.array(x.astype(np.int32)) for x in found), pa.array(np.concatenate(flags))], ["row", "first", "count", "anchor", "decided"])
 
-    return ordered.mapInArrow(resolve, _SPANS)
+    return ordered.mapInArrow(frugal(resolve), _SPANS)
 
 
 def _borders(rows: DataFrame, unsure: DataFrame, least: int, span: int, parts: int, total: int) -> np.ndarray:
@@ -257,7 +268,7 @@ def _runs(texts: DataFrame, least: int, borders: tuple[np.ndarray, np.ndarray])
             if lists[0]:
                 yield sorted_parts(apart, *lists)
 
-    return texts.mapInArrow(run, _BLOCK)
+    return texts.mapInArrow(frugal(run), _BLOCK)
 
 
 def _ones(mask: int) -> Iterator[tuple[int, int]]:
@@ -335,6 +346,8 @@ def _merged(blocks: DataFrame, least: int, parts: int, apart: int) -> DataFrame:
         if len(group) > 1:
             found += _group_repeats(group, least, before)
         row, first, count = np.array(found, np.int64).reshape(-1, 3).T
+        del runs, group, found
+        give_back()
         return pa.table([pa.array(row.copy()), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], ["row", "first", "count"])
 
     return blocks.repartition(parts, "part").groupBy("part").applyInArrow(join, "row long, first int, count int")
@@ -419,7 +432,7 @@ def repeat_report(docs: DataFrame, least: int = 100) -> DataFrame:
             columns = [pa.array(x, t) for x, t in zip(zip(*out), kinds, strict=True)] if out else [pa.array([], t) for t in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return joined.mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(frugal(report), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def whole_characters(text: bytes, runs: list[list[int]]) -> list[list[int]]:
@@ -455,6 +468,6 @@ def without_repeats(docs: DataFrame, least: int = 100) -> DataFrame:
     from pyspark.sql import types as T
 
     schema = T.StructType([joined.schema["doc_id"], T.StructField("text", T.BinaryType()), joined.schema["__rest"]])
-    out = joined.mapInArrow(clean, schema).withColumn("text", F.col("text").cast("string"))
+    out = joined.mapInArrow(frugal(clean), schema).withColumn("text", F.col("text").cast("string"))
     rest = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("text" if c == "text" else "doc_id" if c == "doc_id" else f"__rest.`{c}`").alias(c) for c in docs.columns]
     return out.select(*rest)

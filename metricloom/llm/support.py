@@ -37,13 +37,19 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+# What else a worker may forget between tasks.
+FORGETS: list[Callable[[], None]] = []
+
+
 def give_back() -> None:
     """Return what this Python worker no longer uses to the machine.
 
-    Workers live on between tasks and jobs, and the memory that their allocators keep counts against
-    the executor as if it were in use.
+    Workers live on between tasks and jobs, and the memory that they and their allocators keep counts
+    against the executor as if it were in use.
     """
     _POWERS.clear()
+    for forget in FORGETS:
+        forget()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.llm.support import as_bytes
+from metricloom.llm.support import FORGETS, as_bytes
 
 # The pattern by which this family of byte-level vocabularies splits text before its merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -89,6 +89,10 @@ def text_encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
 
 
+# The next operator's tasks in the same worker drop the vocabulary; tasks that encode keep it.
+FORGETS.append(text_encoder.cache_clear)
+
+
 def encoded(docs: DataFrame, path: str, keep: list[str], end_id: int = 0) -> DataFrame:
     """``keep``, n_tokens, ids (binary, little-endian) and the bytes of an id, for every document.
 

@@ -166,6 +166,20 @@ def test_a_passage_of_all_texts_is_spread_over_the_parts(spark, monkeypatch):
     assert max(sizes) < len(texts) // 2  # an anchor of all texts is not in one part
 
 
+def test_texts_longer_than_a_slice(spark):
+    """One text of 3 MB and parts of it in others: pieces of a text meet as if it were whole."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    long = " ".join(rng.choice(words) for _ in range(480_000))
+    assert len(long) > 2.5 * (1 << 20)
+    at = (1 << 20) - 130
+    texts = [long[at : at + 300], "x" + long[2 * (1 << 20) - 60 : 2 * (1 << 20) + 60], long, long[50:400] + "!"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeat_report(frame).collect()}
+    assert got == dict(enumerate(brute_repeats(texts)))
+    assert got[2][1] >= 420 and got[3][1] == 350
+
+
 def test_removal_keeps_whole_characters(docs, rows):
     got = without_repeats(docs)
     assert got.columns == docs.columns and got.dtypes == docs.dtypes
