@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+
 def local_session(app: str = "metricloom", cores: str = "*") -> SparkSession:
     """A single-machine session for tests and benchmarks; clusters bring their own."""
     return (
@@ -46,3 +48,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive the loss of the executors that made them."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read back.
+
+    The rows survive lost executors, readers take only the columns they need, and the files go away
+    with the application.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    path = f"{shared_folder(spark).rstrip('/')}/written-{context.applicationId}-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    delete_on_exit(spark, path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system delete ``path`` when the application ends."""
+    context = spark.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(hadoop)

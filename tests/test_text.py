@@ -6,10 +6,12 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from metricloom.functions.text import lexical_terms, normalize_template, redact
+from metricloom.operators import similarity
 from metricloom.operators.retrieval import build_index, search
 from metricloom.operators.scanning import SECRET_RULES, USER_PATH_RULE, classify_errors, secret_scan
 from metricloom.operators.similarity import (
@@ -82,14 +84,76 @@ def test_dice_pairs_and_clusters_match_brute_force(spark, sentences):
     assert {r.cluster_id: r.documents for r in clusters(pairs, texts).collect()} == sizes
 
 
-def test_posting_blocks_change_nothing(spark, sentences, monkeypatch):
-    from metricloom.operators import similarity
-
-    docs = spark.createDataFrame(list(enumerate(sentences)), "doc_id bigint, text string")
-    texts = distinct_texts(docs, "doc_id", F.col("text"))
-    whole = {tuple(r) for r in dice_pairs(texts, 0.7).collect()}
-    monkeypatch.setattr(similarity, "POSTING_BLOCK", 3)
-    assert {tuple(r) for r in dice_pairs(texts, 0.7).collect()} == whole and whole
+@pytest.mark.parametrize("threshold", [0.5, 0.86, 1.0])
+def test_dice_pairs_in_small_blocks_are_all_pairs(spark, sentences, threshold, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(similarity, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(similarity, "COMPARED", 40)
+    monkeypatch.setattr(similarity, "COUNTED", 7)
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefg ") for _ in range(4000))
+    odd = ["", "a", "ab", "abc", "é🙂", "🙂", long, long[:3700] + "zz", long + long, "aaaaaaaaaaaaaaaaaaaa", "aaa"]
+    texts = distinct_texts(spark.createDataFrame([*enumerate([*sentences, *odd, odd[3]]), (999, None)], "doc_id bigint, text string"), "doc_id", F.col("text"))
+    rows = {r.doc_id: r.text for r in texts.collect() if r.text is not None}
+
+    def grams(t):
+        return {t[i : i + n] for n in (2, 3) for i in range(len(t) - n + 1)} or {t}
+
+    want = {}
+    for a, b in itertools.combinations(sorted(rows), 2):
+        x, y = grams(rows[a]), grams(rows[b])
+        score = 2 * len(x & y) / (len(x) + len(y))
+        if score >= threshold:
+            want[a, b] = score
+    got = {(r.left_id, r.right_id): r.similarity for r in dice_pairs(texts, threshold).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_bitmaps_bound_the_difference_and_fold():
+    rng = random.Random(8)
+    for _ in range(30):
+        a, b = (similarity.gram_set("".join(rng.choice("abcdef") for _ in range(rng.randint(2, 300)))) for _ in "ab")
+        wide, narrow = similarity.odd_counts(a, 1024), similarity.odd_counts(a, 128)
+        assert (similarity._folded(wide.tobytes(), 1024, 128)[0] == narrow).all()
+        differ = np.bitwise_count(wide ^ similarity.odd_counts(b, 1024)).sum()
+        assert differ <= len(np.setxor1d(a, b))
+
+
+def test_no_gram_is_dealt_out(spark, sentences):
+    """What moves between tasks is a row for each text, for each block or for each portion of pairs."""
+    texts = distinct_texts(spark.createDataFrame(list(enumerate(sentences)), "doc_id bigint, text string"), "doc_id", F.col("text"))
+    signatures = similarity._signatures(texts.select("doc_id", "text"))
+    assert signatures.columns == ["doc_id", "n", "width", "length", "bits"] and signatures.count() == texts.count()
+    shown = similarity._candidates(signatures, 0.86)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in shown and "Join" in shown
+
+
+def test_components_of_a_star_of_very_many_leaves(spark):
+    """The root is in every edge, and still no key of a join has more than a share of them."""
+    n = 100_000
+    edges = spark.range(1, n).select(F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id")).alias("left_id"), F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.lit(0)).alias("right_id"))
+    found = connected_components(edges.union(spark.range(n, n + 9).select(F.col("id").alias("left_id"), (F.col("id") + 1).alias("right_id"))), spark.range(n + 12))
+    sizes = {r["component"]: r["count"] for r in found.groupBy("component").count().collect()}
+    assert sizes == {0: n, n: 10, n + 10: 1, n + 11: 1}
+    both = edges.select(F.lit(0).alias("node"), F.greatest("left_id", "right_id").cast("int").alias("near"))
+    salts = 64
+    keys = both.withColumn("_salt", F.pmod(F.xxhash64("near"), F.lit(salts))).groupBy("node", "_salt").count()
+    assert keys.agg(F.max("count")).first()[0] < 2 * n / salts
+    near, first = similarity._nearest(both, salts)
+    assert first.collect() == [(0, 1)] and near.filter("least <> 1").isEmpty() and near.count() == n - 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 140)] + [(5, 5)]
+    label = {i: i for e in edges for i in e} | {70: 70}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    vertices = spark.createDataFrame([(i,) for i in label], "id bigint")
+    got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "left_id bigint, right_id bigint"), vertices).collect()}
+    assert got == label
 
 
 def test_components_of_a_long_chain(spark):
