@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricloom.functions.scope import flag
 from metricloom.functions.text import lexical_terms
 from metricloom.operators.windows import first_n_per_group
-from metricloom.session import cut_lineage
+from metricloom.session import delete_on_exit, shared_folder, written
 
 # Field weights.
 FIELD_WEIGHTS = {"name": 3, "description": 1, "dependencies": 1}
 # Scores are sums of rounded decimals, so equal evidence gives equal scores in any task order.
 SCORE = "decimal(28,12)"
+# Documents of one block of the stored index, on average.
+BLOCK_DOCUMENTS = 64
 
 
 @dataclass(frozen=True)
@@ -82,33 +85,96 @@ def idf(index: TermIndex, vocabulary: DataFrame | None = None) -> DataFrame:
     )
 
 
-def _evidence(index: TermIndex, queries: DataFrame, query_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Postings of the asked terms, by document, and the weighed terms of each query.
+@dataclass(frozen=True)
+class StoredIndex:
+    """A written index, from which searches are answered without the texts.
+
+    ``blocks`` has a row for each term and block of documents that has it: ``term``, ``block``, the most
+    that a document of the block can weigh for the term, and ``docs``, the documents and the number of the
+    field that has it. It is bucketed by term, so that a search deals out its own terms only. ``terms`` has the
+    document count and inverse document frequency of each term.
+    """
+
+    spark: SparkSession
+    blocks_name: str
+    terms: DataFrame
+    fields: tuple[str, ...]
+
+    @property
+    def blocks(self) -> DataFrame:
+        return self.spark.table(self.blocks_name)
 
-    The corpus is read once: of each document only the terms that some query asks for are kept, as a
-    written table from which document frequencies and scores are both taken.
+
+def store_index(index: TermIndex, block_documents: int = BLOCK_DOCUMENTS) -> StoredIndex:
+    """Write the inverted index of ``index``; each text is read once.
+
+    Documents are dealt into blocks by a hash of their id, ``block_documents`` of them on average. A
+    frequent term is a row for each block, so no task and no row holds all its documents.
     """
+    spark = index.documents.sparkSession
+    documents = written(index.documents)
+    total = documents.count()
+    blocks = max(1, -(-total // block_documents))
+    per_field = F.array(*[F.struct(F.lit(k).alias("field"), F.col(f).alias("terms")) for k, f in enumerate(index.fields)])
+    found = (
+        documents.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), F.explode(per_field).alias("f"))
+        .select("block", F.struct("doc_id", F.col("f.field").alias("field")).alias("doc"), F.explode("f.terms").alias("term"))
+    )
+    # No document of the block weighs more than all fields in which some document has the term.
+    most = sum((F.max(F.when(F.col("doc.field") == k, FIELD_WEIGHTS[f]).otherwise(0)) for k, f in enumerate(index.fields)), F.lit(0))
+    # At most the documents of one block are gathered.
+    grouped = found.groupBy("term", "block").agg(most.alias("most"), F.collect_list("doc").alias("docs"))
+    name = f"term_index_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}-{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    grouped.repartition(buckets, "term").write.option("path", path).bucketBy(buckets, "term").sortBy("term").saveAsTable(name)
+    delete_on_exit(spark, path)
+    counts = spark.table(name).groupBy("term").agg(F.sum(F.size(F.array_distinct("docs.doc_id"))).cast("bigint").alias("documents"))
+    value = F.log(F.lit(total + 1.0) / (F.col("documents") + 1).cast("double")) + 1.0
+    return StoredIndex(spark, name, written(counts.withColumn("idf", value)), index.fields)
+
+
+def _asked(stored: StoredIndex, queries: DataFrame, query_id: str, text: str) -> DataFrame:
+    """The known terms of each query with their weights."""
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(lexical_terms(text)).alias("term"))
-    found = cut_lineage(postings(index).join(asked.select("term").distinct(), "term", "left_semi").select("doc_id", "field", "term"))
-    total = index.documents.agg(F.count(F.lit(1)).alias("n")).scalar()
-    counts = found.select("doc_id", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
-    value = F.log((total + 1).cast("double") / (F.col("documents") + 1).cast("double")) + 1.0
-    weighed = asked.join(counts, "term").select("query_id", "term", F.round(value, 12).cast(SCORE).alias("idf"))
-    return found, weighed
+    return written(asked.join(stored.terms, "term").select("query_id", "term", F.round("idf", 12).cast(SCORE).alias("idf")))
+
+
+def _weight(stored: StoredIndex, field: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(FIELD_WEIGHTS[f]) for f in stored.fields]), field + 1)
 
 
-def _matches(found: DataFrame, weighed: DataFrame, keep: DataFrame | None) -> DataFrame:
-    """Weighed matches, with all terms of a document in one task."""
+def _scored(stored: StoredIndex, asked: DataFrame, wanted: DataFrame, keep: DataFrame | None) -> DataFrame:
+    """Scores of the documents of the ``wanted`` (query_id, block), from their blocks of postings."""
+    read = asked.join(stored.blocks.select("term", "block", "docs"), "term").join(wanted, ["query_id", "block"], "left_semi")
+    # A document is in one block: postings move as they are stored, and its terms meet where the block does.
+    matches = read.repartition("block").select("query_id", "block", "idf", F.explode("docs").alias("doc"))
+    matches = matches.select("query_id", "block", "doc.doc_id", (_weight(stored, F.col("doc.field")) * F.col("idf")).cast(SCORE).alias("weight"))
     if keep is not None:
-        found = found.join(keep.select("doc_id"), "doc_id", "left_semi")
-    weight = F.lit(None).cast("int")
-    for field, value in FIELD_WEIGHTS.items():
-        weight = F.when(F.col("field") == field, F.lit(value)).otherwise(weight)
-    return (
-        found.repartition("doc_id")
-        .join(weighed, "term")
-        .select("query_id", "doc_id", "field", "term", (weight * F.col("idf")).cast(SCORE).alias("weight"))
+        matches = matches.join(keep.select("doc_id").distinct(), "doc_id", "left_semi")
+    return matches.groupBy("query_id", "block", "doc_id").agg(F.sum("weight").alias("score")).drop("block").filter(F.col("score") > 0)
+
+
+def search_stored(stored: StoredIndex, queries: DataFrame, query_id: str, text: str, k: int, keep: DataFrame | None = None) -> DataFrame:
+    """``search`` over a stored index: the same rows, without reading a text.
+
+    For each query, the most that each block of documents can score is the sum over its terms of
+    the block's maxima. The block with the highest bound is scored first; its k-th score, if it has k
+    documents, is what a document of another block must reach, and blocks whose bound is less are not
+    read at all.
+    """
+    if k < 1:
+        raise ValueError("k must be positive")
+    asked = _asked(stored, queries, query_id, text)
+    bounds = written(
+        asked.join(stored.blocks.select("term", "block", "most"), "term").groupBy("query_id", "block").agg(F.sum((F.col("most") * F.col("idf")).cast(SCORE)).alias("bound"))
     )
+    order = (F.col("score").desc(), F.col("doc_id").asc())
+    first = bounds.groupBy("query_id").agg(F.max(F.struct("bound", "block")).alias("_m")).select("query_id", "_m.block")
+    tops = first_n_per_group(_scored(stored, asked, first, keep), ("query_id",), order, k, "rank")
+    least = tops.filter(F.col("rank") == k).select(F.col("query_id").alias("_query"), F.col("score").alias("least"))
+    wanted = bounds.join(least, F.col("query_id") == F.col("_query"), "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least"))).select("query_id", "block")
+    return first_n_per_group(_scored(stored, asked, written(wanted), keep), ("query_id",), order, k, "rank")
 
 
 def search(
@@ -121,32 +187,24 @@ def search(
 ) -> DataFrame:
     """Top ``k`` documents per query by summed field weight times IDF of shared terms.
 
-    ``keep`` lists the document ids a filter admits; IDF still counts the whole corpus. Only the
-    postings of asked terms are dealt out by document, so partial sums are whole scores and the
-    ranking limit drops most of them before the shuffle to queries.
+    ``keep`` lists the document ids a filter admits; IDF still counts the whole corpus. The index is
+    written first; who searches more than once keeps it with ``store_index``.
     """
-    if k < 1:
-        raise ValueError("k must be positive")
-    found, weighed = _evidence(index, queries, query_id, text)
-    scores = _matches(found, weighed, keep).groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score"))
-    order = (F.col("score").desc(), F.col("doc_id").asc())
-    return first_n_per_group(scores.filter(F.col("score") > 0), ("query_id",), order, k, "rank")
+    return search_stored(store_index(index), queries, query_id, text, k, keep)
 
 
-def term_contributions(
-    index: TermIndex, queries: DataFrame, query_id: str, text: str, hits: DataFrame
-) -> DataFrame:
+def term_contributions(stored: StoredIndex, queries: DataFrame, query_id: str, text: str, hits: DataFrame) -> DataFrame:
     """For each hit and field, a map from shared term to its weight.
 
-    Only documents that are hits are matched again; a map is bounded by its query's terms.
+    Only the blocks of hits are read again; a map is bounded by its query's terms.
     """
-    found, weighed = _evidence(index, queries, query_id, text)
+    asked = _asked(stored, queries, query_id, text)
     wanted = hits.select("query_id", "doc_id", "rank")
-    evidence = _matches(found, weighed, wanted.select("doc_id").distinct()).join(wanted, ["query_id", "doc_id"])
-    return evidence.groupBy("query_id", "doc_id", "rank", "field").agg(
-        F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct("term", F.col("weight").cast("double").alias("weight"))))
-        ).alias("terms")
+    found = asked.join(stored.blocks.select("term", F.explode("docs").alias("doc")), "term").select("query_id", "term", "idf", "doc.doc_id", "doc.field").join(wanted, ["query_id", "doc_id"])
+    weight = (_weight(stored, F.col("field")) * F.col("idf")).cast(SCORE).cast("double")
+    name = F.element_at(F.array(*[F.lit(f) for f in stored.fields]), F.col("field") + 1)
+    return found.groupBy("query_id", "doc_id", "rank", name.alias("field")).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", weight.alias("weight"))))).alias("terms")
     )
 
 
