@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metricloom.functions.text import WHITESPACE_RUN
+
 # Secret patterns by rule name.
 SECRET_RULES = (
     ("openai_style_secret", r"\bsk-[A-Za-z0-9_-]{20,}\b"),
@@ -70,12 +72,14 @@ def secret_scan(
     )
     found = rows.select(F.col(doc_id).alias("doc_id"), F.explode(hits).alias("h"))
 
-    def total(values: Column, count: Column) -> Column:
-        return F.aggregate(F.slice(values, F.lit(1), count), F.lit(0), lambda acc, v: acc + v)
-
-    lines = F.transform(
-        "h.matches", lambda _, i: total(F.col("h.pieces"), i + 1) + total(F.col("h.matches"), i) + 1
+    # One running pass: only the newlines are kept, with a mark where each match begins.
+    marks = F.zip_with(
+        "h.pieces",
+        "h.matches",
+        lambda piece, match: F.when(match.isNotNull(), F.concat(F.repeat(F.lit("\n"), piece), F.lit("|"), F.repeat(F.lit("\n"), match))).otherwise(""),
     )
+    per_line = F.split(F.array_join(marks, ""), "\n")
+    lines = F.flatten(F.transform(per_line, lambda marked, i: F.array_repeat(i + 1, F.length(marked))))
     return found.select("doc_id", "h.rule", F.explode(lines).alias("line"))
 
 
@@ -96,7 +100,8 @@ def classify_errors(
     repairable: Sequence[tuple[str, str]] = REPAIRABLE_ERRORS,
 ) -> DataFrame:
     """Category, eligibility and rule id of each execution outcome; what no rule knows is denied."""
-    text = F.trim(F.coalesce(message, F.lit("")))
+    # Any white space is stripped; only a line feed ends a line, as where the patterns come from.
+    text = F.regexp_replace(F.coalesce(message, F.lit("")), f"^{WHITESPACE_RUN}|{WHITESPACE_RUN}\\z", "")
     database = error_type == "database"
     structural = error_type.isin("sql_syntax", "field")
     rule = (
@@ -109,7 +114,7 @@ def classify_errors(
         .when(database & ~started, F.lit("database_unavailable_before_execution"))
     )
     for rule_id, pattern in repairable:
-        rule = rule.when(database & text.rlike(pattern), F.lit(rule_id))
+        rule = rule.when(database & text.rlike(f"(?d){pattern}"), F.lit(rule_id))
     rule = rule.when(database, F.lit("database_error_default_deny")).otherwise(
         F.lit("unknown_execution_error_default_deny")
     )

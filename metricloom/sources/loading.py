@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,42 +85,116 @@ def retail_violations(tables: dict[str, DataFrame]) -> DataFrame:
     return report.filter(F.col("violations") > 0)
 
 
+def _store(spark: SparkSession, target: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(target).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def versions(spark: SparkSession, target: str) -> list[int]:
+    """Committed versions of a publication target, oldest first."""
+    fs, path = _store(spark, target)
+    folder = path(f"{target.rstrip('/')}/commits")
+    if not fs.exists(folder):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(folder)]
+    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
+
+def _commit(spark: SparkSession, target: str, content: dict) -> int:
+    """Make ``content`` the next version.
+
+    A version number is claimed by creating a file that must not exist yet, so two publishers never
+    share one; the commit itself is written aside and renamed, so a reader sees all of it or nothing. A
+    claim whose publisher died before its commit is a number that is never used.
+    """
+    fs, path = _store(spark, target)
+    folder = f"{target}/commits"
+    fs.mkdirs(path(folder))
+    version = max([0, *versions(spark, target)])
+    while True:
+        version += 1
+        try:
+            fs.create(path(f"{folder}/{version:020d}.claim"), False).close()
+            break
+        except Py4JJavaError:
+            if not fs.exists(path(f"{folder}/{version:020d}.claim")):
+                raise
+    aside = path(f"{folder}/{version:020d}.{uuid.uuid4().hex}")
+    out = fs.create(aside, False)
+    out.write(bytearray(json.dumps({**content, "version": version}, sort_keys=True).encode()))
+    out.close()
+    if not fs.rename(aside, path(f"{folder}/{version:020d}.json")):
+        fs.delete(aside, False)
+        raise LoadError(f"version {version} could not be committed")
+    return version
+
+
 def publish(
     tables: dict[str, DataFrame],
     target: str,
     audit=retail_violations,
     partition_by: dict[str, Sequence[str]] | None = None,
-) -> None:
-    """Write all tables beside the target, audit what was written, then swap folders.
+) -> int:
+    """Write all tables as a new version of the target and return its number.
 
-    The audit reads the staged files, so what is published is what was checked. On any failure
-    the staging folder is removed and the target stays as it was.
+    The audit reads the written files, so what is published is what was checked. A version is seen
+    by readers from the moment its commit file is there, and no file of an earlier one is touched. On
+    any failure the new files are removed and the latest version stays what it was.
     """
     spark = next(iter(tables.values())).sparkSession
-    jvm = spark._jvm
-    Path = jvm.org.apache.hadoop.fs.Path
     target = target.rstrip("/")
-    mark = uuid.uuid4().hex
-    staging, retired = f"{target}.staging-{mark}", f"{target}.retired-{mark}"
-    fs = Path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, path = _store(spark, target)
+    data = f"data/{uuid.uuid4().hex}"
     try:
         for name, df in tables.items():
             writer = df.write.mode("error")
             if partition_by and name in partition_by:
                 writer = writer.partitionBy(*partition_by[name])
-            writer.parquet(f"{staging}/{name}")
-        staged = {
-            name: spark.read.schema(df.schema).parquet(f"{staging}/{name}") for name, df in tables.items()
-        }
+            writer.parquet(f"{target}/{data}/{name}")
+        staged = {name: spark.read.schema(df.schema).parquet(f"{target}/{data}/{name}") for name, df in tables.items()}
         broken = audit(staged).collect()  # one row for each declared rule at most
         if broken:
             raise LoadError(f"publication refused: {[tuple(r) for r in broken]}")
-        if fs.exists(Path(target)) and not fs.rename(Path(target), Path(retired)):
-            raise LoadError("the current target could not be set aside")
-        if not fs.rename(Path(staging), Path(target)):
-            fs.rename(Path(retired), Path(target))
-            raise LoadError("the staged tables could not be moved into place")
+        return _commit(spark, target, {"data": data, "tables": {name: df.schema.jsonValue() for name, df in tables.items()}})
     except Exception:
-        fs.delete(Path(staging), True)
+        fs.delete(path(f"{target}/{data}"), True)
         raise
-    fs.delete(Path(retired), True)
+
+
+def _committed(spark: SparkSession, target: str, version: int) -> dict:
+    fs, path = _store(spark, target)
+    stream = fs.open(path(f"{target.rstrip('/')}/commits/{version:020d}.json"))
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def published(spark: SparkSession, target: str, version: int | None = None) -> dict[str, DataFrame]:
+    """All tables of one version, the latest if none is named.
+
+    The version is chosen once: tables read together are of one publication, and stay readable while
+    later ones are committed.
+    """
+    known = versions(spark, target)
+    if not known or (version is not None and version not in known):
+        raise LoadError(f"{target} has no version {'yet' if version is None else version}")
+    commit = _committed(spark, target, known[-1] if version is None else version)
+    return {name: spark.read.schema(T.StructType.fromJson(schema)).parquet(f"{target.rstrip('/')}/{commit['data']}/{name}") for name, schema in commit["tables"].items()}
+
+
+def vacuum(spark: SparkSession, target: str, keep: int) -> list[int]:
+    """Remove all but the last ``keep`` versions, commits first, and return their numbers.
+
+    Readers that are pinned to a removed version fail; that choice is the caller's.
+    """
+    if keep < 1:
+        raise ValueError("at least one version stays")
+    fs, path = _store(spark, target)
+    target = target.rstrip("/")
+    old = versions(spark, target)[:-keep]
+    for version in old:
+        data = _committed(spark, target, version)["data"]
+        fs.delete(path(f"{target}/commits/{version:020d}.json"), False)
+        fs.delete(path(f"{target}/{data}"), True)
+    return old

@@ -30,7 +30,7 @@ from metricloom.operators.grain import (
 from metricloom.plans.star import RETAIL_SCHEMAS
 from metricloom.session import shared_folder
 from metricloom.sources.files import read_records, write_report
-from metricloom.sources.loading import load_all, load_dedup, load_table, publish
+from metricloom.sources.loading import load_all, load_dedup, load_table, publish, published
 from registry.common import MONEY, amount, bound_star, ratio, star, tables
 
 QUERIES: dict = {}
@@ -318,13 +318,15 @@ ORACLES["load_all_reconciled"] = """SELECT 'dim_sellers' AS table_name, 2 * coun
 def _published(spark, folder):
     loaded, _ = load_all(spark, {"dim_sellers": _sellers(spark, folder)})
     target = f"{shared_folder(spark).rstrip('/')}/published-{uuid.uuid4().hex}"
+    first = publish({"dim_sellers": loaded["dim_sellers"].filter("seller_id = '1'")}, target)
     publish(loaded, target)
-    publish(loaded, target)
-    return spark.read.parquet(f"{target}/dim_sellers")
+    before, after = (published(spark, target, v)["dim_sellers"] for v in (first, None))
+    # The version that a reader is pinned to stays as it was.
+    return after.join(before.select(F.col("seller_id").alias("_first")), F.col("seller_id") == F.col("_first"), "left").select(*after.columns, F.col("_first").isNotNull().alias("in_first_version"))
 
 
 QUERIES["load_publish_tables"] = _published
-ORACLES["load_publish_tables"] = "SELECT CAST(s_suppkey AS VARCHAR) AS seller_id, lpad(CAST(s_nationkey AS VARCHAR), 5, '0') AS seller_zip_code_prefix, lower(s_name) AS seller_city, 'SP' AS seller_state FROM supplier"
+ORACLES["load_publish_tables"] = "SELECT CAST(s_suppkey AS VARCHAR) AS seller_id, lpad(CAST(s_nationkey AS VARCHAR), 5, '0') AS seller_zip_code_prefix, lower(s_name) AS seller_city, 'SP' AS seller_state, s_suppkey = 1 AS in_first_version FROM supplier"
 
 
 def _records(spark, folder):

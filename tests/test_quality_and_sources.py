@@ -1,7 +1,9 @@
 """Profiles, audits, loads and publication."""
 
+import contextlib
 import datetime as dt
 import pathlib
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from metricloom.operators.quality import (
 )
 from metricloom.plans.star import RETAIL_SCHEMAS
 from metricloom.sources.files import csv_shape, file_manifest, read_records, write_report
-from metricloom.sources.loading import LoadError, load_all, load_dedup, load_table, publish
+from metricloom.sources.loading import LoadError, load_all, load_dedup, load_table, publish, published, vacuum, versions
 
 
 def cells(frame):
@@ -104,14 +106,58 @@ def test_load_all_and_publish(spark, raw, tmp_path):
     assert items == {1: 100.5, 2: 50.0}
     assert {r.product_id: r.product_category_name for r in tables["dim_products"].collect()} == {"p1": "toys", "p2": None}
     target = str(tmp_path / "store")
-    publish(tables, target)
-    assert spark.read.parquet(f"{target}/fact_order_items").count() == 2
-    publish(tables, target)
+    with pytest.raises(LoadError, match="no version yet"):
+        published(spark, target)
+    assert publish(tables, target) == 1 and published(spark, target)["fact_order_items"].count() == 2
+    pinned = published(spark, target)
+    fewer = dict(tables, fact_order_items=tables["fact_order_items"].filter("order_item_id = 1"))
+    assert publish(fewer, target) == 2
     broken = dict(tables, fact_payments=tables["fact_payments"].withColumn("order_id", F.lit("nowhere")))
     with pytest.raises(LoadError, match="refused"):
         publish(broken, target)
-    assert spark.read.parquet(f"{target}/fact_payments").first().order_id == "o1"
-    assert [p.name for p in tmp_path.iterdir() if "staging" in p.name or "retired" in p.name] == []
+    assert versions(spark, target) == [1, 2] and len(list((tmp_path / "store" / "data").iterdir())) == 2
+    assert pinned["fact_order_items"].count() == 2 and published(spark, target)["fact_order_items"].count() == 1
+    assert published(spark, target, 1)["fact_order_items"].count() == 2
+    assert published(spark, target)["fact_payments"].first().order_id == "o1"
+    assert vacuum(spark, target, 1) == [1] and versions(spark, target) == [2] and publish(tables, target) == 3
+    with pytest.raises(LoadError, match="no version 1"):
+        published(spark, target, 1)
+
+
+def test_readers_see_one_whole_version_while_publishers_race(spark, tmp_path):
+    target = str(tmp_path / "store")
+
+    def tables(n):
+        return {name: spark.range(n).select(F.lit(n).alias("n")) for name in ("a", "b")}
+
+    publish(tables(1), target, audit=lambda t: t["a"].limit(0))
+    stop, seen, failed = threading.Event(), [], []
+
+    def read():
+        while not stop.is_set():
+            try:
+                now = published(spark, target)
+                seen.append({(r.n, name, now[name].count()) for name in now for r in now[name].limit(1).collect()})
+            except Exception as error:  # noqa: BLE001 - any failure of a reader counts
+                failed.append(error)
+
+    def write(n):
+        publish(tables(n), target, audit=lambda t: t["a"].limit(0))
+        with contextlib.suppress(LoadError):
+            publish(tables(n + 100), target, audit=lambda t: t["a"].limit(1))  # refused
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    writers = [threading.Thread(target=write, args=(n,)) for n in range(2, 7)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    stop.set()
+    reader.join()
+    assert not failed and seen and versions(spark, target) == [1, 2, 3, 4, 5, 6]
+    for found in seen:
+        assert len({n for n, _, _ in found}) == 1 and {name for _, name, _ in found} == {"a", "b"} and all(n == count < 100 for n, _, count in found)
 
 
 def test_header_must_match(spark, tmp_path):
