@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,17 +11,19 @@ from pyspark.sql import functions as F
 from metricloom.functions.joins import join_on
 from metricloom.operators.windows import running_totals
 
-BLOCKS = 256
-STEP = 16
+# Blocks for each shuffle partition of the session.
+BLOCKS_PER_PARTITION = 32
 
 
-def with_value_blocks(df: DataFrame, column: str, name: str, blocks: int = BLOCKS) -> DataFrame:
+def with_value_blocks(df: DataFrame, column: str, name: str, blocks: int | None = None) -> DataFrame:
     """Add a non-decreasing block number of a numeric column with about equal rows per block.
 
-    The cut points are approximate quantiles: one row of a few hundred numbers, read as a scalar
-    subquery of the same job. Any cut points give exact results; they only balance the work.
+    The cut points are approximate quantiles, as many as the session's shuffle partitions call for:
+    one row of numbers, read as a scalar subquery of the same job. Any cut points give exact results;
+    they only balance the work.
     """
-    step = STEP
+    blocks = blocks or BLOCKS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    step = max(2, math.isqrt(blocks))
     cuts = df.agg(F.percentile_approx(column, [i / blocks for i in range(1, blocks)], 10 * blocks).alias("cuts"))
     coarse = cuts.select(F.filter("cuts", lambda _, i: i % step == step - 1))
     placed = df.withColumns({"_cuts": cuts.scalar(), "_coarse": coarse.scalar()})
@@ -28,7 +31,7 @@ def with_value_blocks(df: DataFrame, column: str, name: str, blocks: int = BLOCK
     def below(points: Column) -> Column:
         return F.size(F.filter(points, lambda p: p <= F.col(column)))
 
-    # First among every 16th cut, then among the few between: a short search instead of a scan.
+    # First among every ``step``-th cut, then among those between: a short search instead of a scan.
     placed = placed.withColumn("_c", below(F.col("_coarse")) * step)
     found = F.col("_c") + below(F.slice("_cuts", F.col("_c") + 1, F.lit(step - 1)))
     return placed.withColumn(name, found).drop("_cuts", "_coarse", "_c")

@@ -8,20 +8,21 @@ when a one-to-one pairing of all rows exists.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from metricloom.functions.joins import join_on
 from metricloom.functions.scope import flag
-from metricloom.operators.ranking import cumulative_counts
-from metricloom.operators.similarity import connected_components
-from metricloom.session import cut_lineage
+from metricloom.operators.matching import maximum_matching
+from metricloom.operators.ranking import with_value_blocks
+from metricloom.operators.windows import running_totals
+from metricloom.session import written
 
 RANKS_PER_BLOCK = 10_000
 
@@ -89,18 +90,22 @@ def _close(a: Column, b: Column, tolerance: tuple[float, float]) -> Column:
     )
 
 
+def _exact_columns(expected: DataFrame, actual: DataFrame, rules: DiffRules) -> list[str]:
+    """Columns without a tolerance, or that are not numbers on both sides."""
+
+    def number(df: DataFrame, c: str) -> bool:
+        return c in df.columns and _kind(df.schema[c].dataType) == "number"
+
+    return [c for c in rules.columns if not (rules.of(c) and number(expected, c) and number(actual, c))]
+
+
 def _aligned(expected: DataFrame, actual: DataFrame, by: Sequence[str], rules: DiffRules):
     """Both sides as (*by, x0.. exact text, v0.. tolerant doubles[, position]).
 
     A column one side lacks, or holds as another kind, can match nothing but NULL.
     """
-    tolerant = [
-        c
-        for c in rules.columns
-        if rules.of(c)
-        and all(c in d.columns and _kind(d.schema[c].dataType) == "number" for d in (expected, actual))
-    ]
-    exact = [c for c in rules.columns if c not in tolerant]
+    exact = _exact_columns(expected, actual, rules)
+    tolerant = [c for c in rules.columns if c not in exact]
     doubles = {c for c in exact if any(c in d.columns and _inexact(d.schema[c].dataType) for d in (expected, actual))}
 
     def side(df: DataFrame, absent_mark: str) -> DataFrame:
@@ -115,18 +120,20 @@ def _aligned(expected: DataFrame, actual: DataFrame, by: Sequence[str], rules: D
     return side(expected, "absent in expected"), side(actual, "absent in actual"), *names, [rules.of(c) for c in tolerant]
 
 
-def _pair_runs(dirty: DataFrame, key: list[str], value: str, tolerance: tuple[float, float]) -> DataFrame:
-    """Keys whose values, paired in sorted order, contain a pair outside the tolerance.
+def _pair_runs(dirty: DataFrame, key: list[str], values: list[str], tolerances: Sequence[tuple[float, float]]) -> DataFrame:
+    """Keys whose rows, paired in sorted order of ``values``, contain a pair outside the tolerances.
 
     For one number sorted pairing is optimal, because closeness never improves by crossing. Each
-    distinct value covers a range of ranks on its side; ranges are clipped to blocks of ranks and
+    distinct row covers a range of ranks on its side; ranges are clipped to blocks of ranks and
     the two sides are read together inside each block.
     """
-    ranked = cumulative_counts(dirty, key, value, {"_e_end": "e", "_a_end": "a"})
-
+    row = F.struct(*values)
+    counts = dirty.groupBy(*key, *values).agg(F.sum("e").alias("e"), F.sum("a").alias("a")).withColumn("_row", row)
+    ranked = running_totals(with_value_blocks(counts, values[0], "_cut_block"), key, "_row", F.col("_cut_block"), {"_e_end": F.col("e"), "_a_end": F.col("a")})
+    none = F.lit(None).cast(counts.schema["_row"].dataType)
     sides = F.array(
-        F.struct(F.col("e").alias("n"), F.col("_e_end").alias("end"), F.col(value).alias("_e"), F.lit(None).cast("double").alias("_a")),
-        F.struct(F.col("a").alias("n"), F.col("_a_end").alias("end"), F.lit(None).cast("double").alias("_e"), F.col(value).alias("_a")),
+        F.struct(F.col("e").alias("n"), F.col("_e_end").alias("end"), F.col("_row").alias("_e"), none.alias("_a")),
+        F.struct(F.col("a").alias("n"), F.col("_a_end").alias("end"), none.alias("_e"), F.col("_row").alias("_a")),
     )
     runs = ranked.select(*key, F.explode(sides).alias("s")).filter(F.col("s.n") > 0)
     first, last = F.col("s.end") - F.col("s.n"), F.col("s.end") - 1
@@ -139,75 +146,129 @@ def _pair_runs(dirty: DataFrame, key: list[str], value: str, tolerance: tuple[fl
     paired = starts.select(
         *key, F.last("_e", ignorenulls=True).over(along).alias("_e"), F.last("_a", ignorenulls=True).over(along).alias("_a")
     )
-    return paired.filter(~F.coalesce(_close(F.col("_e"), F.col("_a"), tolerance), F.lit(False))).select(*key).distinct()
+    near = reduce(lambda p, q: p & q, [_close(F.col(f"_e.{v}"), F.col(f"_a.{v}"), t) for v, t in zip(values, tolerances)])
+    return paired.filter(~F.coalesce(near, F.lit(False))).select(*key).distinct()
 
 
-def _match_components(dirty: DataFrame, key: list[str], values: list[str], tolerances) -> DataFrame:
-    """Keys without a full pairing when several numbers have a tolerance.
+def _cell(value: Column, tolerance: tuple[float, float]) -> Column:
+    """A number that differs by at most one between close values, whatever their size.
 
-    Candidate pairs come from a grid on the first number; only rows that are linked by closeness
-    can affect each other, so each connected component is matched by itself.
+    It grows evenly where the absolute tolerance rules and with the logarithm where the relative one
+    does, so one very large value does not widen the cells of the others. Values of different signs
+    are close only near zero. It stays a double: beyond its precision neighbours are equal numbers.
     """
-    rows = dirty.withColumnRenamed("_node", "node")
-    absolute, relative = tolerances[0]
-    width = F.greatest(F.lit(absolute), F.lit(relative) * F.max(F.abs(values[0])), F.lit(1e-300))
-    widths = rows.groupBy(*key).agg((width * 1.0000001).alias("_width"))
-    rows = rows.join(widths, key).withColumn("_cell", F.floor(F.col(values[0]) / F.col("_width")).cast("bigint"))
-    e = rows.filter("e > 0").select(*key, F.explode(F.array(F.col("_cell") - 1, F.col("_cell"), F.col("_cell") + 1)).alias("_cell"), F.col("node").alias("left_id"), *[F.col(v).alias(f"e_{v}") for v in values])
-    a = rows.filter("a > 0").select(*key, "_cell", F.col("node").alias("right_id"), *[F.col(v).alias(f"a_{v}") for v in values])
+    absolute, relative = tolerance
+    if relative >= 0.9:
+        return F.lit(0.0)
+    size = F.abs(value)
+    if relative > 0:
+        turn = absolute / relative
+        per_step = -math.log1p(-relative)
+        # A value in the logarithmic part is one cell and its logarithm away from the turn.
+        base = size / absolute if absolute > 0 else F.lit(0.0)
+        grown = F.lit(1 / relative if absolute > 0 else 0.0) + F.log(F.greatest(size, F.lit(5e-324)) / (turn if absolute > 0 else 1e-320)) / per_step
+        scaled = F.when(size <= turn, base).otherwise(grown + (0.0 if absolute > 0 else 2.0))
+    else:
+        scaled = size / absolute if absolute > 0 else size
+    signed = F.when(value < 0, -scaled).otherwise(scaled) / 1.25
+    return signed - F.pmod(signed, F.lit(1.0))
+
+
+def _close_pairs(dirty: DataFrame, key: list[str], values: list[str], tolerances: Sequence[tuple[float, float]]) -> DataFrame:
+    """(e_id, a_id, distance) of all rows that are close, met in the cells of the first two numbers."""
+    gridded = list(zip(values, tolerances))[:2]
+    cells = [f"_c{i}" for i in range(len(gridded))]
+    rows = dirty.withColumns({c: _cell(F.col(v), t) for c, (v, t) in zip(cells, gridded)})
+    e = rows.filter("e > 0").select(*key, *cells, F.col("_node").alias("e_id"), *[F.col(v).alias(f"e_{v}") for v in values])
+    for c in cells:
+        e = e.withColumn(c, F.explode(F.array_distinct(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))))
+    a = rows.filter("a > 0").select(*key, *cells, F.col("_node").alias("a_id"), *[F.col(v).alias(f"a_{v}") for v in values])
     near = reduce(lambda p, q: p & q, [_close(F.col(f"e_{v}"), F.col(f"a_{v}"), t) for v, t in zip(values, tolerances)])
-    edges = e.join(a, [*key, "_cell"]).filter(near).select("left_id", "right_id").distinct()
-    labels = connected_components(edges.filter("left_id <> right_id"), rows.select(F.col("node").alias("id")))
-    members = rows.join(labels, rows.node == labels.id).drop("id", "_cell", "_width")
-
-    def unmatched(group: pd.DataFrame) -> pd.DataFrame:
-        wanted = [list(r) for r in group.loc[group.e > 0, [*values, "e"]].itertuples(index=False)]
-        offered = [list(r) for r in group.loc[group.a > 0, [*values, "a"]].itertuples(index=False)]
-        ok = sum(w[-1] for w in wanted) == sum(o[-1] for o in offered) and _flow(wanted, offered, tolerances)
-        return group[key].head(1 if not ok else 0)
-
-    schema = T.StructType([dirty.schema[c] for c in key])
-    return members.groupBy("component").applyInPandas(unmatched, schema).distinct()
-
-
-def _flow(wanted, offered, tolerances) -> bool:
-    """Whether all wanted multiplicities can be served by close offered ones (augmenting paths)."""
-
-    def close(a, b):
-        return all(abs(x - y) <= max(r * max(abs(x), abs(y)), t) for x, y, (t, r) in zip(a[:-1], b[:-1], tolerances))
-
-    reach = [[j for j, o in enumerate(offered) if close(w, o)] for w in wanted]
-    spare = [o[-1] for o in offered]
-    used = [[0] * len(offered) for _ in wanted]
-    for start, w in enumerate(wanted):
-        for _ in range(int(w[-1])):
-            parents, frontier, seen, end = {}, [start], set(), None
-            while frontier and end is None:
-                i = frontier.pop()
-                for j in reach[i]:
-                    if j in seen:
-                        continue
-                    seen.add(j)
-                    parents[("o", j)] = i
-                    if spare[j] > 0:
-                        end = j
-                        break
-                    for k, row in enumerate(used):
-                        if row[j] > 0 and ("w", k) not in parents and k != start:
-                            parents[("w", k)] = j
-                            frontier.append(k)
-            if end is None:
-                return False
-            spare[end] -= 1
-            j = end
-            while True:
-                i = parents[("o", j)]
-                used[i][j] += 1
-                if i == start:
-                    break
-                j = parents[("w", i)]
-                used[i][j] -= 1
-    return True
+    apart = [F.coalesce(F.abs(F.col(f"e_{v}") - F.col(f"a_{v}")) / F.lit(t[0] if t[0] > 0 else 1.0), F.lit(0.0)) for v, t in zip(values, tolerances)]
+    return e.join(a, [*key, *cells]).filter(near).select("e_id", "a_id", reduce(lambda p, q: p + q, apart).alias("distance"))
+
+
+def _unmatched(dirty: DataFrame, key: list[str], values: list[str], tolerances: Sequence[tuple[float, float]]) -> DataFrame:
+    """(e_id, room): expected rows, and how many of their copies, that a maximum matching leaves over."""
+    wanted = dirty.filter("e > 0").select(F.col("_node").alias("e_id"), F.col("e").alias("n"))
+    offered = dirty.filter("a > 0").select(F.col("_node").alias("a_id"), F.col("a").alias("n"))
+    return maximum_matching(_close_pairs(dirty, key, values, tolerances), wanted, offered)
+
+
+def _without_pairing(dirty: DataFrame, key: list[str], values: list[str], tolerances: Sequence[tuple[float, float]]) -> DataFrame:
+    """Keys without a full pairing of their rows.
+
+    With several numbers, a key fails if one number alone has no full pairing, and passes if the
+    sorted rows pair up as they stand. Both are running counts; only what is then undecided is matched.
+    """
+    if len(values) == 1:
+        return _pair_runs(dirty, key, values, tolerances)
+    alone = written(reduce(lambda p, q: p.union(q), [_pair_runs(dirty, key, [v], [t]) for v, t in zip(values, tolerances)]).distinct())
+    rest = written(dirty.join(alone, key, "left_anti"))
+    if rest.isEmpty():
+        return alone
+    open_keys = written(_pair_runs(rest, key, values, tolerances))
+    rest = written(rest.join(open_keys, key, "left_semi"))
+    if rest.isEmpty():
+        return alone
+    over = _unmatched(rest, key, values, tolerances)
+    return alone.union(rest.join(over, F.col("_node") == F.col("e_id"), "left_semi").select(*key).distinct())
+
+
+@dataclass(frozen=True)
+class _Counted:
+    """Both sides as counted rows: ``cells`` have the ``key`` columns, ``values``, ``e``, ``a``, ``_node`` and ``_g``."""
+
+    cells: DataFrame
+    expected: DataFrame
+    actual: DataFrame
+    exact: list[str]
+    values: list[str]
+    tolerances: list[tuple[float, float]]
+    key: list[str]
+
+
+def _counted(expected: DataFrame, actual: DataFrame, rules: DiffRules, by: Sequence[str]) -> _Counted:
+    e, a, exact, values, tolerances = _aligned(expected, actual, by, rules)
+    nulls = [F.col(v).isNull().alias(f"n_{v}") for v in values]
+    key = [*by, *exact, *[f"n_{v}" for v in values]]
+    filled = [F.coalesce(v, F.lit(0.0)).alias(v) for v in values]
+
+    def side(rows: DataFrame, mine: str, other: str) -> DataFrame:
+        return rows.select(*by, *exact, *nulls, *filled, F.lit(1).alias(mine), F.lit(0).alias(other))
+
+    rows = side(e, "e", "a").unionByName(side(a, "a", "e"))
+    # One text key per group keeps the later joins free of null-safe comparisons: each part is
+    # written after its own length, so no two groups share a key.
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in key]
+    group = F.concat_ws("|", *[x for p in parts for x in (F.length(p), p)]) if key else F.lit("all")
+    # Both results are computed once and kept as counts; every later step reads those.
+    cells = rows.groupBy(*key, *values).agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
+    cells = written(cells.withColumns({"_node": F.monotonically_increasing_id(), "_g": group}))
+    return _Counted(cells, e, a, exact, values, tolerances, key)
+
+
+def unmatched_rows(expected: DataFrame, actual: DataFrame, rules: DiffRules, by: Sequence[str] = ()) -> DataFrame:
+    """Expected rows that no actual row is left for, with the number of copies in ``unmatched``.
+
+    They come from a maximum matching, so their number is the least there can be; where several rows
+    compete for one partner, which of them stays over is not fixed. Columns are ``by``, the exact columns
+    as compared text and the tolerant ones as numbers, under their own names.
+    """
+    c = _counted(expected, actual, rules, by)
+    finite = reduce(lambda p, q: p & q, [~(F.isnan(v) | (F.abs(v) == float("inf"))) for v in c.values], F.lit(True))
+    surplus = c.cells.filter((F.col("e") > 0) & ((F.col("e") > F.col("a")) | ~finite | F.lit(bool(c.values))))
+    if not c.values:
+        over = surplus.select(F.col("_node").alias("e_id"), (F.col("e") - F.col("a")).alias("room"))
+    else:
+        groups = c.cells.groupBy("_g").agg(F.max(flag((F.col("e") != F.col("a")) | ~finite)).alias("_differs")).filter("_differs = 1").select("_g")
+        dirty = written(c.cells.join(groups, "_g", "left_semi"))
+        lost = dirty.filter(~finite & (F.col("e") > 0)).select(F.col("_node").alias("e_id"), F.col("e").alias("room"))
+        over = lost.unionByName(_unmatched(dirty.filter(finite), ["_g"], c.values, c.tolerances))
+    exact = _exact_columns(expected, actual, rules)
+    tolerant = [x for x in rules.columns if x not in exact]
+    shown = [F.substring(f"x{i}", 2, 1 << 30).alias(n) for i, n in enumerate(exact)] + [F.when(~F.col(f"n_v{i}"), F.col(f"v{i}")).alias(n) for i, n in enumerate(tolerant)]
+    return c.cells.join(over, F.col("_node") == F.col("e_id")).select(*by, *shown, F.col("room").cast("bigint").alias("unmatched"))
 
 
 def diff_results(expected: DataFrame, actual: DataFrame, rules: DiffRules, by: Sequence[str] = ()) -> DataFrame:
@@ -220,19 +281,9 @@ def diff_results(expected: DataFrame, actual: DataFrame, rules: DiffRules, by: S
     have, want = set(actual.columns) - {*case, rules.position}, set(expected.columns) - {*case, rules.position}
     declared = want == set(rules.columns)
     columns_ok = declared and (want <= have if rules.allow_extra else want == have)
-    e, a, exact, values, tolerances = _aligned(expected, actual, by, rules)
-    nulls = [F.col(v).isNull().alias(f"n_{v}") for v in values]
-    key = [*case, *exact, *[f"n_{v}" for v in values]]
-    filled = [F.coalesce(v, F.lit(0.0)).alias(v) for v in values]
-
-    def counted(side: DataFrame, mine: str, other: str) -> DataFrame:
-        return side.select(*case, *exact, *nulls, *filled, F.lit(1).alias(mine), F.lit(0).alias(other))
-
-    rows = counted(e, "e", "a").unionByName(counted(a, "a", "e"))
-    # Both results are computed once and kept as counts; every later step reads those.
-    cells = rows.groupBy(*key, *values).agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
-    cells = cut_lineage(cells.withColumn("_node", F.monotonically_increasing_id()))
-    totals = cells.groupBy(*key).agg(
+    counted = _counted(expected, actual, rules, case)
+    cells, e, a, exact, values, tolerances = counted.cells, counted.expected, counted.actual, counted.exact, counted.values, counted.tolerances
+    totals = cells.groupBy(*counted.key, "_g").agg(
         F.sum("e").alias("_te"),
         F.sum("a").alias("_ta"),
         F.max(flag(F.col("e") != F.col("a"))).alias("_differs"),
@@ -240,21 +291,14 @@ def diff_results(expected: DataFrame, actual: DataFrame, rules: DiffRules, by: S
             flag(reduce(lambda p, q: p | q, [F.isnan(v) | (F.abs(v) == float("inf")) for v in values], F.lit(False)))
         ).alias("_not_finite"),
     )
-    # One text key per group keeps the later joins free of null-safe comparisons: each part is
-    # written after its own length, so no two groups share a key.
-    parts = [F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in key]
-    group = F.concat_ws("|", *[x for p in parts for x in (F.length(p), p)]) if key else F.lit("all")
-    settled = totals.select(group.alias("_g"), *case, "_te", "_ta", "_differs", "_not_finite")
+    settled = totals.select("_g", *case, "_te", "_ta", "_differs", "_not_finite")
     bad = (F.col("_te") != F.col("_ta")) | (F.col("_not_finite") == 1)
     failing = settled.filter(bad).select("_g")
     if values:
         open_groups = settled.filter(~bad & (F.col("_differs") == 1)).select("_g")
-    if values and open_groups.limit(1).count():
-        dirty = cells.select(group.alias("_g"), *values, "e", "a", "_node").join(open_groups, "_g", "left_semi")
-        if len(values) == 1:
-            failing = failing.union(_pair_runs(dirty, ["_g"], values[0], tolerances[0]))
-        else:
-            failing = failing.union(_match_components(dirty, ["_g"], values, tolerances))
+    if values and not open_groups.isEmpty():
+        dirty = written(cells.join(open_groups, "_g", "left_semi").select("_g", *values, "e", "a", "_node"))
+        failing = failing.union(_without_pairing(dirty, ["_g"], values, tolerances))
     marked = settled.join(failing.distinct().withColumn("_failed", F.lit(1)), "_g", "left")
     verdict = marked.groupBy(*case).agg(
         F.sum("_te").alias("expected_rows"),

@@ -296,9 +296,9 @@ def paired_difference(
 ) -> DataFrame:
     """Outcome counts of jointly evaluated cases and a percentile bootstrap of the difference.
 
-    A resampled mean depends only on how often each of -1, 0 and +1 is drawn. Draws are hashes of
-    (seed, resample, position) and so independent of partitioning, and of the same kind at every
-    size: ``resamples`` times the number of pairs, made and summed in the tasks.
+    A resampled mean depends only on how often each of -1, 0 and +1 is drawn. Draws come from hashes of
+    (seed, resample, position) and so are independent of partitioning, and of the same kind at every
+    size: ``resamples`` times the number of pairs, four from each hash, made and summed in the tasks.
     """
     if resamples < 1:
         raise ValueError("resamples must be positive")
@@ -325,10 +325,13 @@ def paired_difference(
     if not n:
         raise ValueError(f"no jointly evaluated cases for {metric}")
     spark = left.sparkSession
-    draws = spark.range(resamples * n).select(F.floor(F.col("id") / n).alias("b"), (F.col("id") % n).alias("j"))
-    text = F.concat_ws("|", F.lit(str(seed)), "b", "j")
-    spot = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % n
-    drawn = F.when(spot < down, -1).when(spot >= n - up, 1).otherwise(0)
+    fours = -(-n // 4)
+    draws = spark.range(resamples * fours).select(F.floor(F.col("id") / fours).alias("b"), (F.col("id") % fours).alias("q"))
+    draws = draws.withColumn("hash", F.md5(F.concat_ws("|", F.lit(str(seed)), "b", "q")))
+    drawn = F.lit(0)
+    for k in range(4):
+        spot = F.conv(F.substring("hash", 8 * k + 1, 8), 16, 10).cast("bigint") % n
+        drawn = drawn + F.when(F.col("q") * 4 + k >= n, 0).when(spot < down, -1).when(spot >= n - up, 1).otherwise(0)
     # A resample is a stretch of neighbouring numbers, so each task sends one sum for each of its own.
     means = draws.select("b", drawn.alias("d")).groupBy("b").agg((F.sum("d") / F.lit(n)).alias("mean"))
     low = max(0, resamples * 25 // 1000) + 1

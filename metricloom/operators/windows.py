@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from metricloom.functions.joins import join_on
 from metricloom.functions.scope import flag, month_start, safe_ratio
 
+# Blocks whose totals are summed up together.
+FANOUT = 1024
+
 
 def dataset_bounds(orders: DataFrame, ts: str = "purchase_ts") -> tuple[Column, Column]:
     """First and last month of the whole dataset as scalar subqueries over one scan."""
@@ -130,8 +133,9 @@ def running_totals(
 
     ``block`` is a non-decreasing function of ``order`` that holds a bounded number of rows per
     value (for a gap-free sequence, its integer quotient). Block totals are pre-aggregated and
-    prefixed first; only then are rows summed inside their own block, so the longest series is
-    spread over as many tasks as it has blocks.
+    prefixed first, as a tree: runs of ``FANOUT`` blocks have totals of their own, so no task sees
+    all blocks of a series. Only then are rows summed inside their own block, so the longest series
+    is spread over as many tasks as it has blocks.
     """
     rows = df.withColumn("_block", block)
     for name, column in sums.items():
@@ -139,11 +143,22 @@ def running_totals(
     totals = rows.groupBy(*by, "_block").agg(
         *[F.sum(f"_step_{name}").alias(f"_total_{name}") for name in sums]
     )
-    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)],
-        F.col("_block").alias("_offset_block"),
-        *[F.coalesce(F.sum(f"_total_{n}").over(before), F.lit(0)).alias(f"_offset_{n}") for n in sums],
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
+    totals = totals.select(*keys, F.col("_block").alias("_offset_block"), F.floor(F.col("_block") / FANOUT).alias("_run"), *[f"_total_{n}" for n in sums])
+    series = [f"_k{i}" for i in range(len(by))]
+
+    def earlier(frame: DataFrame, within: Sequence[str], place: str) -> dict[str, Column]:
+        window = Window.partitionBy(*within).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+        return {n: F.coalesce(F.sum(f"_total_{n}").over(window), F.lit(0)) for n in sums}
+
+    runs = totals.groupBy(*series, "_run").agg(*[F.sum(f"_total_{n}").alias(f"_total_{n}") for n in sums])
+    starts = runs.select(*[F.col(k).alias(f"{k}_run") for k in series], F.col("_run").alias("_of_run"), *[c.alias(f"_start_{n}") for n, c in earlier(runs, series, "_run").items()])
+    same_run = F.col("_run") == F.col("_of_run")
+    for k in series:
+        same_run = same_run & F.col(k).eqNullSafe(F.col(f"{k}_run"))
+    inner = totals.withColumns({f"_before_{n}": c for n, c in earlier(totals, [*series, "_run"], "_offset_block").items()})
+    offsets = inner.join(starts, same_run).select(
+        *series, "_offset_block", *[(F.col(f"_start_{n}") + F.col(f"_before_{n}")).alias(f"_offset_{n}") for n in sums]
     )
     inside = (
         Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -325,7 +325,7 @@ def _paired(spark, folder):
     labels = tables(spark, folder)("labels")
     left = labels.select(F.col("doc_id").alias("case_id"), F.when(F.col("doc_id") > 20, F.col("toxic") == 1).alias("ok"))
     right = labels.select(F.col("doc_id").alias("case_id"), (F.col("quality") == 1).alias("ok"))
-    out = paired_difference(left, right, "ok", resamples=200)
+    out = paired_difference(left, right, "ok")
     return out.withColumns({n: F.round(n, 9) for n in ("right_minus_left", "bootstrap_low", "bootstrap_high")})
 
 
@@ -333,11 +333,12 @@ QUERIES["evaluate_paired_bootstrap"] = _paired
 ORACLES["evaluate_paired_bootstrap"] = """WITH p AS (SELECT toxic = 1 AS l, quality = 1 AS r FROM labels WHERE doc_id > 20),
 c AS (SELECT count(*) AS n, count(*) FILTER (l) AS lc, count(*) FILTER (r) AS rc, count(*) FILTER (NOT l AND r) AS up, count(*) FILTER (l AND NOT r) AS down,
   count(*) FILTER (l AND r) AS tied, count(*) FILTER (NOT l AND NOT r) AS neither FROM p),
-d AS (SELECT b, CAST('0x' || substr(md5('15015|' || b || '|' || j), 1, 8) AS BIGINT) % n AS i, n, up, down FROM c, range(200) x(b), range(n) y(j)),
+h AS (SELECT b, q, md5('15015|' || b || '|' || q) AS h, n, up, down FROM c, range(10000) x(b), range((n + 3) // 4) y(q)),
+d AS (SELECT b, CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) % n AS i, n, up, down FROM h, range(4) z(k) WHERE 4 * q + k < n),
 m AS (SELECT b, sum(CASE WHEN i < down THEN -1 WHEN i >= n - up THEN 1 ELSE 0 END) / any_value(n) AS mean FROM d GROUP BY 1),
 o AS (SELECT mean, row_number() OVER (ORDER BY mean, b) AS p FROM m)
 SELECT 'ok' AS metric, n AS paired_case_count, lc AS left_correct_count, rc AS right_correct_count, up AS improved_count, down AS regressed_count, tied AS tied_correct_count, neither AS tied_incorrect_count,
-round((up - down) / n, 9) AS right_minus_left, (SELECT round(mean, 9) FROM o WHERE p = 6) AS bootstrap_low, (SELECT round(mean, 9) FROM o WHERE p = 195) AS bootstrap_high, 200 AS bootstrap_resamples FROM c"""
+round((up - down) / n, 9) AS right_minus_left, (SELECT round(mean, 9) FROM o WHERE p = 251) AS bootstrap_low, (SELECT round(mean, 9) FROM o WHERE p = 9750) AS bootstrap_high, 10000 AS bootstrap_resamples FROM c"""
 
 
 def _operational(spark, folder):

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from metricloom.operators import result_diff
 from metricloom.operators.ledger import first_breaches, seal, sequence_audit, usage_ledger, verify_seal
+from metricloom.operators.matching import maximum_matching
 from metricloom.operators.ranking import exact_quantiles
-from metricloom.operators.result_diff import DiffRules, diff_results
+from metricloom.operators.result_diff import DiffRules, diff_results, unmatched_rows
 from metricloom.operators.scoring import operational_summary, paired_difference, wilson
 from metricloom.streaming.logs import read_log_stream, run_available, stream_first_seen, stream_usage
 
@@ -45,6 +46,81 @@ def test_order_and_duplicates(spark):
     assert (r.row_count_correct, r.values_correct) == (1, 0)
 
 
+def brute_matching(edges, wanted, offered):
+    """Copies of wanted rows that stay over, by one augmenting path after another."""
+    units_e = [i for i, n in wanted.items() for _ in range(n)]
+    units_a = [j for j, n in offered.items() for _ in range(n)]
+    matched = {}
+
+    def place(u, seen):
+        for v, j in enumerate(units_a):
+            if v not in seen and (units_e[u], j) in edges:
+                seen.add(v)
+                if v not in matched or place(matched[v], seen):
+                    matched[v] = u
+                    return True
+        return False
+
+    return sum(not place(u, set()) for u in range(len(units_e)))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_matching_is_maximum(spark, seed):
+    rng = random.Random(seed)
+    wanted = {i: rng.choice([1, 1, 2, 3]) for i in range(14)}
+    offered = {j: rng.choice([1, 1, 2, 3]) for j in range(100, 114)}
+    edges = {(rng.choice(list(wanted)), rng.choice(list(offered))) for _ in range(26)}
+    if seed == 3:  # a path that greedy rounds are likely to block, and one that they cannot
+        wanted, offered = {i: 1 for i in range(8)}, {100 + i: 1 for i in range(8)}
+        edges = {(i, 100 + i) for i in range(8)} | {(i, 101 + i) for i in range(7)}
+    frames = [spark.createDataFrame(list(x.items()), f"{k} bigint, n bigint") for k, x in (("e_id", wanted), ("a_id", offered))]
+    # Distances that lure the first round away from a full matching.
+    rows = [(e, a, float(100 + e - a) + 10.0) for e, a in edges]
+    over = maximum_matching(spark.createDataFrame(rows, "e_id bigint, a_id bigint, distance double"), *frames).collect()
+    assert sum(r["room"] for r in over) == brute_matching(edges, wanted, offered)
+    assert all(0 < r["room"] <= wanted[r["e_id"]] for r in over)
+
+
+def test_a_dense_chain_with_an_outlier_is_spread_over_cells(spark):
+    """Rows closer than the tolerance to their neighbours, all linked, and one value a billion times as large."""
+    n = 20_000
+    rows = spark.range(n).select((F.col("id") * 0.004).alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    outlier = spark.createDataFrame([(1e12, 1.0)], "x double, y double")
+    rules = DiffRules(("x", "y"), {"x": (0.01, 1e-9), "y": (0.5, 0.0)})
+    expected = rows.union(outlier)
+    # Rows with a 3 move past their neighbours in x, so the sorted rows do not pair up.
+    actual = rows.select((F.col("x") + F.when(F.col("y") == 3, 0.009).otherwise(0.001)).alias("x"), "y").union(outlier)
+    assert diff_results(expected, actual, rules).first().result_correct == 1
+    dirty = rows.select("x", F.lit("g").alias("_g"), F.monotonically_increasing_id().alias("_node"), F.lit(1).alias("e"), F.lit(1).alias("a"))
+    cells = dirty.union(outlier.select("x", F.lit("g"), F.lit(-1).cast("long"), F.lit(1), F.lit(1))).groupBy(result_diff._cell(F.col("x"), (0.01, 1e-9))).count()
+    assert cells.agg(F.max("count")).first()[0] < 10
+
+
+@pytest.mark.parametrize("tolerance", [(0.5, 0.0), (0.0, 0.01), (1e-3, 0.01), (1e-9, 0.3), (0.0, 0.0), (0.0, 1e-12), (2.0, 0.95)])
+def test_close_values_are_in_neighbouring_cells(spark, tolerance):
+    rng = random.Random(1)
+    absolute, relative = tolerance
+    pairs = []
+    for _ in range(400):
+        x = rng.choice([-1, 1]) * 10 ** rng.uniform(-12, 12) * rng.choice([0, 1, 1, 1])
+        reach = max(absolute, relative * abs(x))
+        pairs += [(x, x + reach * rng.uniform(-1, 1)), (x, x * (1 - relative)), (x, x + absolute)]
+    frame = spark.createDataFrame(pairs, "x double, y double").filter(result_diff._close(F.col("x"), F.col("y"), tolerance))
+    apart = frame.filter(F.abs(result_diff._cell(F.col("x"), tolerance) - result_diff._cell(F.col("y"), tolerance)) > 1)
+    assert apart.collect() == [] and frame.count() > 100
+
+
+def test_unmatched_rows(spark):
+    expected = spark.createDataFrame([("a", 1.0, 1.0), ("a", 1.0, 1.0), ("a", 2.0, 5.0), ("b", None, 1.0), ("c", float("nan"), 0.0)], "k string, x double, y double")
+    actual = spark.createDataFrame([("a", 1.05, 1.0), ("a", 2.0, 5.3), ("b", None, 1.0), ("c", float("nan"), 0.0)], "k string, x double, y double")
+    rules = DiffRules(("k", "x", "y"), {"x": (0.1, 0.0), "y": (0.1, 0.0)})
+    got = sorted((r["k"], str(r["x"]), r["y"], r["unmatched"]) for r in unmatched_rows(expected, actual, rules).collect())
+    assert got == [("a", "1.0", 1.0, 1), ("a", "2.0", 5.0, 1), ("c", "nan", 0.0, 1)]
+    exact = DiffRules(("k",))
+    over = unmatched_rows(expected.select("k"), actual.select("k"), exact).collect()
+    assert [(r["k"], r["unmatched"]) for r in over] == [("a", 1)]
+
+
 def full_pairing(expected, actual, close):
     matched = {}
 
