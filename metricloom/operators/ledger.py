@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from metricloom.functions.joins import join_on
 from metricloom.functions.scope import flag
 from metricloom.operators.windows import running_totals
+from metricloom.session import written
 
 # Default prices per million tokens and authorised limits.
 INPUT_PRICE, OUTPUT_PRICE = "0.30", "1.20"
@@ -99,15 +101,76 @@ def row_hash(columns: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
-def input_hash(rows: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """One hash per calculation over its input rows, whatever order they arrive in.
+HEX = "0123456789abcdef"
 
-    A calculation reads the months of one series, so its sorted hashes are a short list.
+
+def hash_tree(rows: DataFrame, by: Sequence[str], columns: Sequence[str], depth: int = 2) -> DataFrame:
+    """Merkle tree of each group over the prefixes of its row hashes: (*by, level, prefix, node_sha256, rows).
+
+    A leaf, of ``depth`` hex digits, covers the row hashes with its prefix: their number and the sums of
+    their four 64-bit parts, which combine across tasks, so that repeated and lost rows show and no row is
+    gathered. A node above hashes the hashes of its sixteen places, an absent one being empty. The root has
+    level 0 and the empty prefix. Nothing depends on the order of the rows.
     """
-    return rows.groupBy(*by).agg(
-        F.sha2(F.concat_ws("", F.array_sort(F.collect_list(row_hash(columns)))), 256).alias("input_sha256"),
-        F.count(F.lit(1)).alias("input_rows"),
+    if not 0 <= depth <= 8:
+        raise ValueError("a depth of 0 to 8 hex digits")
+    hashed = rows.select(*by, row_hash(columns).alias("_h"))
+    parts = [F.sum(F.conv(F.substring("_h", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(4)]
+    level = hashed.groupBy(*by, F.substring("_h", 1, depth).alias("prefix")).agg(
+        F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *parts), 256).alias("node_sha256"), F.count(F.lit(1)).alias("rows")
     )
+    levels = [level.withColumn("level", F.lit(depth))]
+    for d in range(depth - 1, -1, -1):
+        digit = F.substring("prefix", d + 1, 1)
+        places = [F.coalesce(F.max(F.when(digit == x, F.col("node_sha256"))), F.lit("")) for x in HEX]
+        level = level.groupBy(*by, F.substring("prefix", 1, d).alias("prefix")).agg(F.sha2(F.concat_ws("|", *places), 256).alias("node_sha256"), F.sum("rows").alias("rows"))
+        levels.append(level.withColumn("level", F.lit(d)))
+    return reduce(lambda x, y: x.unionByName(y), levels).select(*by, "level", "prefix", "node_sha256", "rows")
+
+
+def input_hash(rows: DataFrame, by: Sequence[str], columns: Sequence[str], depth: int = 2) -> DataFrame:
+    """One hash per calculation over its input rows, whatever their number and order: the root of its tree."""
+    roots = hash_tree(rows, by, columns, depth).filter("level = 0")
+    return roots.select(*by, F.col("node_sha256").alias("input_sha256"), F.col("rows").alias("input_rows"))
+
+
+def changed_leaves(before: DataFrame, after: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(*by, prefix) of the leaves that differ between two trees of one depth.
+
+    Descends from the roots: a level is compared only below nodes that differ.
+    """
+    depth = after.agg(F.max("level")).first()[0] if not after.isEmpty() else before.agg(F.max("level")).first()[0] or 0
+    trees = [written(t) for t in (before, after)]
+    open_nodes = None
+    for d in range(depth + 1):
+        sides = []
+        for name, tree in zip("ba", trees, strict=True):
+            nodes = tree.filter(F.col("level") == d).select(*by, "prefix", F.col("node_sha256").alias(f"_{name}"))
+            if open_nodes is not None:
+                parents = nodes.withColumn("_parent", F.substring("prefix", 1, d - 1))
+                nodes = join_on(parents, open_nodes.withColumnRenamed("prefix", "_parent"), [*by, "_parent"], "left_semi").drop("_parent")
+            sides.append(nodes)
+        met = join_on(*sides, [*by, "prefix"], "full")
+        open_nodes = written(met.filter(~F.col("_b").eqNullSafe(F.col("_a"))).select(*by, "prefix"))
+    return open_nodes
+
+
+def changed_rows(before: DataFrame, after: DataFrame, by: Sequence[str], columns: Sequence[str], depth: int = 4) -> DataFrame:
+    """Rows whose number of copies differs: (*by, *columns, before_rows, after_rows).
+
+    Only rows under a leaf that differs are counted; an unchanged table costs its two trees.
+    """
+    leaves = changed_leaves(hash_tree(before, by, columns, depth), hash_tree(after, by, columns, depth), by)
+    carried = [*by, *[c for c in columns if c not in by]]
+
+    def side(rows: DataFrame, mine: str, other: str) -> DataFrame:
+        hashed = rows.select(*carried, row_hash(columns).alias("_h"))
+        near = join_on(hashed.withColumn("prefix", F.substring("_h", 1, depth)), leaves, [*by, "prefix"], "left_semi")
+        return near.select(*carried, "_h", F.lit(1).alias(mine), F.lit(0).alias(other))
+
+    both = side(before, "_b", "_a").unionByName(side(after, "_a", "_b"))
+    counted = both.groupBy("_h", *carried).agg(F.sum("_b").alias("before_rows"), F.sum("_a").alias("after_rows"))
+    return counted.filter("before_rows <> after_rows").drop("_h")
 
 
 def lineage_check(calculations: DataFrame, runs: DataFrame) -> DataFrame:

@@ -163,10 +163,11 @@ def _cell(value: Column, tolerance: tuple[float, float]) -> Column:
     size = F.abs(value)
     if relative > 0:
         turn = absolute / relative
+        start = math.log(turn) if turn > 0 else math.log(5e-324)
         per_step = -math.log1p(-relative)
         # A value in the logarithmic part is one cell and its logarithm away from the turn.
         base = size / absolute if absolute > 0 else F.lit(0.0)
-        grown = F.lit(1 / relative if absolute > 0 else 0.0) + F.log(F.greatest(size, F.lit(5e-324)) / (turn if absolute > 0 else 1e-320)) / per_step
+        grown = F.lit(1 / relative if absolute > 0 else 0.0) + (F.log(F.greatest(size, F.lit(5e-324))) - start) / per_step
         scaled = F.when(size <= turn, base).otherwise(grown + (0.0 if absolute > 0 else 2.0))
     else:
         scaled = size / absolute if absolute > 0 else size
@@ -271,6 +272,11 @@ def unmatched_rows(expected: DataFrame, actual: DataFrame, rules: DiffRules, by:
     return c.cells.join(over, F.col("_node") == F.col("e_id")).select(*by, *shown, F.col("room").cast("bigint").alias("unmatched"))
 
 
+def _columns_ok(expected: DataFrame, actual: DataFrame, rules: DiffRules, by: Sequence[str] = ()) -> bool:
+    have, want = set(actual.columns) - {*by, rules.position}, set(expected.columns) - {*by, rules.position}
+    return want == set(rules.columns) and (want <= have if rules.allow_extra else want == have)
+
+
 def diff_results(expected: DataFrame, actual: DataFrame, rules: DiffRules, by: Sequence[str] = ()) -> DataFrame:
     """One verdict per case: columns, row count, values, order, and the issue codes.
 
@@ -278,9 +284,7 @@ def diff_results(expected: DataFrame, actual: DataFrame, rules: DiffRules, by: S
     pairing; the usual cost is one aggregation over both sides.
     """
     case = list(by)
-    have, want = set(actual.columns) - {*case, rules.position}, set(expected.columns) - {*case, rules.position}
-    declared = want == set(rules.columns)
-    columns_ok = declared and (want <= have if rules.allow_extra else want == have)
+    columns_ok = _columns_ok(expected, actual, rules, case)
     counted = _counted(expected, actual, rules, case)
     cells, e, a, exact, values, tolerances = counted.cells, counted.expected, counted.actual, counted.exact, counted.values, counted.tolerances
     totals = cells.groupBy(*counted.key, "_g").agg(
@@ -346,10 +350,51 @@ def diff_results(expected: DataFrame, actual: DataFrame, rules: DiffRules, by: S
     )
 
 
+def _cases(checks: dict[str, tuple[DataFrame, DataFrame, DiffRules]]) -> DataFrame:
+    """Verdicts of references whose tolerant columns have the same tolerances, as cases of one comparison."""
+    sides: tuple[list[DataFrame], list[DataFrame]] = [], []
+    shapes, tolerances, ordered = {}, [], False
+    for name, (saved, fresh, rules) in checks.items():
+        e, a, exact, values, tolerances = _aligned(saved, fresh, (), rules)
+        shapes[name] = e, a, exact, values
+        ordered = rules.position is not None
+    most = max(len(exact) for _, _, exact, _ in shapes.values())
+    texts, numbers = [f"x{i}" for i in range(most)], [f"v{i}" for i in range(len(tolerances))]
+    for name, (e, a, exact, values) in shapes.items():
+        for rows, out in zip((e, a), sides, strict=True):
+            padded = [F.col(x) if x in exact else F.lit(None).cast("string").alias(x) for x in texts]
+            out.append(rows.select(F.lit(name).alias("name"), *padded, *values, *(["position"] if ordered else [])))
+    expected, actual = (reduce(lambda p, q: p.unionByName(q), side) for side in sides)
+    rules = DiffRules((*texts, *numbers), dict(zip(numbers, tolerances, strict=True)), "position" if ordered else None)
+    return diff_results(expected, actual, rules, by=("name",))
+
+
 def verify_references(checks: dict[str, tuple[DataFrame, DataFrame, DiffRules]]) -> DataFrame:
-    """Recomputed queries against their saved rows: one verdict per name."""
-    verdicts = [
-        diff_results(saved, fresh, rules).select(F.lit(name).alias("name"), "*")
-        for name, (saved, fresh, rules) in checks.items()
-    ]
-    return reduce(lambda a, b: a.unionByName(b), verdicts)
+    """Recomputed queries against their saved rows: one verdict per name.
+
+    Rows of all references that share their tolerances are cases of one comparison, so any number of
+    references costs the jobs of one. Columns are a matter of the frames and are compared beside it; a
+    reference without any row on either side is correct.
+    """
+    alike: dict[tuple, dict] = {}
+    for name, (saved, fresh, rules) in checks.items():
+        exact = _exact_columns(saved, fresh, rules)
+        shared = tuple(rules.of(c) for c in rules.columns if c not in exact), rules.position is not None
+        alike.setdefault(shared, {})[name] = saved, fresh, rules
+    verdicts = reduce(lambda p, q: p.unionByName(q), [_cases(group) for group in alike.values()])
+    spark = verdicts.sparkSession
+    columns = [(name, int(_columns_ok(saved, fresh, rules))) for name, (saved, fresh, rules) in checks.items()]
+    named = spark.createDataFrame(columns, "name string, _columns int")
+    found = named.join(verdicts.drop("columns_correct"), "name", "left").na.fill(1, ["row_count_correct", "values_correct", "order_correct", "result_correct"]).na.fill(0, ["expected_rows", "actual_rows"]).na.fill("", ["issues"])
+    issues = F.concat_ws(",", F.when(F.col("_columns") == 0, "column_mismatch"), F.when(F.col("issues") != "", F.col("issues")))
+    return found.select(
+        "name",
+        F.col("_columns").alias("columns_correct"),
+        "row_count_correct",
+        "values_correct",
+        "order_correct",
+        (F.col("result_correct") * F.col("_columns")).alias("result_correct"),
+        "expected_rows",
+        "actual_rows",
+        issues.alias("issues"),
+    )

@@ -134,8 +134,13 @@ def shown(column: Column, unit: str, rounded: bool) -> Column:
 # --------------------------------------------------------------------------- scope
 
 
-def scoped_orders(star: StarSchema, period: Period | None) -> DataFrame:
+def scoped_orders(star: StarSchema, period: Period | None, with_items: bool = False) -> DataFrame:
+    """Orders of the period, on request with the item totals of each (NULL where it has none)."""
     orders = star.orders
+    if with_items and star.orders_with_items is not None:
+        orders = star.orders_with_items
+    elif with_items:
+        orders = orders.join(order_totals(star, "items"), "order_id", "left")
     if period is not None:
         orders = orders.filter(in_period(orders, "purchase_ts", period.start, period.end))
     return orders.withColumn(PURCHASE_MONTH, month_start("purchase_ts"))
@@ -231,7 +236,8 @@ def _payment_measures(star: StarSchema, plan: AnalysisPlan, needed: set[str], me
 
 def _order_measures(star: StarSchema, plan: AnalysisPlan, needed: set[str], measures: list[str]) -> DataFrame:
     keys = _order_keys(needed)
-    orders = scoped_orders(star, plan.period)
+    with_items = bool({"order_price", "order_freight", "order_items", "price", "freight", "item_rows"} & set(measures))
+    orders = scoped_orders(star, plan.period, with_items)
     s = star.statuses
     delivered = F.col("order_status") == s.delivered
     timed = F.col("delivered_ts").isNotNull()
@@ -275,8 +281,6 @@ def _order_measures(star: StarSchema, plan: AnalysisPlan, needed: set[str], meas
         }.get(name, {s.delivered})
     if statuses:
         orders = orders.filter(F.col("order_status").isin(*sorted(statuses)))
-    if {"order_price", "order_freight", "order_items", "price", "freight", "item_rows"} & set(measures):
-        orders = orders.join(order_totals(star, "items"), "order_id", "left")
     if {"order_paid", "paid"} & set(measures):
         orders = orders.join(order_totals(star, "payments"), "order_id", "left")
     rows = orders.select(*keys, *[columns[m].alias(m) for m in measures])

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.functions.scope import safe_ratio
 from metricloom.operators.series import month_scaffold
 from metricloom.operators.windows import (
     dataset_bounds,
@@ -207,12 +206,3 @@ REPORTS: dict[str, Callable[[StarSchema, Period | None], DataFrame]] = {
     "positive_category_gmv": lambda s, p: positive_category_gmv(s, p),
 }
 
-
-def base_measures(star: StarSchema) -> DataFrame:
-    """Monthly delivered orders, item prices and their ratio, kept for ad-hoc series work."""
-    frame = compile_plan(
-        star, AnalysisPlan(("delivered_order_count", "delivered_gmv"), (PURCHASE_MONTH,), rounded=False)
-    )
-    return frame.withColumn(
-        "delivered_average_order_value", safe_ratio(F.col("delivered_gmv"), F.col("delivered_order_count"))
-    )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from metricloom.functions.text import squeezed
 from metricloom.operators.ledger import (
+    changed_rows,
     estimated_tokens,
     first_breaches,
     first_seen,
@@ -17,7 +18,7 @@ from metricloom.operators.ledger import (
     sequence_audit,
     usage_ledger,
 )
-from metricloom.operators.result_diff import DiffRules, diff_results, verify_references
+from metricloom.operators.result_diff import DiffRules, diff_results, unmatched_rows, verify_references
 from metricloom.operators.scoring import (
     diagnose_failures,
     failure_counts,
@@ -33,6 +34,7 @@ from metricloom.operators.scoring import (
 from metricloom.plans.catalog import CUSTOMER_STATE, PURCHASE_MONTH
 from metricloom.plans.reports import REPORTS
 from metricloom.plans.series_metrics import monthly_gmv
+from metricloom.session import written
 from registry.common import MONEY, PERIOD, bound_star, star, tables
 
 QUERIES: dict = {}
@@ -96,8 +98,7 @@ CAST(event_type NOT IN ('error', 'view') AS INTEGER) AS order_correct, CAST(even
 count(*) AS expected_rows, count(*) AS actual_rows, CASE event_type WHEN 'error' THEN 'row_value_mismatch' WHEN 'view' THEN 'row_order_mismatch' ELSE '' END AS issues FROM events GROUP BY 1"""
 
 
-def _diff_two_numbers(spark, folder):
-    """Two tolerant columns without any exact column: the general pairing."""
+def _two_numbers(spark, folder):
     customers = tables(spark, folder)("customer")
     expected = customers.select("c_nationkey", F.col("c_acctbal").alias("x"), (F.col("c_custkey") * 1.0).alias("y"))
     wrong = (F.col("c_nationkey") == 4) & (F.col("c_mktsegment") == "BUILDING")
@@ -106,10 +107,44 @@ def _diff_two_numbers(spark, folder):
         (F.col("c_acctbal") + 0.004).alias("x"),
         F.when(wrong, F.col("c_custkey") + 0.4).otherwise(F.col("c_custkey") + 0.2).alias("y"),
     )
-    rules = DiffRules(("x", "y"), {"x": (0.01, 0.0), "y": (0.25, 0.0)})
+    return expected, actual, DiffRules(("x", "y"), {"x": (0.01, 0.0), "y": (0.25, 0.0)})
+
+
+def _diff_two_numbers(spark, folder):
+    """Two tolerant columns without any exact column: the general pairing."""
+    expected, actual, rules = _two_numbers(spark, folder)
     return diff_results(expected, actual, rules, by=("c_nationkey",))
 
 
+def _unmatched(spark, folder):
+    expected, actual, rules = _two_numbers(spark, folder)
+    return unmatched_rows(expected, actual, rules, by=("c_nationkey",))
+
+
+QUERIES["evaluate_unmatched_rows"] = _unmatched
+ORACLES["evaluate_unmatched_rows"] = """SELECT c_nationkey, c_acctbal AS x, CAST(c_custkey AS DOUBLE) AS y, CAST(1 AS BIGINT) AS unmatched FROM customer
+WHERE c_nationkey = 4 AND c_mktsegment = 'BUILDING'"""
+
+
+def _diff_chain(spark, folder):
+    """Every order close to its neighbours, in one chain, and one value a billion times as large."""
+    orders = tables(spark, folder)("orders")
+    place = F.col("o_orderkey") * 0.004
+    outlier = spark.range(1).select(F.lit("F").alias("o_orderstatus"), F.lit(1e12).alias("x"), F.lit(1.0).alias("y"))
+    expected = orders.select("o_orderstatus", place.alias("x"), (F.col("o_custkey") % 7).cast("double").alias("y"))
+    moved = F.when(F.col("o_custkey") % 7 == 3, 0.009).otherwise(0.001)
+    lost = (F.col("o_orderstatus") == "P") & (F.col("o_orderkey") == F.lit(orders.filter("o_orderstatus = 'P'").agg(F.min("o_orderkey")).scalar()))
+    actual = orders.select("o_orderstatus", (place + moved).alias("x"), F.when(lost, 1e6).otherwise((F.col("o_custkey") % 7).cast("double")).alias("y"))
+    rules = DiffRules(("x", "y"), {"x": (0.01, 1e-9), "y": (0.5, 0.0)})
+    return diff_results(expected.union(outlier), actual.union(outlier), rules, by=("o_orderstatus",))
+
+
+QUERIES["evaluate_result_diff_dense_chain"] = _diff_chain
+ORACLES["evaluate_result_diff_dense_chain"] = """SELECT o_orderstatus, 1 AS columns_correct, 1 AS row_count_correct, CAST(o_orderstatus <> 'P' AS INTEGER) AS values_correct, 1 AS order_correct,
+CAST(o_orderstatus <> 'P' AS INTEGER) AS result_correct, count(*) + CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS expected_rows, count(*) + CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS actual_rows,
+CASE WHEN o_orderstatus = 'P' THEN 'row_value_mismatch' ELSE '' END AS issues FROM orders GROUP BY 1"""
+
+
 QUERIES["evaluate_result_diff_two_tolerances"] = _diff_two_numbers
 ORACLES["evaluate_result_diff_two_tolerances"] = """SELECT c_nationkey, 1 AS columns_correct, 1 AS row_count_correct, CAST(c_nationkey <> 4 AS INTEGER) AS values_correct, 1 AS order_correct,
 CAST(c_nationkey <> 4 AS INTEGER) AS result_correct, count(*) AS expected_rows, count(*) AS actual_rows, CASE WHEN c_nationkey = 4 THEN 'row_value_mismatch' ELSE '' END AS issues FROM customer GROUP BY 1"""
@@ -117,13 +152,14 @@ CAST(c_nationkey <> 4 AS INTEGER) AS result_correct, count(*) AS expected_rows,
 
 def _verify(spark, folder):
     s = bound_star(spark, folder)
-    named = {}
+    checks = {}
     for name, key in (("gmv_by_month", PURCHASE_MONTH), ("payments_by_type", "payment_type"), ("gmv_by_seller_top10", "seller")):
         fresh = REPORTS[name](s, PERIOD)
         value = [c for c in fresh.columns if c != key][0]
-        saved = fresh.withColumn(value, F.col(value) + (0.5 if name == "payments_by_type" else 0.005))
-        named[name] = (saved, fresh, DiffRules((key, value), {value: (0.01, 0.0)}))
-    return verify_references(named)
+        # Saved rows are files: they are written here and read back.
+        saved = written(fresh.withColumn(value, F.col(value) + (0.5 if name == "payments_by_type" else 0.005)))
+        checks[name] = (saved, fresh, DiffRules((key, value), {value: (0.01, 0.0)}))
+    return verify_references(checks)
 
 
 QUERIES["evaluate_verify_references"] = _verify
@@ -398,6 +434,17 @@ ORACLES["evaluate_estimated_tokens"] = "SELECT conv_id, CAST(sum(greatest(1, len
 # ---------------------------------------------------------------- lineage and logs
 
 
+def _tree(by, depth):
+    """SQL of the root of a hash tree over ``h`` (*by, h): leaves of ``depth`` digits, then level by level."""
+    keys = "".join(f"{c}, " for c in by)
+    sums = ", ".join(f"CAST(sum(CAST(CAST('0x' || substr(h, {16 * i + 1}, 16) AS UBIGINT) AS HUGEINT)) AS VARCHAR)" for i in range(4))
+    level = f"SELECT {keys}substr(h, 1, {depth}) AS prefix, sha256(concat_ws('|', CAST(count(*) AS VARCHAR), {sums})) AS node, count(*) AS n FROM h GROUP BY ALL"
+    for d in range(depth - 1, -1, -1):
+        places = ", ".join(f"coalesce(max(CASE WHEN substr(prefix, {d + 1}, 1) = '{x}' THEN node END), '')" for x in "0123456789abcdef")
+        level = f"SELECT {keys}left(prefix, {d}) AS prefix, sha256(concat_ws('|', {places})) AS node, sum(n) AS n FROM ({level}) GROUP BY ALL"
+    return f"SELECT {keys}node AS input_sha256, n AS input_rows FROM ({level})"
+
+
 def _inputs(spark, folder):
     series = monthly_gmv(bound_star(spark, folder), None, (CUSTOMER_STATE,))
     rows = series.select(CUSTOMER_STATE, F.col(PURCHASE_MONTH).cast("string").alias("period"), (F.col("gmv") * 100).cast("bigint").alias("cents"))
@@ -407,7 +454,20 @@ def _inputs(spark, folder):
 QUERIES["evaluate_input_hash"] = _inputs
 ORACLES["evaluate_input_hash"] = f"""WITH {star()}, s AS (SELECT customer_state, CAST(purchase_month AS VARCHAR) AS period, CAST(trunc(sum(price) * 100) AS BIGINT) AS cents FROM sales JOIN line USING (oid) JOIN cust USING (cid) WHERE st = 'delivered' GROUP BY 1, 2),
 h AS (SELECT customer_state, sha256('{{"cents":' || cents || ',"customer_state":"' || customer_state || '","period":"' || period || '"}}') AS h FROM s)
-SELECT customer_state, sha256(string_agg(h, '' ORDER BY h)) AS input_sha256, count(*) AS input_rows FROM h GROUP BY 1"""
+SELECT customer_state, input_sha256, CAST(input_rows AS BIGINT) AS input_rows FROM ({_tree(('customer_state',), 2)}) t"""
+
+
+def _changed(spark, folder):
+    orders = tables(spark, folder)("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    moved = (F.col("o_custkey") % 97 == 5) & (F.col("o_orderstatus") == "F")
+    after = orders.withColumn("o_orderstatus", F.when(moved, "P").otherwise(F.col("o_orderstatus"))).filter("o_orderkey % 500 <> 3")
+    return changed_rows(orders, after, (), orders.columns)
+
+
+QUERIES["evaluate_changed_rows"] = _changed
+ORACLES["evaluate_changed_rows"] = """WITH a AS (SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 97 = 5 AND o_orderstatus = 'F' THEN 'P' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 500 <> 3),
+b AS (SELECT o_orderkey, o_custkey, o_orderstatus, 1 AS b, 0 AS a FROM orders UNION ALL SELECT *, 0, 1 FROM a)
+SELECT o_orderkey, o_custkey, o_orderstatus, CAST(sum(b) AS BIGINT) AS before_rows, CAST(sum(a) AS BIGINT) AS after_rows FROM b GROUP BY 1, 2, 3 HAVING sum(a) <> sum(b)"""
 
 
 def _lineage(spark, folder):

@@ -76,3 +76,10 @@ def test_status_and_period_reach_the_scan(spark):
 
 def test_search_scores_are_whole_before_they_move(spark):
     assert not re.search(r"hashpartitioning\(query_id#\d+L?, doc_id", plan(spark, "retrieval_search_top5"))
+
+
+def test_a_pack_reads_the_items_once(spark):
+    """Times and totals of orders come from one aggregate of their lines."""
+    shown = plan(spark, "metric_pack")
+    assert len(re.findall(r"Scan parquet [^\n]*l_orderkey", shown)) == 1
+    assert len(re.findall(r"Scan parquet [^\n]*l_orderkey", plan(spark, "plan_mixed_grains_by_month_and_state"))) == 1
