@@ -233,16 +233,38 @@ ORACLES["quality_reject_numeric"] = f"""WITH {_DIRTY} SELECT score AS raw_value,
 FROM d WHERE TRY_CAST(score AS DOUBLE) IS NULL GROUP BY 1, 2"""
 
 
+# Tables of the report: columns, key, number and time. Lines have duplicate keys; orders as text have all kinds of faults.
+_REPORTED = {
+    "orders": ("o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority", ("o_orderkey",), "o_totalprice", "o_orderdate"),
+    "customer": ("c_custkey c_name c_nationkey c_acctbal c_mktsegment", ("c_custkey",), "c_acctbal", None),
+    "events": ("event_id ts user_id event_type value props", ("event_id",), "value", "ts"),
+    "lineitem": ("l_orderkey l_linenumber l_discount l_shipdate", ("l_orderkey", "l_linenumber"), "l_discount", "l_shipdate"),
+}
+
+
 def _report(spark, folder):
     t = tables(spark, folder)
-    names = {"orders": ("o_orderkey",), "customer": ("c_custkey",), "events": ("event_id",)}
-    return quality_report(
-        {n: t(n) for n in names},
-        names,
-        {"orders": ("o_totalprice",), "customer": ("c_acctbal",), "events": ("value",)},
-        {"orders": ("o_orderdate",), "events": ("ts",)},
-    )
+    frames = {n: t(n).select(*columns.split()) for n, (columns, _, _, _) in _REPORTED.items()} | {"orders_as_text": _dirty_orders(spark, folder)}
+    keys = {n: key for n, (_, key, _, _) in _REPORTED.items()} | {"orders_as_text": ("id",)}
+    numbers = {n: (number,) for n, (_, _, number, _) in _REPORTED.items()} | {"orders_as_text": ("score",)}
+    times = {n: (time,) for n, (_, _, _, time) in _REPORTED.items() if time} | {"orders_as_text": ("event_time",)}
+    return quality_report(frames, keys, numbers, times)
+
+
+def _reported(table: str) -> str:
+    columns, key, number, time = _REPORTED[table]
+    cells = [("table", "row_count", "count(*)"), *[(c, "missing", f"count(*) FILTER ({c} IS NULL OR trim(CAST({c} AS VARCHAR)) = '')") for c in columns.split()]]
+    cells += [(number, m, v) for m, v in (("invalid", f"count({number}) - count(TRY_CAST({number} AS DOUBLE))"), ("negative", f"count(*) FILTER ({number} < 0)"), ("minimum", f"min({number})"), ("maximum", f"max({number})"))]
+    cells += [(time, "invalid", f"count({time}) - count(TRY_CAST({time} AS TIMESTAMP))")] if time else []
+    named = ", ".join(key)
+    cells += [("key", "missing", f"count(*) FILTER ({' OR '.join(f'{k} IS NULL' for k in key)})"), ("key", "duplicate", f"count(*) - count(DISTINCT ({named}))")]
+    numbers = [f"SELECT '{table}' AS table_name, '{c}' AS column_name, '{m}' AS measure, CAST({v} AS DOUBLE) AS number, CAST(NULL AS VARCHAR) AS text FROM {table}" for c, m, v in cells]
+    texts = [f"SELECT '{table}', '{time}', '{m}', NULL, strftime({f}({time}), '%Y-%m-%d %H:%M:%S') FROM {table}" for m, f in (("earliest", "min"), ("latest", "max")) if time]
+    return " UNION ALL ".join([*numbers, *texts])
 
 
 QUERIES["quality_report"] = _report
+ORACLES["quality_report"] = " UNION ALL ".join(map(_reported, _REPORTED)) + (
+    f" UNION ALL SELECT 'orders_as_text', * FROM ({ORACLES['quality_profile']}) WHERE measure <> 'row_count_difference'"
+)
 QUERIES["source_file_manifest"] = lambda spark, folder: file_manifest(spark, folder, "*.parquet")

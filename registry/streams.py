@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from metricloom.streaming.ledger import stream_first_breaches
 from metricloom.streaming.logs import read_log_stream, run_available, run_updates, stream_first_seen, stream_usage
 from registry.common import tables
 
@@ -49,3 +50,24 @@ def _first(spark, folder):
 
 QUERIES["stream_first_seen"] = _first
 ORACLES["stream_first_seen"] = "SELECT DISTINCT user_id, sha256(lower(event_type) || '|' || props) AS text_sha256 FROM events"
+
+
+def _breaches(spark, folder):
+    """A ledger for each type of event."""
+    failed = F.col("event_type") == "error"
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    limits = {"http_calls": 480, "input_tokens": 500_000, "output_tokens": 30_000, "cost": 0.15}
+    found = stream_first_breaches(
+        _events(spark, folder), ("event_type",), "event_id", F.lit(1), F.when(~failed, k * 20), F.when(~failed, F.floor("value")), limits=limits
+    )
+    return run_available(found).withColumn("total", F.round("total", 8))
+
+
+QUERIES["stream_ledger_first_breaches"] = _breaches
+ORACLES["stream_ledger_first_breaches"] = """WITH u AS (SELECT event_type, event_id, CASE WHEN event_type <> 'error' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) * 20 ELSE 0 END AS i,
+  CASE WHEN event_type <> 'error' THEN CAST(floor(value) AS BIGINT) ELSE 0 END AS o FROM events),
+l AS (SELECT event_type, event_id, count(*) OVER w AS calls, sum(i) OVER w AS ti, sum(o) OVER w AS t_o, sum(i * 30 + o * 120) OVER w AS tc FROM u WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT event_type, 'http_calls' AS limit_name, 480.0::DOUBLE AS limit_value, event_id, calls::DOUBLE AS total FROM l WHERE calls > 480
+  UNION ALL SELECT event_type, 'input_tokens', 500000, event_id, ti FROM l WHERE ti > 500000 UNION ALL SELECT event_type, 'output_tokens', 30000, event_id, t_o FROM l WHERE t_o > 30000
+  UNION ALL SELECT event_type, 'cost', 0.15, event_id, tc / 100000000.0 FROM l WHERE tc > 15000000)
+SELECT event_type, limit_name, limit_value, round(arg_min(total, event_id), 8) AS total, min(event_id) AS first_breach FROM b GROUP BY 1, 2, 3"""

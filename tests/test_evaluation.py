@@ -8,11 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from metricloom.operators import result_diff
-from metricloom.operators.ledger import first_breaches, seal, sequence_audit, usage_ledger, verify_seal
+from metricloom.operators.ledger import changed_rows, first_breaches, input_hash, seal, sequence_audit, usage_ledger, verify_seal
 from metricloom.operators.matching import maximum_matching
 from metricloom.operators.ranking import exact_quantiles
 from metricloom.operators.result_diff import DiffRules, diff_results, unmatched_rows
 from metricloom.operators.scoring import operational_summary, paired_difference, wilson
+from metricloom.streaming.ledger import stream_first_breaches
 from metricloom.streaming.logs import read_log_stream, run_available, stream_first_seen, stream_usage
 
 RULES = DiffRules(("period", "value", "note"), {"value": (1e-6, 1e-9)}, position="n")
@@ -200,6 +201,42 @@ def test_ledger_blocks_and_breaches(spark):
     assert breach == {"http_calls": 51, "output_tokens": None}
 
 
+def test_a_ledger_stream_goes_on_where_it_stopped(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(f"run{i % 3}", i, rng.choice([None, rng.randint(0, 4000)]), rng.randint(0, 900)) for i in range(600)]
+    schema = "run string, n bigint, prompt bigint, completion bigint"
+    limits = {"http_calls": 100, "input_tokens": 250_000, "output_tokens": 60_000, "cost": 0.08}
+    whole = spark.createDataFrame(rows, schema)
+    ledger = usage_ledger(whole, ("run",), "n", F.lit(1), F.col("prompt"), F.col("completion"), block=50)
+    want = {(r["run"], r["limit_name"]): r["first_breach"] for r in first_breaches(ledger, ("run",), "n", limits).collect() if r["first_breach"] is not None}
+    folder, output = tmp_path / "log", str(tmp_path / "out")
+
+    def run():
+        events = read_log_stream(spark, str(folder), whole.schema, "*.parquet", files_per_trigger=1)
+        return run_available(stream_first_breaches(events, ("run",), "n", F.lit(1), F.col("prompt"), F.col("completion"), limits=limits), output)
+
+    sizes = []
+    for low, high in ((0, 150), (150, 151), (151, 600)):
+        whole.filter(F.col("n").between(low, high - 1)).orderBy(F.rand(1)).coalesce(1).write.mode("append").parquet(str(folder))
+        found = {(r["run"], r["limit_name"]): r["first_breach"] for r in run().collect()}
+        sizes.append(len(found))
+        assert found == {key: at for key, at in want.items() if at < high}
+    assert sizes[0] < sizes[-1] == len(want) > 6
+
+
+def test_changed_rows_are_found_below_differing_nodes(spark):
+    rows = [(i % 4, i, f"v{i}") for i in range(500)] + [(1, 7, "twice"), (1, 7, "twice")]
+    schema = "g int, k int, v string"
+    before = spark.createDataFrame(rows, schema)
+    after = spark.createDataFrame([*rows[:40], (0, 40, "new"), *rows[41:-1]], schema).repartition(5)
+    got = {tuple(r) for r in changed_rows(before, after, ("g",), ("k", "v")).collect()}
+    assert got == {(0, 40, "v40", 1, 0), (0, 40, "new", 0, 1), (1, 7, "twice", 2, 1)}
+    roots = [{r["g"]: (r["input_sha256"], r["input_rows"]) for r in input_hash(x, ("g",), ("k", "v")).collect()} for x in (before, before.repartition(3), after)]
+    assert roots[0] == roots[1] and {g for g in range(4) if roots[0][g] != roots[2][g]} == {0, 1}
+    assert changed_rows(before, before, (), schema.replace(" int", "").replace(" string", "").split(", ")).collect() == []
+    assert changed_rows(before.limit(0), before.limit(0), (), ("k",)).collect() == []
+
+
 def test_sequences_and_seals(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 3), ("c", 2), ("d", 1), ("d", 1)], "log string, n int")
     got = {r.log: (r.gaps, r.repeats, r.contiguous) for r in sequence_audit(df, ("log",), "n").collect()}
