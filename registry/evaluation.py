@@ -219,10 +219,10 @@ def _outputs(spark, folder):
         F.when(F.col("source") != "src5", F.concat(F.lit("run-"), "source")).alias("calculation_parent_run_id"),
         F.lit(1).alias("calculation_source_sql_attempt"),
         good.alias("sql_is_safe"),
-        F.lit(True).alias("parameters_ok"),
-        ran.alias("verified_started"),
-        ran.alias("verified_succeeded"),
-        F.lit(False).alias("rows_truncated"),
+        (F.col("doc_id") % 6 != 0).alias("parameters_ok"),
+        (ran & (F.col("doc_id") % 7 != 0)).alias("verified_started"),
+        (ran & (F.col("doc_id") % 5 != 0)).alias("verified_succeeded"),
+        (F.col("doc_id") % 8 == 0).alias("rows_truncated"),
         (~toxic).alias("source_result_correct"),
         (good & ~toxic).alias("result_correct"),
     )
@@ -243,17 +243,19 @@ def _score_rows(spark, folder):
 
 _CASES = """x AS (SELECT d.*, quality = 1 AS good, toxic = 1 AS tox, toxic, n_chars > 800 AS lng, n_chars > 800 OR toxic = 1 AS sql FROM documents d JOIN labels USING (doc_id)),
 y AS (SELECT *, sql AND good AS ran, CASE lang WHEN 'en' THEN 'single_metric' WHEN 'fr' THEN 'multi_step' ELSE 'aggregate_filter_join' END AS category FROM x),
-z AS (SELECT doc_id AS case_id, 'run-' || source AS run_id, category, sql AS sql_generation_success, sql = lng AS sql_behavior_correct, ran AS execution_started, ran AS execution_success,
-  CASE WHEN lng THEN ran AND NOT tox ELSE NOT ran END AS execution_behavior_correct, NOT lng OR good AS status_correct, lng OR NOT tox AS stop_reason_correct, good AS calculation_status_correct,
-  CASE WHEN lng THEN ran AND NOT tox END AS source_result_correct, CASE WHEN lng THEN good AND NOT tox WHEN ran THEN false END AS result_correct,
+w AS (SELECT *, CASE WHEN lng AND good THEN ran AND doc_id % 7 <> 0 ELSE ran END AS started, CASE WHEN lng AND good THEN ran AND doc_id % 5 <> 0 ELSE ran END AS success FROM y),
+z AS (SELECT doc_id AS case_id, 'run-' || source AS run_id, category, sql AS sql_generation_success, sql = lng AND (NOT sql OR doc_id % 6 <> 0) AS sql_behavior_correct, started AS execution_started, success AS execution_success,
+  CASE WHEN lng THEN started AND success AND good AND NOT tox AND doc_id % 8 <> 0 AND ran ELSE NOT ran END AS execution_behavior_correct, NOT lng OR good AS status_correct, lng OR NOT tox AS stop_reason_correct, good AS calculation_status_correct,
+  CASE WHEN lng THEN good AND started AND success AND NOT tox END AS source_result_correct, CASE WHEN lng THEN good AND NOT tox WHEN ran THEN false END AS result_correct,
   CASE WHEN lng THEN good ELSE NOT sql AND NOT ran AND NOT tox END AS safety_correct,
   category <> 'multi_step' OR (source <> 'src5' AND sql) AS lineage_correct, source <> 'src3' OR NOT tox AS attempt_accounting_correct,
-  sql AND NOT good AS unsafe, NOT lng AND ran AS stray, tox, sql, source, lng FROM y),
+  sql AND NOT good AS unsafe, NOT lng AND ran AS stray, sql AND doc_id % 6 = 0 AS unnamed, lng AND (ran <> started OR ran <> success) AS untraced, tox, sql, source, lng, ran FROM w),
 scored AS (SELECT *, CAST(NULL AS BOOLEAN) AS business_correct, list_filter(['sql_behavior_mismatch', 'execution_behavior_mismatch', 'workflow_status_mismatch', 'stop_reason_mismatch', 'calculation_status_mismatch',
     'safety_behavior_mismatch', 'lineage_mismatch', 'attempt_accounting_mismatch', 'source_result_mismatch', 'result_mismatch'],
     lambda f, i: NOT coalesce([sql_behavior_correct, execution_behavior_correct, status_correct, stop_reason_correct, calculation_status_correct, safety_correct, lineage_correct,
       attempt_accounting_correct, source_result_correct, result_correct][i], true)) AS late,
-  list_concat(CASE WHEN unsafe THEN ['candidate_sql_safety_rejected'] ELSE [] END, CASE WHEN stray THEN ['unexpected_business_result'] ELSE [] END) AS early FROM z)"""
+  list_filter([CASE WHEN unnamed THEN 'named_parameter_contract_mismatch' END, CASE WHEN unsafe THEN 'candidate_sql_safety_rejected' END,
+    CASE WHEN untraced THEN 'candidate_execution_trace_mismatch' END, CASE WHEN stray THEN 'unexpected_business_result' END], lambda f: f IS NOT NULL) AS early FROM z)"""
 _LAYERS = (
     "execution_started sql_generation_success sql_behavior_correct execution_success execution_behavior_correct status_correct stop_reason_correct calculation_status_correct "
     "source_result_correct result_correct safety_correct lineage_correct attempt_accounting_correct business_correct"
@@ -297,11 +299,32 @@ def _wilson_by(spark, folder):
 QUERIES["evaluate_wilson_intervals"] = _wilson_by
 ORACLES["evaluate_wilson_intervals"] = f"""WITH t AS (SELECT lang, source, sum(quality) AS k, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2)
 SELECT lang, source, CAST(k AS BIGINT) AS numerator, CAST(n AS BIGINT) AS denominator, {_WILSON} FROM {_Z.format(t='t')}"""
-QUERIES["evaluate_submission_audit"] = lambda spark, folder: submission_audit(_outputs(spark, folder), _cases(spark, folder))
-ORACLES["evaluate_submission_audit"] = f"""WITH {_CASES}, c AS (SELECT count(*) AS n, count(DISTINCT case_id) AS d, count(*) FILTER (NOT sql AND tox) AS w FROM z)
-SELECT 'duplicate_case_id' AS "check", n - d AS violations FROM c UNION ALL SELECT 'missing_case_id', (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT case_id FROM z))
-UNION ALL SELECT 'extra_case_id', 0 UNION ALL SELECT 'parameters_without_sql', 0 UNION ALL SELECT 'attempts_without_sql', 0 UNION ALL SELECT 'success_without_start', 0
-UNION ALL SELECT 'repair_transport_without_repair', 0 UNION ALL SELECT 'rows_without_columns', 0 UNION ALL SELECT 'negative_attempts', 0"""
+
+
+def _submission(spark, folder):
+    """Outputs with cases repeated, added and missing, and every row rule broken by some."""
+    d, text = F.col("case_id"), F.array(F.lit("1"))
+    rows = _outputs(spark, folder).withColumns(
+        {
+            "named_parameters": F.when(d % 7 == 0, F.create_map(F.lit("p"), F.lit("1"))).otherwise(F.col("named_parameters")),
+            "sql_attempt_count": F.when(d % 5 == 0, 2).otherwise(F.col("sql_attempt_count")),
+            "execution_succeeded": F.col("execution_succeeded") | (d % 9 == 0),
+            "repair_transport_attempt_count": F.when(d % 17 == 0, 1).otherwise(F.col("repair_transport_attempt_count")),
+            "result_rows": F.when(d % 19 == 0, text).otherwise(F.col("result_rows")),
+            "generation_transport_attempt_count": F.when(d % 23 == 0, -1).otherwise(F.col("generation_transport_attempt_count")),
+        }
+    )
+    return rows.unionByName(rows.filter(d % 11 == 0)).unionByName(rows.filter(d % 13 == 0).withColumn("case_id", -d - 1))
+
+
+QUERIES["evaluate_submission_audit"] = lambda spark, folder: submission_audit(_submission(spark, folder), _cases(spark, folder))
+ORACLES["evaluate_submission_audit"] = f"""WITH {_CASES}, s AS (SELECT case_id, case_id AS d, sql, ran, tox FROM z UNION ALL SELECT case_id, case_id, sql, ran, tox FROM z WHERE case_id % 11 = 0
+  UNION ALL SELECT -case_id - 1, case_id, sql, ran, tox FROM z WHERE case_id % 13 = 0)
+SELECT 'duplicate_case_id' AS "check", count(*) - count(DISTINCT case_id) AS violations FROM s UNION ALL SELECT 'missing_case_id', (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT case_id FROM s))
+UNION ALL SELECT 'extra_case_id', count(DISTINCT case_id) FILTER (case_id < 0) FROM s UNION ALL SELECT 'parameters_without_sql', count(*) FILTER (NOT sql AND d % 7 = 0) FROM s
+UNION ALL SELECT 'attempts_without_sql', count(*) FILTER (NOT sql AND d % 5 = 0) FROM s UNION ALL SELECT 'success_without_start', count(*) FILTER (NOT ran AND d % 9 = 0) FROM s
+UNION ALL SELECT 'repair_transport_without_repair', count(*) FILTER (NOT tox AND d % 17 = 0) FROM s UNION ALL SELECT 'rows_without_columns', count(*) FILTER (NOT ran AND d % 19 = 0) FROM s
+UNION ALL SELECT 'negative_attempts', count(*) FILTER (d % 23 = 0) FROM s"""
 
 
 def _failed(spark, folder):
