@@ -3,28 +3,31 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import itertools
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.llm.support import as_bytes, partitions, staged
+from metricloom.llm.support import as_bytes, frugal, give_back, ordered_offsets, partitions, staged
 
 FILTERS = "ABCDE"
 LEAST_WORDS, LEAST_DISTINCT_PERCENT, MOST_CAPITALS_PERCENT = 200, 50, 2
 SYMBOLS = b"#$%&*|"
-# A shard of the matrix ends at so many entries or bytes of vocabulary; a text is split at so many bytes.
-SHARD_ENTRIES, SHARD_BYTES, PIECE = 1 << 22, 6 << 20, 1 << 20
+# A shard of the matrix ends at so many bytes of text or words of vocabulary; a text is split at so many bytes.
+SHARD_BYTES, SHARD_WORDS, PIECE = 32 << 20, 1 << 20, 1 << 20
+# Words that meet at once, copies from different shards counted each.
+BUCKET_WORDS = 250_000
 
-_LOCAL = "shard long, place int, doc_id long, part string, others int, digest binary, terms binary, counts binary, word binary"
+_LOCAL = "shard long, place int, doc_id long, part string, others int, digest binary, terms binary, counts binary, words binary, sizes binary, hashes binary"
 _NAMES = [f.split()[0] for f in _LOCAL.split(", ")]
-_KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), *[pa.binary()] * 4]
+_KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), *[pa.binary()] * 6]
 _SPACE = b" \t\n\r\x0b\x0c"
 
 
@@ -46,25 +49,23 @@ def words_of(raw: bytes) -> Counter:
 
 
 def _local_terms(docs: DataFrame) -> DataFrame:
-    """Rows of the matrix in the vocabulary of their shard, and the words of that vocabulary.
+    """Rows of the matrix in the vocabulary of their shard, and a row with that vocabulary for each shard.
 
-    A row has a digest of its text and the filters C and D as bits 2 and 3 of ``others``.
+    A row has a digest of its text and the filters C and D as bits 2 and 3 of ``others``. The row of a
+    vocabulary has its ``words`` one after another, their ``sizes`` and their ``hashes``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, vocabulary, bytes_of, entries, out = TaskContext.get().partitionId() << 32, {}, 0, 0, []
+        shard, vocabulary, read, place, out, size = TaskContext.get().partitionId() << 32, _numbering(), 0, 0, [], 0
 
         def emit() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), _KINDS, strict=True)], _NAMES)
 
-        def words() -> Iterator[pa.RecordBatch]:
-            listed = list(vocabulary)
-            for at in range(0, len(listed), 50_000):
-                some = listed[at : at + 50_000]
-                columns = [pa.array(np.full(len(some), shard)), pa.array(np.arange(at, at + len(some), dtype=np.int32)), *[pa.nulls(len(some), t) for t in _KINDS[2:8]], pa.array(some, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, _NAMES)
+        def words() -> tuple:
+            hashes = np.fromiter(map(zlib.crc32, vocabulary), np.uint32, len(vocabulary))
+            sizes = np.fromiter(map(len, vocabulary), np.int32, len(vocabulary))
+            return shard, len(vocabulary), *[None] * 6, b"".join(vocabulary), sizes.tobytes(), hashes.tobytes()
 
-        place, size = 0, 0
         for batch in batches:
             for doc, part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
@@ -74,72 +75,121 @@ def _local_terms(docs: DataFrame) -> DataFrame:
                 points = len(raw) - bytes_found[0x80:0xC0].sum()
                 others = 4 * int(100 * bytes_found[65:91].sum() > MOST_CAPITALS_PERCENT * points) + 8 * int(bytes_found[list(SYMBOLS)].any())
                 found = words_of(raw)
-                terms = np.empty(len(found), np.int32)
-                for k, word in enumerate(found):
-                    number = vocabulary.get(word)
-                    if number is None:
-                        number = vocabulary[word] = len(vocabulary)
-                        bytes_of += len(word)
-                    terms[k] = number
+                terms = np.fromiter(map(vocabulary.__getitem__, found), np.int32, len(found))
                 counts = np.fromiter(found.values(), np.int32, len(found))
-                out.append((shard, place, doc, part, others, hashlib.sha256(raw).digest(), terms.tobytes(), counts.tobytes(), None))
-                place, entries, size = place + 1, entries + len(found), size + 8 * len(found)
-                if size > 1 << 20:
+                out.append((shard, place, doc, part, others, hashlib.sha256(raw).digest(), terms.tobytes(), counts.tobytes(), None, None, None))
+                place, read, size = place + 1, read + len(raw), size + 8 * len(found)
+                full = read >= SHARD_BYTES or len(vocabulary) >= SHARD_WORDS
+                if full:
+                    out.append(words())
+                    shard, vocabulary, read, place = shard + 1, _numbering(), 0, 0
+                if full or size > 1 << 20:
                     yield emit()
                     out, size = [], 0
-                if entries >= SHARD_ENTRIES or bytes_of >= SHARD_BYTES:
-                    if out:
-                        yield emit()
-                    yield from words()
-                    shard, vocabulary, bytes_of, entries, place, out, size = shard + 1, {}, 0, 0, 0, [], 0
-        if out:
+        if place:
+            out.append(words())
             yield emit()
-        yield from words()
 
     part = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part")
-    return docs.select("doc_id", part, as_bytes("text")).mapInArrow(run, _LOCAL)
+    return docs.select("doc_id", part, as_bytes("text")).mapInArrow(frugal(run), _LOCAL)
 
 
-_NUMBERED = "block int, number long, word binary, of_shard long, local int"
+def _numbering() -> defaultdict:
+    """Gives each new key the next number."""
+    return defaultdict(itertools.count().__next__)
+
+
+def _binaries(data: bytes, sizes: np.ndarray) -> pa.Array:
+    ends = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def _parts(words: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The bytes of an array of words and the size of each."""
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, np.int32, len(words) + 1, 4 * words.offset)
+    return (data.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes() if data is not None else b""), np.diff(ends)
+
+
+_PART = "bucket int, shard long, local binary, sizes binary, words binary"
+_NUMBERED = "bucket int, shard long, n int, local binary, numbers binary, sizes binary, words binary"
 
 
 def numbered_words(local: DataFrame) -> DataFrame:
-    """The words of all shards with ``number`` counting distinct words within each ``block`` of the word order.
+    """The words of all shards, numbered within each bucket of a hash.
 
-    Words meet in ranges of their order, a word once for each shard that has it; ``word`` itself stands
-    in the first row of each only.
+    A word meets its copies from other shards, one for each that has it. A row with a ``shard`` has the
+    ``numbers`` of the words ``local`` of that shard; a row without has the ``n`` distinct words of the
+    bucket in order of their numbers.
     """
-    spoken = local.where("word is not null").select("word", "shard", "place")
+    vocabularies = local.where("words is not null").select("shard", "words", "sizes", "hashes")
+    total = local.where("words is not null").agg(F.sum("place")).first()[0] or 0
+    buckets = max(partitions(local.sparkSession), -(-total // BUCKET_WORDS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, number, last = TaskContext.get().partitionId(), -1, None
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = batch.column(0)
-            new = np.ones(len(words), bool)
-            new[1:] = pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)
-            new[0] = words[0].as_py() != last
-            last = words[-1].as_py()
-            numbers = number + np.cumsum(new)
-            number = int(numbers[-1])
-            firsts = pc.if_else(pa.array(new), words, pa.scalar(None, pa.binary()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block, np.int32)), pa.array(numbers), firsts, batch.column(1), batch.column(2)], [f.split()[0] for f in _NUMBERED.split(", ")])
+            for shard, words, sizes, hashes in zip(*batch.columns, strict=True):
+                bucket = np.frombuffer(hashes.as_buffer(), np.uint32) % np.uint32(buckets)
+                if not len(bucket):
+                    continue
+                order = np.argsort(bucket, kind="stable")
+                found, first = np.unique(bucket[order], return_index=True)
+                dealt = _binaries(words.as_buffer(), np.frombuffer(sizes.as_buffer(), np.int32)).take(pa.array(order))
+                out = []
+                for b, start, end in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+                    data, lengths = _parts(dealt.slice(start, end - start))
+                    out.append((b, shard.as_py(), order[start:end].astype(np.int32).tobytes(), lengths.astype(np.int32).tobytes(), data))
+                if out:
+                    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 3]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds, strict=True)], [f.split()[0] for f in _PART.split(", ")])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
 
-    n = partitions(local.sparkSession)
-    return staged(spoken.repartitionByRange(n, "word").sortWithinPartitions("word").mapInArrow(run, _NUMBERED))
+        def emit() -> pa.RecordBatch:
+            lengths = [np.frombuffer(h[2], np.int32) for h in held]
+            coded = _binaries(b"".join(h[3] for h in held), np.concatenate(lengths)).dictionary_encode()
+            numbers, at, out = coded.indices.to_numpy().astype(np.int32), 0, []
+            for (shard, local, _, _), mine in zip(held, lengths, strict=True):
+                out.append((bucket, shard, None, local, numbers[at : at + len(mine)].tobytes(), None, None))
+                at += len(mine)
+            data, sizes = _parts(coded.dictionary)
+            out.append((bucket, None, len(sizes), None, None, sizes.astype(np.int32).tobytes(), data))
+            kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds, strict=True)], [f.split()[0] for f in _NUMBERED.split(", ")])
+
+        for batch in batches:
+            for b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and b != bucket:
+                    yield emit()
+                    held = []
+                bucket = b
+                held.append(row)
+        if held:
+            yield emit()
+
+    dealt = vocabularies.mapInArrow(frugal(split), _PART).repartition(buckets, "bucket").sortWithinPartitions("bucket", "shard")
+    return staged(dealt.mapInArrow(frugal(number), _NUMBERED))
 
 
-def _terms(numbered: DataFrame) -> DataFrame:
-    """``numbered`` with ``term``: the dense number of each word among all words."""
-    before = Window.orderBy("of_block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = numbered.groupBy(F.col("block").alias("of_block")).agg((F.max("number") + 1).alias("n"))
-    starts = sizes.select("of_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    # One row for each block; Spark sends it to all tasks.
-    return numbered.join(F.broadcast(starts), F.col("block") == F.col("of_block")).withColumn("term", F.col("start") + F.col("number"))
+def _starts(numbered: DataFrame) -> DataFrame:
+    """The number of words in earlier buckets."""
+    sizes = numbered.where("shard is null").select(F.col("bucket").alias("of_bucket"), "n")
+    return ordered_offsets(sizes, ["of_bucket"], {"start": F.col("n").cast("long")}).drop("n")
 
 
 def dictionary(numbered: DataFrame) -> DataFrame:
-    """Every distinct word once, with ``term``: its dense number in the order of bytes."""
-    return _terms(numbered.where("word is not null")).select("word", "term")
+    """Every distinct word once, with ``term``: its dense number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, sizes, words in zip(*batch.columns, strict=True):
+                listed = _binaries(words.as_buffer(), np.frombuffer(sizes.as_buffer(), np.int32))
+                yield pa.RecordBatch.from_arrays([listed, pa.array(start.as_py() + np.arange(len(listed)))], ["word", "term"])
+
+    listed = numbered.where("shard is null").join(_starts(numbered), F.col("bucket") == F.col("of_bucket"))
+    return listed.select("start", "sizes", "words").mapInArrow(run, "word binary, term long")
 
 
 _CSR = "shard long, first int, indptr binary, indices binary, data binary"
@@ -152,24 +202,26 @@ def csr_shards(local: DataFrame, numbered: DataFrame) -> DataFrame:
     each row) and ``data`` (int32). A shard asks for the numbers of its own words, so no task holds
     the dictionary, and a frequent word is looked up once for each shard.
     """
-    numbers = _terms(numbered.drop("word")).select("of_shard", "local", "term")
-    rows = local.where("word is null").select("shard", "place", "terms", "counts")
+    numbers = numbered.where("shard is not null").join(_starts(numbered), F.col("bucket") == F.col("of_bucket"))
+    numbers = numbers.select(F.col("shard").alias("of_shard"), "start", "local", "numbers")
+    rows = local.where("words is null").select("shard", "place", "terms", "counts")
 
     def encode(rows: pa.Table, numbers: pa.Table) -> pa.Table:
-        terms = np.empty(len(numbers), np.int64)
-        terms[numbers.column(1).to_numpy()] = numbers.column(2).to_numpy()
-        places = rows.column(1).to_numpy()
-        order = np.argsort(places)
-        indptr, indices, data = [0], [], []
-        for k in order.tolist():
-            mine = terms[np.frombuffer(rows.column(2)[k].as_buffer(), np.int32)]
-            sorted_terms = np.argsort(mine)
-            indices.append(mine[sorted_terms])
-            data.append(np.frombuffer(rows.column(3)[k].as_buffer(), np.int32)[sorted_terms])
-            indptr.append(indptr[-1] + len(mine))
-        blobs = np.array(indptr, np.int64), np.concatenate([np.zeros(0, np.int64), *indices]), np.concatenate([np.zeros(0, np.int32), *data])
-        shard, first = ([rows.column(0)[0].as_py()], [int(places.min())]) if len(rows) else ([], [])
-        columns = [pa.array(shard, pa.int64()), pa.array(first, pa.int32()), *[pa.array([b.tobytes()] * len(shard), pa.binary()) for b in blobs]]
+        pairs = [(start, np.frombuffer(local, np.int32), np.frombuffer(found, np.int32)) for start, local, found in zip(*(numbers.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
+        terms = np.empty(sum(len(local) for _, local, _ in pairs), np.int64)
+        for start, local, found in pairs:
+            terms[local] = start + found.astype(np.int64)
+        order = np.argsort(rows.column(1).to_numpy())
+        local, counts = ([x.to_pylist()[k] for k in order.tolist()] for x in (rows.column(2), rows.column(3)))
+        lengths = np.array([len(x) // 4 for x in local], np.int64)
+        indptr = np.append(0, np.cumsum(lengths))
+        indices, data = terms[np.frombuffer(b"".join(local), np.int32)], np.frombuffer(b"".join(counts), np.int32)
+        within = np.lexsort((indices, np.repeat(np.arange(len(lengths)), lengths)))
+        blobs = [b.tobytes() for b in (indptr, indices[within], data[within])]
+        shard, first = ([rows.column(0)[0].as_py()], [int(rows.column(1)[int(order[0])].as_py())]) if len(rows) else ([], [])
+        columns = [pa.array(shard, pa.int64()), pa.array(first, pa.int32()), *[pa.array([b] * len(shard), pa.binary()) for b in blobs]]
+        del pairs, terms, local, counts, indices, data, within
+        give_back()
         return pa.table(columns, [f.split()[0] for f in _CSR.split(", ")])
 
     return rows.groupBy("shard").cogroup(numbers.groupBy("of_shard")).applyInArrow(encode, _CSR)
@@ -196,7 +248,7 @@ def document_failures(docs: DataFrame) -> DataFrame:
     code points; D: holds a symbol; E: has the text of a smaller doc_id.
     """
     local = staged(_local_terms(docs))
-    rows = local.where("word is null").select("shard", "place", "doc_id", "part", "others", "digest")
+    rows = local.where("words is null").select("shard", "place", "doc_id", "part", "others", "digest")
     copies = rows.groupBy(F.col("digest").alias("_digest")).agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     # Written first, so that Spark can split a text with very many copies.
     firsts = staged(copies)

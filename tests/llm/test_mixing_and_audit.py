@@ -102,11 +102,12 @@ def test_long_texts_are_counted_piece_by_piece(monkeypatch):
 def test_shards_hold_the_matrix(docs, rows, monkeypatch):
     from metricloom.llm import filter_audit
 
-    monkeypatch.setattr(filter_audit, "SHARD_ENTRIES", 900)
+    monkeypatch.setattr(filter_audit, "SHARD_WORDS", 90)
+    monkeypatch.setattr(filter_audit, "BUCKET_WORDS", 40)
     local = staged(_local_terms(docs))
     numbered = numbered_words(local)
     listed = {r["term"]: r["word"].decode() for r in dictionary(numbered).collect()}
-    assert sorted(listed) == list(range(len(listed))) and [listed[k].encode() for k in sorted(listed)] == sorted(w.encode() for w in listed.values())
+    assert sorted(listed) == list(range(len(listed))) and set(listed.values()) == {w for r in rows for w in words(r[1])} and len(set(listed.values())) == len(listed)
     import numpy as np
 
     found = Counter()
@@ -155,6 +156,8 @@ def test_audit_equals_running_every_order(docs, rows, labels):
 
 def test_audit_of_small_shards_and_nothing(spark, docs, no_docs, labels):
     assert filter_interactions(no_docs, labels).collect() == []
+    blank = filter_interactions(docs.where("doc_id in (0, 3)"), labels.limit(0)).collect()  # null and empty: no word at all
+    assert len(blank) == 1200 and all(r["removed"] == 1 for r in blank if r["filter_order"] == "ABCDE" and r["step"] == 1)
     whole = {tuple(r) for r in filter_interactions(docs, labels).collect()}
     none = filter_interactions(docs.repartition(9), labels.limit(0)).collect()
     assert {tuple(r)[:7] for r in none} == {r[:7] for r in whole} and all(r["good_lost"] == r["toxic_lost"] == 0 for r in none)
