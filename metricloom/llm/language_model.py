@@ -18,6 +18,11 @@ DEPTH = 5
 SHARED = 3
 # Bytes of text that ask for their words and grams together.
 GROUP_BYTES = 32 << 20
+# Grams whose trees are in memory at once, at least; more only if they share a context. A tree has
+# about a kilobyte for each.
+CHUNK = 50_000
+# Partitions for each group of texts, so that few groups fall together in a task.
+SPREAD = 4
 # Bytes that are looked at at once, and slices whose counts are kept apart; both only bound memory.
 SLICE, MERGED = 1 << 19, 8
 WORD, GRAM, TEXT = 0, 1, 2
@@ -90,7 +95,7 @@ def _node_ids(keys: np.ndarray, bit: int) -> np.ndarray:
     return ((1 << bit) | (keys & np.uint64((1 << bit) - 1)).astype(np.int64)).astype(np.int64)
 
 
-def _whole_contexts(batches: Iterator[list[np.ndarray]], depth: int, least: int = 200_000) -> Iterator[list[np.ndarray]]:
+def _whole_contexts(batches: Iterator[list[np.ndarray]], depth: int, least: int = CHUNK) -> Iterator[list[np.ndarray]]:
     """Sorted rows in chunks that end where the shared context of the first column's grams ends."""
     held: list[list[np.ndarray]] = []
     rows = 0
@@ -124,6 +129,8 @@ def _upper_sums(model: DataFrame, depth: int) -> DataFrame:
                 code = context << 8 | _node_ids(level.keys, bit)
                 found, inverse = np.unique(code, return_inverse=True)
                 sums = [np.bincount(inverse, x, len(found)) for x in (level.zeros, level.ones, level.weighted)]
+                if bit == 7:
+                    trees = level = None
                 yield pa.RecordBatch.from_arrays([pa.array(found >> 8), pa.array(found & 255), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2])], ["context", "node", "zeros", "ones", "below"])
 
     prefix = F.shiftrightunsigned("key", 8 * (depth + 1 - SHARED))
@@ -191,6 +198,7 @@ def gram_probabilities(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
                 for own, right in ((own_two[at, node], right_two[at, node]), (own_one[last, node], right_one[last, node]), (own_none[node], right_none[node])):
                     mixed = own * np.where(value, right, 1 - right) + (1 - own) * mixed
                 total += np.log(mixed)
+            trees = None
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total)], ["key", "log_p"])
             for c in contexts.tolist()[:-1]:
                 near.pop(c, None)
@@ -218,7 +226,7 @@ def scored_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     groups = max(partitions(spark) // 4, -(-total // GROUP_BYTES), 1)
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
-    rows = staged(docs.select((F.monotonically_increasing_id() % groups).alias("g"), held_out.alias("held_out"), as_bytes("text"), "doc_id").repartition(groups, "g").sortWithinPartitions("g"))
+    rows = staged(docs.select((F.monotonically_increasing_id() % groups).alias("g"), held_out.alias("held_out"), as_bytes("text"), "doc_id").repartition(SPREAD * groups, "g").sortWithinPartitions("g"))
     asked = staged(_asked(rows, depth))
 
     words = asked.where(F.col("kind") == WORD)
@@ -266,7 +274,7 @@ def scored_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     # In each group the answers come first, sorted by key, and then the texts one after another.
     texts = rows.select("g", F.lit(TEXT).alias("kind"), F.col("doc_id").cast("long").alias("key"), F.col("held_out").cast("int").cast("double").alias("value"), "text")
-    stream = answers.withColumn("text", F.lit(None).cast("binary")).unionByName(texts).repartition(groups, "g").sortWithinPartitions("g", "kind", "key")
+    stream = answers.withColumn("text", F.lit(None).cast("binary")).unionByName(texts).repartition(SPREAD * groups, "g").sortWithinPartitions("g", "kind", "key")
     return stream.mapInArrow(frugal(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
