@@ -34,6 +34,7 @@ HEADLINE = (
     "quality_key_audit_composite",
     "quality_foreign_key_audit",
     "quality_event_order",
+    "retrieval_stored_index",
     "retrieval_search_top5",
     "retrieval_search_with_dependencies_top3",
     "text_secret_scan",
@@ -41,6 +42,8 @@ HEADLINE = (
     "text_dice_pairs_plain",
     "text_similarity_clusters_plain",
     "evaluate_result_diff_multiset",
+    "evaluate_result_diff_two_tolerances",
+    "evaluate_changed_rows",
     "evaluate_score_cases",
     "evaluate_paired_bootstrap",
     "evaluate_slice_summary",
