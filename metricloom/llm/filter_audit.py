@@ -212,7 +212,7 @@ def csr_shards(local: DataFrame, numbered: DataFrame) -> DataFrame:
         for start, local, found in pairs:
             terms[local] = start + found.astype(np.int64)
         order = np.argsort(rows.column(1).to_numpy())
-        local, counts = ([x.to_pylist()[k] for k in order.tolist()] for x in (rows.column(2), rows.column(3)))
+        local, counts = (x.take(pa.array(order)).to_pylist() for x in (rows.column(2), rows.column(3)))
         lengths = np.array([len(x) // 4 for x in local], np.int64)
         indptr = np.append(0, np.cumsum(lengths))
         indices, data = terms[np.frombuffer(b"".join(local), np.int32)], np.frombuffer(b"".join(counts), np.int32)
