@@ -109,6 +109,21 @@ def test_dice_pairs_in_small_blocks_are_all_pairs(spark, sentences, threshold, m
     assert got == pytest.approx(want)
 
 
+def test_sets_move_instead_of_texts_and_a_forest_instead_of_pairs(spark, sentences):
+    """No text is read for a pair, and near copies in blocks that meet leave an edge for each, not one for each pair."""
+    near = ["".join(chr(97 + i * i % 23) for i in range(400)) + chr(97 + k) * 3 for k in range(26)]
+    rows = [*enumerate([*sentences, *near, near[0], "", "a"]), (999, None)]
+    texts = distinct_texts(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", F.col("text"))
+    pairs, forest = dice_pairs(texts), similarity.dice_forest(texts)
+    assert "FlatMapCoGroups" not in pairs._jdf.queryExecution().executedPlan().toString()
+    total = sum(r.left_copies * r.right_copies for r in pairs.collect())
+    edges = forest.collect()
+    assert sum(r.document_pairs for r in edges) == total >= 26 * 25 // 2
+    assert len(edges) <= 2 * texts.count() < total
+    want = {tuple(r) for r in clusters(pairs, texts).collect()}
+    assert {tuple(r) for r in clusters(forest, texts).collect()} == want
+
+
 def test_bitmaps_bound_the_difference_and_fold():
     rng = random.Random(8)
     for _ in range(30):
