@@ -21,8 +21,6 @@ GROUP_BYTES = 32 << 20
 # Grams whose trees are in memory at once, at least; more only if they share a context. A tree has
 # about a kilobyte for each.
 CHUNK = 50_000
-# Partitions for each group of texts, so that few groups fall together in a task.
-SPREAD = 4
 # Bytes that are looked at at once, and slices whose counts are kept apart; both only bound memory.
 SLICE, MERGED = 1 << 19, 8
 WORD, GRAM, TEXT = 0, 1, 2
@@ -218,7 +216,7 @@ def scored_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     repeated rows count and are scored each; with no training text every byte costs 8 bits.
 
     Groups of texts ask for the counts of their own words and grams and get back a number for each,
-    so no task ever holds the model or the vocabulary.
+    so no task ever holds the model or the vocabulary. Each group is a partition of its own.
     """
     if not SHARED <= depth <= 6:
         raise ValueError(f"contexts of {SHARED} to 6 bytes")
@@ -226,7 +224,7 @@ def scored_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     groups = max(partitions(spark) // 4, -(-total // GROUP_BYTES), 1)
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
-    rows = staged(docs.select((F.monotonically_increasing_id() % groups).alias("g"), held_out.alias("held_out"), as_bytes("text"), "doc_id").repartition(SPREAD * groups, "g").sortWithinPartitions("g"))
+    rows = staged(docs.select((F.monotonically_increasing_id() % groups).alias("g"), held_out.alias("held_out"), as_bytes("text"), "doc_id").repartitionById(groups, F.col("g").cast("int")).sortWithinPartitions("g"))
     asked = staged(_asked(rows, depth))
 
     words = asked.where(F.col("kind") == WORD)
@@ -274,7 +272,7 @@ def scored_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     # In each group the answers come first, sorted by key, and then the texts one after another.
     texts = rows.select("g", F.lit(TEXT).alias("kind"), F.col("doc_id").cast("long").alias("key"), F.col("held_out").cast("int").cast("double").alias("value"), "text")
-    stream = answers.withColumn("text", F.lit(None).cast("binary")).unionByName(texts).repartition(SPREAD * groups, "g").sortWithinPartitions("g", "kind", "key")
+    stream = answers.withColumn("text", F.lit(None).cast("binary")).unionByName(texts).repartitionById(groups, F.col("g").cast("int")).sortWithinPartitions("g", "kind", "key")
     return stream.mapInArrow(frugal(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -351,6 +351,13 @@ def test_scores_of_awkward_rows(docs, rows):
     assert len({(r["score"], r["base_score"]) for r in got if r["doc_id"] in (15, 18)}) == 1
 
 
+def test_no_two_groups_of_texts_share_a_task(spark, monkeypatch):
+    monkeypatch.setattr("metricloom.llm.language_model.GROUP_BYTES", 30)
+    frame = spark.createDataFrame([(i, "a few words " * 5) for i in range(13)], "doc_id bigint, text string").coalesce(1)
+    rows = scored_texts(frame).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(rows) == 13 and {r["count"] for r in rows} == {1}
+
+
 def test_empty_tables(spark, no_docs, benchmark):
     for found in (
         quality_verdicts(no_docs),
