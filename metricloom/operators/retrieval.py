@@ -20,6 +20,8 @@ FIELD_WEIGHTS = {"name": 3, "description": 1, "dependencies": 1}
 SCORE = "decimal(28,12)"
 # Documents of one block of the stored index, on average.
 BLOCK_DOCUMENTS = 64
+# Blocks of the stored index that one task puts together, about; more tasks follow from more blocks.
+PART_BLOCKS = 16
 
 
 @dataclass(frozen=True)
@@ -105,6 +107,22 @@ class StoredIndex:
         return self.spark.table(self.blocks_name)
 
 
+def _block_postings(documents: DataFrame, fields: Sequence[str], blocks: int) -> DataFrame:
+    """For each term and block: ``most`` and ``docs`` of a stored index."""
+    per_field = F.array(*[F.struct(F.lit(k).alias("field"), F.col(f).alias("terms")) for k, f in enumerate(fields)])
+    # Terms move once, document by document; what a block holds is then put together where it lies.
+    parts = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-blocks // PART_BLOCKS))
+    dealt = documents.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).repartition(parts, "block")
+    found = (
+        dealt.select("doc_id", "block", F.explode(per_field).alias("f"))
+        .select("block", F.struct("doc_id", F.col("f.field").alias("field")).alias("doc"), F.explode("f.terms").alias("term"))
+    )
+    # No document of the block weighs more than all fields in which some document has the term.
+    most = sum((F.max(F.when(F.col("doc.field") == k, FIELD_WEIGHTS[f]).otherwise(0)) for k, f in enumerate(fields)), F.lit(0))
+    # At most the documents of one block are gathered.
+    return found.groupBy("term", "block").agg(most.alias("most"), F.collect_list("doc").alias("docs"))
+
+
 def store_index(index: TermIndex, block_documents: int = BLOCK_DOCUMENTS) -> StoredIndex:
     """Write the inverted index of ``index``; each text is read once.
 
@@ -115,15 +133,7 @@ def store_index(index: TermIndex, block_documents: int = BLOCK_DOCUMENTS) -> Sto
     documents = written(index.documents)
     total = documents.count()
     blocks = max(1, -(-total // block_documents))
-    per_field = F.array(*[F.struct(F.lit(k).alias("field"), F.col(f).alias("terms")) for k, f in enumerate(index.fields)])
-    found = (
-        documents.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), F.explode(per_field).alias("f"))
-        .select("block", F.struct("doc_id", F.col("f.field").alias("field")).alias("doc"), F.explode("f.terms").alias("term"))
-    )
-    # No document of the block weighs more than all fields in which some document has the term.
-    most = sum((F.max(F.when(F.col("doc.field") == k, FIELD_WEIGHTS[f]).otherwise(0)) for k, f in enumerate(index.fields)), F.lit(0))
-    # At most the documents of one block are gathered.
-    grouped = found.groupBy("term", "block").agg(most.alias("most"), F.collect_list("doc").alias("docs"))
+    grouped = _block_postings(documents, index.fields, blocks)
     name = f"term_index_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}-{name}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from metricloom.functions.text import lexical_terms, normalize_template, redact
 from metricloom.operators import similarity
-from metricloom.operators.retrieval import build_index, search
+from metricloom.operators.retrieval import _block_postings, build_index, search
 from metricloom.operators.scanning import SECRET_RULES, USER_PATH_RULE, classify_errors, secret_scan
 from metricloom.operators.similarity import (
     clusters,
@@ -254,3 +254,13 @@ def test_error_classes(spark, ok, kind, started, message, rule, eligible):
 
 def test_nfkc_is_applied(spark):
     assert one(spark, normalize_template("t"), "ﬁve ① Ａ") == unicodedata.normalize("NFKC", "ﬁve ① Ａ").lower().replace(" 1 ", "<number>")
+
+
+def test_index_deals_out_documents_and_not_postings(spark):
+    docs = spark.createDataFrame([(i, f"common w{i} w{i % 3}") for i in range(40)], "doc_id bigint, text string")
+    index = build_index(docs, "doc_id", {"description": "text"})
+    grouped = _block_postings(index.documents, index.fields, 4)
+    shown = grouped._jdf.queryExecution().executedPlan().toString()
+    assert shown.count("Exchange") == 1 and "hashpartitioning(block" in shown
+    found = {(r.term, d.doc_id) for r in grouped.collect() for d in r.docs}
+    assert found == {(t, i) for i in range(40) for t in ("common", f"w{i}", f"w{i % 3}")}
