@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +28,8 @@ TEMPLATE_MASKS = (
 )
 # Digits, white space and word borders of all scripts.
 ALL_SCRIPTS = "(?U)"
+# Texts that are normalized at once; it only bounds memory.
+NFKC_ROWS = 64
 
 # Redaction of local paths in error text.
 WHITESPACE_RUN = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
@@ -58,10 +60,13 @@ def lexical_terms(text: Column | str) -> Column:
     return F.array_distinct(F.concat(words, pairs))
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode NFKC, the one text step Spark has no expression for; Arrow batches, no state."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+@F.arrow_udf(T.StringType())
+def nfkc(text: pa.Array) -> pa.Array:
+    """Unicode NFKC, the one text step Spark has no expression for; few texts of a batch are Python strings at once."""
+    parts = [pa.array([], pa.string())]
+    for at in range(0, len(text), NFKC_ROWS):
+        parts.append(pa.array([t if t is None else unicodedata.normalize("NFKC", t) for t in text.slice(at, NFKC_ROWS).to_pylist()], pa.string()))
+    return pa.concat_arrays(parts)
 
 
 def normalize_template(text: Column | str) -> Column:

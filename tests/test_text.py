@@ -39,6 +39,19 @@ def test_templates(spark):
     assert one(spark, normalize_template("t"), "SP 州, 2018-01-05 x9 3.5 R2D2") == "<state><date>x9<number>r2d2"
 
 
+def test_few_texts_of_a_batch_are_normalized_at_once(spark):
+    import pyarrow as pa
+
+    from metricloom.functions.text import NFKC_ROWS, nfkc
+
+    texts = [None if i % 7 == 0 else f"２０{i}ﬁ é" for i in range(3 * NFKC_ROWS + 5)]
+    want = [t if t is None else unicodedata.normalize("NFKC", t) for t in texts]
+    assert nfkc.func(pa.array(texts)).to_pylist() == want
+    assert nfkc.func(pa.array([], pa.string())).to_pylist() == []
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", nfkc("t").alias("x")).collect()
+    assert [r.x for r in sorted(rows)] == want
+
+
 def brute_grams(text):
     return {text[i : i + w] for w in (2, 3) for i in range(len(text) - w + 1)} or {text}
 
