@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -287,6 +289,63 @@ def operational_summary(
 
 # --------------------------------------------------------------------------- paired comparison
 
+# Hashes that are made at once, and about how many one task makes.
+STRETCH, DRAWS_PER_TASK = 8192, 1 << 24
+_SINES = (np.abs(np.sin(np.arange(1, 65))) * 2**32).astype(np.uint64).astype(np.uint32)
+_TURNS = np.repeat([[7, 12, 17, 22], [5, 9, 14, 20], [4, 11, 16, 23], [6, 10, 15, 21]], 4, axis=0).ravel().tolist()
+
+
+def md5_words(texts: np.ndarray) -> np.ndarray:
+    """MD5 of many texts of one length, at most 55 bytes: a row each in, four words as their hex digits read out.
+
+    ``hashlib`` takes one text at a time; here a whole array goes through each of the 64 steps.
+    """
+    rows, length = texts.shape
+    if length > 55:
+        raise ValueError("texts of one block only")
+    block = np.zeros((rows, 64), np.uint8)
+    block[:, :length] = texts
+    block[:, length] = 0x80
+    block[:, 56:58] = length * 8 & 0xFF, length * 8 >> 8
+    words = np.ascontiguousarray(block.view("<u4").T)
+    # A word that is the same for all texts stays one number.
+    m = [w[:1] if (w == w[0]).all() else w for w in words]
+    start = [np.full(rows, x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = start
+    for i in range(64):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f += a
+        f += m[g] + _SINES[i]
+        turn = np.uint32(_TURNS[i])
+        a, d, c, b = d, c, b, b + (f << turn | f >> (np.uint32(32) - turn))
+    return np.stack([x + y for x, y in zip((a, b, c, d), start, strict=True)], axis=1).byteswap()
+
+
+def _drawn(seed: int, resample: int, first: int, end: int, n: int, down: int, up: int) -> int:
+    """Sum of the draws of a resample from its hashes ``first`` to ``end``, four from each; there are ``n``."""
+    head, total = f"{seed}|{resample}|".encode(), 0
+    while first < end:
+        # Numbers of as many digits make texts of one length.
+        digits = len(str(first))
+        to = min(end, 10**digits)
+        numbers = np.arange(first, to)
+        texts = np.empty((to - first, len(head) + digits), np.uint8)
+        texts[:, : len(head)] = np.frombuffer(head, np.uint8)
+        for k in range(digits):
+            texts[:, len(head) + k] = numbers // 10 ** (digits - 1 - k) % 10 + 48
+        spots = (md5_words(texts) % np.uint32(n) if n < 1 << 32 else md5_words(texts)).ravel()[: n - 4 * first]
+        total += int((spots >= n - up).sum()) - int((spots < down).sum())
+        first = to
+    return total
+
+
 def paired_difference(
     left: DataFrame,
     right: DataFrame,
@@ -326,14 +385,17 @@ def paired_difference(
         raise ValueError(f"no jointly evaluated cases for {metric}")
     spark = left.sparkSession
     fours = -(-n // 4)
-    draws = spark.range(resamples * fours).select(F.floor(F.col("id") / fours).alias("b"), (F.col("id") % fours).alias("q"))
-    draws = draws.withColumn("hash", F.md5(F.concat_ws("|", F.lit(str(seed)), "b", "q")))
-    drawn = F.lit(0)
-    for k in range(4):
-        spot = F.conv(F.substring("hash", 8 * k + 1, 8), 16, 10).cast("bigint") % n
-        drawn = drawn + F.when(F.col("q") * 4 + k >= n, 0).when(spot < down, -1).when(spot >= n - up, 1).otherwise(0)
+    stretches = -(-fours // STRETCH)
+    asked = spark.range(0, resamples * stretches, 1, min(resamples * stretches, max(spark.sparkContext.defaultParallelism, resamples * fours // DRAWS_PER_TASK)))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b, stretch = np.divmod(batch.column(0).to_numpy(), stretches)
+            sums = [_drawn(seed, int(x), int(y) * STRETCH, min(fours, (int(y) + 1) * STRETCH), n, down, up) for x, y in zip(b, stretch, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(sums, pa.int64())], ["b", "d"])
+
     # A resample is a stretch of neighbouring numbers, so each task sends one sum for each of its own.
-    means = draws.select("b", drawn.alias("d")).groupBy("b").agg((F.sum("d") / F.lit(n)).alias("mean"))
+    means = asked.mapInArrow(draw, "b long, d long").groupBy("b").agg((F.sum("d") / F.lit(n)).alias("mean"))
     low = max(0, resamples * 25 // 1000) + 1
     high = min(resamples, -(-resamples * 975 // 1000))
     place = F.row_number().over(Window.orderBy("mean", "b"))  # one row per resample, never per case

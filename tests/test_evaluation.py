@@ -1,9 +1,11 @@
 """Result comparison against exhaustive matching, intervals, bootstrap, ledgers, logs, streams."""
 
 import datetime as dt
+import hashlib
 import random
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from metricloom.operators.ledger import changed_rows, first_breaches, input_hash
 from metricloom.operators.matching import maximum_matching
 from metricloom.operators.ranking import exact_quantiles
 from metricloom.operators.result_diff import DiffRules, diff_results, unmatched_rows
-from metricloom.operators.scoring import operational_summary, paired_difference, wilson
+from metricloom.operators.scoring import _drawn, md5_words, operational_summary, paired_difference, wilson
 from metricloom.streaming.ledger import stream_first_breaches
 from metricloom.streaming.logs import read_log_stream, run_available, stream_first_seen, stream_usage
 
@@ -179,6 +181,18 @@ def test_exact_quantiles_and_summary(spark):
     assert (r.median_latency, r.p95_latency, r.t_total, r.currency) == (ordered[499], ordered[949], None, "USD")
 
 
+def test_draws_are_those_of_one_hash_after_the_other():
+    texts = [f"{seed}|{b}|{q}".encode() for seed, b, q in ((15015, 7, 1234), (15015, 9, 9999), (15015, 0, 1000))]
+    words = md5_words(np.array([list(t) for t in texts], np.uint8))
+    assert ["".join(f"{int(x):08x}" for x in row) for row in words] == [hashlib.md5(t).hexdigest() for t in texts]
+    n, down, up, total = 4097 * 4 - 3, 1500, 2500, 0
+    for q in range(4097):
+        digest = hashlib.md5(f"15015|31|{q}".encode()).digest()
+        spots = [int.from_bytes(digest[4 * k : 4 * k + 4], "big") % n for k in range(4) if 4 * q + k < n]
+        total += sum(-1 if s < down else s >= n - up for s in spots)
+    assert _drawn(15015, 31, 0, 1024, n, down, up) + _drawn(15015, 31, 1024, 4097, n, down, up) == total
+
+
 def test_bootstrap_bounds(spark):
     n = 400
     left = spark.range(n).select(F.col("id").alias("case_id"), (F.col("id") % 10 < 3).alias("ok"))
