@@ -165,9 +165,12 @@ def jensen_shannon(left: Column, right: Column) -> Column:
     return F.coalesce(both, F.lit(0.0))
 
 
-def judged(counts: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """Add base_failed, the two distances and kept; ``counts`` is read twice, so stage it first."""
-    known = F.broadcast(_references(counts))  # one row for each language
+def judged(counts: DataFrame, rules: QualityRules = QualityRules(), references: DataFrame | None = None) -> DataFrame:
+    """Add base_failed, the two distances and kept.
+
+    Without ``references`` ``counts`` is read twice, so stage it first.
+    """
+    known = F.broadcast(_references(counts) if references is None else references)  # one row for each language
     n = F.col("n_words")
     return (
         counts.join(known, counts["language"] == known["of_language"], "left")
@@ -194,8 +197,12 @@ def quality_verdicts(docs: DataFrame, rules: QualityRules = QualityRules()) -> D
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns whatever these are called."""
+    """The rows of ``docs`` that pass, with their own columns whatever these are called.
+
+    ``docs`` is read twice, first for the references alone: a row has its text in it, and a staged copy
+    of all rows would lie on disk for as long as the application runs.
+    """
+    references = staged(_references(document_counts(docs, [])))
     row = F.struct(*docs.columns).alias("row")
     packed = docs.select(row, "text", "lang")
-    counts = staged(document_counts(packed, ["row"]))
-    return judged(counts, rules).where("kept").select("row.*")
+    return judged(document_counts(packed, ["row"]), rules, references).where("kept").select("row.*")

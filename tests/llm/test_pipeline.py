@@ -1,12 +1,15 @@
 import re
 from collections import Counter
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
 from metricloom.llm.decontamination import leak_report
 from metricloom.llm.quality_rules import quality_verdicts
 from metricloom.llm.queries import ORACLES, QUERIES
+from metricloom.session import shared_folder
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -52,6 +55,15 @@ def test_stages_hand_on_documents_and_their_decisions(spark, tmp_path):
         docs, texts = found, kept
 
 
+def test_the_first_stage_leaves_no_copy_of_the_texts(spark, docs):
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    before = set(folder.rglob("*.parquet"))
+    kept = corpus_pipeline.quality(spark, docs, "")
+    assert kept.count()
+    left = [p for p in set(folder.rglob("*.parquet")) - before if p.is_file()]
+    assert left and all("text" not in pq.read_schema(p).names and "row" not in pq.read_schema(p).names for p in left)
+
+
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, FOLDER).columns[:4] == ["doc_id", "start", "length", "ids_crc32"]
 
