@@ -20,8 +20,9 @@ FIELD_WEIGHTS = {"name": 3, "description": 1, "dependencies": 1}
 SCORE = "decimal(28,12)"
 # Documents of one block of the stored index, on average.
 BLOCK_DOCUMENTS = 64
-# Blocks of the stored index that one task puts together, about; more tasks follow from more blocks.
-PART_BLOCKS = 16
+# Blocks of the stored index that one task puts together or searches, and that one bucket has the postings of, about;
+# more tasks and buckets follow from more blocks.
+PART_BLOCKS, BUCKET_BLOCKS = 16, 64
 
 
 @dataclass(frozen=True)
@@ -94,24 +95,31 @@ class StoredIndex:
     ``blocks`` has a row for each term and block of documents that has it: ``term``, ``block``, the most
     that a document of the block can weigh for the term, and ``docs``, the documents and the number of the
     field that has it. It is bucketed by term, so that a search deals out its own terms only. ``terms`` has the
-    document count and inverse document frequency of each term.
+    document count and inverse document frequency of each term. ``parts`` is the number of tasks among which
+    blocks are dealt, so that none has more of them when there are more.
     """
 
     spark: SparkSession
     blocks_name: str
     terms: DataFrame
     fields: tuple[str, ...]
+    parts: int
 
     @property
     def blocks(self) -> DataFrame:
         return self.spark.table(self.blocks_name)
 
 
+def _followed(spark: SparkSession, blocks: int, of_one: int) -> int:
+    """Tasks for so many blocks with ``of_one`` in each, or those of the session if they are more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks // of_one))
+
+
 def _block_postings(documents: DataFrame, fields: Sequence[str], blocks: int) -> DataFrame:
     """For each term and block: ``most`` and ``docs`` of a stored index."""
     per_field = F.array(*[F.struct(F.lit(k).alias("field"), F.col(f).alias("terms")) for k, f in enumerate(fields)])
     # Terms move once, document by document; what a block holds is then put together where it lies.
-    parts = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-blocks // PART_BLOCKS))
+    parts = _followed(documents.sparkSession, blocks, PART_BLOCKS)
     dealt = documents.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).repartition(parts, "block")
     found = (
         dealt.select("doc_id", "block", F.explode(per_field).alias("f"))
@@ -136,12 +144,12 @@ def store_index(index: TermIndex, block_documents: int = BLOCK_DOCUMENTS) -> Sto
     grouped = _block_postings(documents, index.fields, blocks)
     name = f"term_index_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}-{name}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = _followed(spark, blocks, BUCKET_BLOCKS)
     grouped.repartition(buckets, "term").write.option("path", path).bucketBy(buckets, "term").sortBy("term").saveAsTable(name)
     delete_on_exit(spark, path)
     counts = spark.table(name).groupBy("term").agg(F.sum(F.size(F.array_distinct("docs.doc_id"))).cast("bigint").alias("documents"))
     value = F.log(F.lit(total + 1.0) / (F.col("documents") + 1).cast("double")) + 1.0
-    return StoredIndex(spark, name, written(counts.withColumn("idf", value)), index.fields)
+    return StoredIndex(spark, name, written(counts.withColumn("idf", value)), index.fields, _followed(spark, blocks, PART_BLOCKS))
 
 
 def _asked(stored: StoredIndex, queries: DataFrame, query_id: str, text: str) -> DataFrame:
@@ -156,12 +164,13 @@ def _weight(stored: StoredIndex, field: Column) -> Column:
 
 def _scored(stored: StoredIndex, asked: DataFrame, wanted: DataFrame, keep: DataFrame | None) -> DataFrame:
     """Scores of the documents of the ``wanted`` (query_id, block), from their blocks of postings."""
-    read = asked.join(stored.blocks.select("term", "block", "docs"), "term").join(wanted, ["query_id", "block"], "left_semi")
+    # Both are distinct; a semi join would be moved below the repartition, to as many tasks as the session has.
+    read = asked.join(stored.blocks.select("term", "block", "docs"), "term").repartition(stored.parts, "query_id", "block").join(wanted, ["query_id", "block"])
     # A document is in one block: postings move as they are stored, and its terms meet where the block does.
-    matches = read.repartition("block").select("query_id", "block", "idf", F.explode("docs").alias("doc"))
+    matches = read.repartition(stored.parts, "block").select("query_id", "block", "idf", F.explode("docs").alias("doc"))
     matches = matches.select("query_id", "block", "doc.doc_id", (_weight(stored, F.col("doc.field")) * F.col("idf")).cast(SCORE).alias("weight"))
     if keep is not None:
-        matches = matches.join(keep.select("doc_id").distinct(), "doc_id", "left_semi")
+        matches = matches.repartition(stored.parts, "doc_id").join(keep.select("doc_id").repartition(stored.parts, "doc_id").distinct(), "doc_id")
     return matches.groupBy("query_id", "block", "doc_id").agg(F.sum("weight").alias("score")).drop("block").filter(F.col("score") > 0)
 
 
@@ -176,9 +185,8 @@ def search_stored(stored: StoredIndex, queries: DataFrame, query_id: str, text:
     if k < 1:
         raise ValueError("k must be positive")
     asked = _asked(stored, queries, query_id, text)
-    bounds = written(
-        asked.join(stored.blocks.select("term", "block", "most"), "term").groupBy("query_id", "block").agg(F.sum((F.col("most") * F.col("idf")).cast(SCORE)).alias("bound"))
-    )
+    weighed = asked.join(stored.blocks.select("term", "block", "most"), "term").repartition(stored.parts, "query_id", "block")
+    bounds = written(weighed.groupBy("query_id", "block").agg(F.sum((F.col("most") * F.col("idf")).cast(SCORE)).alias("bound")))
     order = (F.col("score").desc(), F.col("doc_id").asc())
     first = bounds.groupBy("query_id").agg(F.max(F.struct("bound", "block")).alias("_m")).select("query_id", "_m.block")
     tops = first_n_per_group(_scored(stored, asked, first, keep), ("query_id",), order, k, "rank")

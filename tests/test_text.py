@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metricloom.functions.text import lexical_terms, normalize_template, redact
-from metricloom.operators import similarity
+from metricloom.operators import retrieval, similarity
 from metricloom.operators.retrieval import _block_postings, build_index, search
 from metricloom.operators.scanning import SECRET_RULES, USER_PATH_RULE, classify_errors, secret_scan
 from metricloom.operators.similarity import (
@@ -277,3 +277,19 @@ def test_index_deals_out_documents_and_not_postings(spark):
     assert shown.count("Exchange") == 1 and "hashpartitioning(block" in shown
     found = {(r.term, d.doc_id) for r in grouped.collect() for d in r.docs}
     assert found == {(t, i) for i in range(40) for t in ("common", f"w{i}", f"w{i % 3}")}
+
+
+def test_search_tasks_follow_the_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "PART_BLOCKS", 1)
+    monkeypatch.setattr(retrieval, "BUCKET_BLOCKS", 2)
+    docs = spark.createDataFrame([(i, f"common w{i} w{i % 3}") for i in range(40)], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(1, "common w7")], "query_id bigint, text string")
+    stored = retrieval.store_index(build_index(docs, "doc_id", {"description": "text"}), 2)
+    assert stored.parts == 20
+    known, wanted = retrieval._asked(stored, asked, "query_id", "text"), spark.range(20).selectExpr("1L AS query_id", "id AS block")
+    for keep, dealt in ((None, 2), (docs.select("doc_id"), 4)):
+        shown = retrieval._scored(stored, known, wanted, keep)._jdf.queryExecution().executedPlan().toString().splitlines()
+        moves = [line for line in shown if "REPARTITION_BY_NUM" in line]
+        assert len(moves) == dealt and all(", 20)" in line for line in moves)
+        top = retrieval.search_stored(stored, asked, "query_id", "text", 2, keep).orderBy("rank").collect()
+        assert [r.doc_id for r in top] == [7, 0]
