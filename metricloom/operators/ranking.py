@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,30 +10,27 @@ from pyspark.sql import functions as F
 from metricloom.functions.joins import join_on
 from metricloom.operators.windows import running_totals
 
-# Blocks for each shuffle partition of the session.
-BLOCKS_PER_PARTITION = 32
+# Blocks for each shuffle partition of the session, and at most: the cuts of all tasks meet in one.
+BLOCKS_PER_PARTITION, MOST_BLOCKS = 32, 4096
 
 
 def with_value_blocks(df: DataFrame, column: str, name: str, blocks: int | None = None) -> DataFrame:
     """Add a non-decreasing block number of a numeric column with about equal rows per block.
 
-    The cut points are approximate quantiles, as many as the session's shuffle partitions call for:
-    one row of numbers, read as a scalar subquery of the same job. Any cut points give exact results;
-    they only balance the work.
+    The cut points are approximate quantiles, as many as the session's shuffle partitions call for, up to
+    ``MOST_BLOCKS``: one row of numbers, read as a scalar subquery of the same job. Any cut points give exact
+    results; they only balance the work.
     """
-    blocks = blocks or BLOCKS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    step = max(2, math.isqrt(blocks))
-    cuts = df.agg(F.percentile_approx(column, [i / blocks for i in range(1, blocks)], 10 * blocks).alias("cuts"))
-    coarse = cuts.select(F.filter("cuts", lambda _, i: i % step == step - 1))
-    placed = df.withColumns({"_cuts": cuts.scalar(), "_coarse": coarse.scalar()})
-
-    def below(points: Column) -> Column:
-        return F.size(F.filter(points, lambda p: p <= F.col(column)))
-
-    # First among every ``step``-th cut, then among those between: a short search instead of a scan.
-    placed = placed.withColumn("_c", below(F.col("_coarse")) * step)
-    found = F.col("_c") + below(F.slice("_cuts", F.col("_c") + 1, F.lit(step - 1)))
-    return placed.withColumn(name, found).drop("_cuts", "_coarse", "_c")
+    blocks = blocks or min(MOST_BLOCKS, BLOCKS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    halvings = max(1, (blocks - 1).bit_length())
+    blocks = 1 << halvings
+    cuts = df.agg(F.percentile_approx(column, [i / blocks for i in range(1, blocks)], 4 * blocks).alias("cuts"))
+    points, placed = cuts.scalar(), df.withColumn(name, F.lit(0))
+    # The number of cuts that are not above the value, by halving. The cuts are no column: no row carries them.
+    for step in (1 << i for i in reversed(range(halvings))):
+        above = points[F.col(name) + (step - 1)] <= F.col(column)
+        placed = placed.withColumn(name, F.col(name) + F.when(above, step).otherwise(0))
+    return placed
 
 
 def cumulative_counts(counts: DataFrame, by: Sequence[str], value: str, names: dict[str, str]) -> DataFrame:

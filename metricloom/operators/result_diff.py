@@ -129,7 +129,9 @@ def _pair_runs(dirty: DataFrame, key: list[str], values: list[str], tolerances:
     """
     row = F.struct(*values)
     counts = dirty.groupBy(*key, *values).agg(F.sum("e").alias("e"), F.sum("a").alias("a")).withColumn("_row", row)
-    ranked = running_totals(with_value_blocks(counts, values[0], "_cut_block"), key, "_row", F.col("_cut_block"), {"_e_end": F.col("e"), "_a_end": F.col("a")})
+    # Rows and block totals both read the counts and their blocks; they are found once.
+    placed = written(with_value_blocks(written(counts), values[0], "_cut_block"))
+    ranked = running_totals(placed, key, "_row", F.col("_cut_block"), {"_e_end": F.col("e"), "_a_end": F.col("a")})
     none = F.lit(None).cast(counts.schema["_row"].dataType)
     sides = F.array(
         F.struct(F.col("e").alias("n"), F.col("_e_end").alias("end"), F.col("_row").alias("_e"), none.alias("_a")),

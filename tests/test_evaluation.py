@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from metricloom.operators import result_diff
 from metricloom.operators.ledger import changed_rows, first_breaches, input_hash, seal, sequence_audit, usage_ledger, verify_seal
 from metricloom.operators.matching import maximum_matching
-from metricloom.operators.ranking import exact_quantiles
+from metricloom.operators.ranking import MOST_BLOCKS, exact_quantiles, with_value_blocks
 from metricloom.operators.result_diff import DiffRules, diff_results, unmatched_rows
 from metricloom.operators.scoring import _drawn, md5_words, operational_summary, paired_difference, wilson
 from metricloom.streaming.ledger import stream_first_breaches
@@ -162,6 +162,19 @@ def test_pairing_matches_exhaustive_search(spark, numbers, monkeypatch):
     assert 0 < sum(want.values()) < 40
 
 
+def test_cuts_of_value_blocks_do_not_grow_with_the_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = spark.range(20_000, numPartitions=4).select((F.col("id") * 7919 % 20_000).cast("double").alias("v"))
+    spark.conf.set("spark.sql.shuffle.partitions", 600)
+    try:
+        blocks = with_value_blocks(rows, "v", "b").localCheckpoint()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert 1000 < blocks.agg(F.max("b")).first()[0] < MOST_BLOCKS
+    found = blocks.groupBy("b").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n")).orderBy("b").collect()
+    assert all(x.high < y.low for x, y in zip(found, found[1:])) and max(r.n for r in found) < 30
+
+
 def test_wilson(spark):
     df = spark.createDataFrame([(60, 60), (0, 5), (26, 52), (0, 0)], "k int, n int")
     rows = [tuple(r) for r in df.select(*wilson("k", "n")).collect()]
