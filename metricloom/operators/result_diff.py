@@ -25,6 +25,8 @@ from metricloom.operators.windows import running_totals
 from metricloom.session import written
 
 RANKS_PER_BLOCK = 10_000
+# Rows for each cell, on average, from which a column is searched for classes.
+ROWS_PER_CELL = 4
 
 
 @dataclass(frozen=True)
@@ -198,14 +200,67 @@ def _unmatched(dirty: DataFrame, key: list[str], values: list[str], tolerances:
     return maximum_matching(_close_pairs(dirty, key, values, tolerances), wanted, offered)
 
 
+def _in_classes(dirty: DataFrame, key: list[str], values: list[str], tolerances: Sequence[tuple[float, float]]) -> DataFrame | None:
+    """``dirty`` with ``_part``, beyond which no row has a close one, and ``_open``: the columns that still decide in it.
+
+    Along a column, cells follow each other in one class as long as the last value of one is close to the
+    first of the next. If the least and the largest value of a class are close, so are all of its values,
+    and the column decides nothing there. None if no column has cells with many rows.
+    """
+    cells = [_cell(F.col(v), t) for v, t in zip(values, tolerances)]
+    seen = dirty.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(F.struct(*key, c)).alias(v) for v, c in zip(values, cells)]).first()
+    searched = [v for v, (_, relative) in zip(values, tolerances) if relative < 1 and seen[v] * ROWS_PER_CELL <= seen["n"]]
+    if not searched:
+        return None
+    for v, cell, t in zip(values, cells, tolerances):
+        if v not in searched:
+            continue
+        # A little more than the tolerance between classes and a little less inside one, so that rounding does no harm.
+        more, less = (tuple(x * (1 + by) for x in t) for by in (1e-9, -1e-9))
+        spans = written(dirty.groupBy(*key, cell.alias("_c")).agg(F.min(v).alias("_low"), F.max(v).alias("_high")))
+        before = spans.select(*key, (F.col("_c") + 1).alias("_c"), F.col("_high").alias("_before"))
+        starts = spans.join(before, [*key, "_c"], "left").withColumn("_starts", flag(~F.coalesce(_close(F.col("_before"), F.col("_low"), more), F.lit(False))))
+        placed = written(with_value_blocks(starts.select(*key, "_c", "_low", "_high", "_starts"), "_low", "_cut_block"))
+        numbered = written(running_totals(placed, key, "_low", F.col("_cut_block"), {"_class": F.col("_starts")}))
+        classes = numbered.groupBy(*key, "_class").agg(_close(F.min("_low"), F.max("_high"), less).alias(f"_whole_{v}"))
+        labels = written(numbered.select(*key, "_c", "_class").join(classes, [*key, "_class"]).withColumnRenamed("_class", f"_class_{v}"))
+        dirty = dirty.withColumn("_c", cell).join(labels, [*key, "_c"]).drop("_c")
+    part = F.concat_ws("|", *[F.col(f"_class_{v}").cast("string") for v in searched])
+    still = F.concat_ws(",", *[F.when(~F.col(f"_whole_{v}"), v) if v in searched else F.lit(v) for v in values])
+    return written(dirty.withColumns({"_part": part, "_open": still}).drop(*[f"_{x}_{v}" for v in searched for x in ("class", "whole")]))
+
+
 def _without_pairing(dirty: DataFrame, key: list[str], values: list[str], tolerances: Sequence[tuple[float, float]]) -> DataFrame:
     """Keys without a full pairing of their rows.
 
-    With several numbers, a key fails if one number alone has no full pairing, and passes if the
-    sorted rows pair up as they stand. Both are running counts; only what is then undecided is matched.
+    With several numbers, rows are first taken apart by the classes of each column; where one column is left
+    that decides, sorted pairing does. Only parts with more of them are matched.
     """
     if len(values) == 1:
         return _pair_runs(dirty, key, values, tolerances)
+    rows = _in_classes(dirty, key, values, tolerances)
+    if rows is None:
+        return _undecided_matched(dirty, key, values, tolerances)
+    within = [*key, "_part"]
+    uneven = written(rows.groupBy(*within).agg((F.sum("e") - F.sum("a")).alias("_over")).filter("_over != 0").select(*key).distinct())
+    rows = written(rows.join(uneven, key, "left_anti"))
+    failing = [uneven]
+    for v, t in zip(values, tolerances):
+        one = rows.filter(F.col("_open") == v)
+        if not one.isEmpty():
+            failing.append(_pair_runs(one, within, [v], [t]).select(*key))
+    several = rows.filter(F.col("_open").contains(","))
+    if not several.isEmpty():
+        failing.append(_undecided_matched(several, within, values, tolerances).select(*key))
+    return reduce(lambda p, q: p.union(q), failing).distinct()
+
+
+def _undecided_matched(dirty: DataFrame, key: list[str], values: list[str], tolerances: Sequence[tuple[float, float]]) -> DataFrame:
+    """Keys without a full pairing of their rows, which have several numbers.
+
+    A key fails if one number alone has no full pairing, and passes if the sorted rows pair up as they
+    stand. Both are running counts; only what is then undecided is matched.
+    """
     alone = written(reduce(lambda p, q: p.union(q), [_pair_runs(dirty, key, [v], [t]) for v, t in zip(values, tolerances)]).distinct())
     rest = written(dirty.join(alone, key, "left_anti"))
     if rest.isEmpty():

@@ -162,6 +162,46 @@ def test_pairing_matches_exhaustive_search(spark, numbers, monkeypatch):
     assert 0 < sum(want.values()) < 40
 
 
+@pytest.mark.parametrize("tolerance", [(0.5, 0.0), (0.0, 0.3)])
+def test_pairing_in_classes_matches_exhaustive_search(spark, tolerance, monkeypatch):
+    """Every column is searched for classes: some fall apart, some are chains, signs and sizes differ."""
+    monkeypatch.setattr(result_diff, "ROWS_PER_CELL", 0)
+    rng = random.Random(7)
+    absolute, relative = tolerance
+    left, right, want = [], [], {}
+
+    def near(x, y):
+        return x == y or abs(x - y) <= max(relative * max(abs(x), abs(y)), absolute)
+
+    for case in range(60):
+        size = rng.randint(1, 6)
+        e = [(rng.randint(0, 6) / 2, rng.choice([-8.0, -1.0, 0.25, 3.0, 3.5, 50.0])) for _ in range(size)]
+        a = [tuple(x * (1 + rng.choice([-0.2, 0, 0.2])) if relative else x + rng.choice([-0.5, 0, 0.5]) for x in row) for row in e]
+        if case % 5 == 0:
+            a[0] = (a[0][0], 9.0)
+        rng.shuffle(a)
+        left += [(case, *row) for row in e]
+        right += [(case, *row) for row in a]
+        want[case] = int(full_pairing(e, a, lambda p, q: all(near(x, y) for x, y in zip(p, q))))
+    schema = "case int, x double, y double"
+    out = diff_results(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), DiffRules(("x", "y"), {"x": tolerance, "y": tolerance}), by=("case",))
+    assert {r.case: r.values_correct for r in out.collect()} == want
+    assert 0 < sum(want.values()) < 60
+
+
+def test_a_chain_whose_other_column_falls_apart_needs_no_matching(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("sorted pairing decides")
+
+    monkeypatch.setattr(result_diff, "maximum_matching", refuse)
+    rows = spark.range(2000).select((F.col("id") * 0.004).alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    actual = rows.select((F.col("x") + F.when(F.col("y") == 3, 0.009).otherwise(0.001)).alias("x"), "y")
+    rules = DiffRules(("x", "y"), {"x": (0.01, 1e-9), "y": (0.5, 0.0)})
+    assert diff_results(rows, actual, rules).first().result_correct == 1
+    swapped = actual.withColumn("y", F.when(F.col("x") < 0.003, 1.0).otherwise(F.col("y")))
+    assert diff_results(rows, swapped, rules).first().result_correct == 0
+
+
 def test_cuts_of_value_blocks_do_not_grow_with_the_partitions(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     rows = spark.range(20_000, numPartitions=4).select((F.col("id") * 7919 % 20_000).cast("double").alias("v"))
