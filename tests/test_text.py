@@ -7,6 +7,7 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -293,3 +294,15 @@ def test_search_tasks_follow_the_blocks(spark, monkeypatch):
         assert len(moves) == dealt and all(", 20)" in line for line in moves)
         top = retrieval.search_stored(stored, asked, "query_id", "text", 2, keep).orderBy("rank").collect()
         assert [r.doc_id for r in top] == [7, 0]
+
+
+def test_sets_are_streamed_in_pieces_of_bounded_bytes(monkeypatch):
+    monkeypatch.setattr(similarity, "PASSED", 100)
+    lengths = [40, 60, 1, 250, 99, 1]
+    pieces = [p.column("length").to_pylist() for p in similarity._pieces(pa.RecordBatch.from_pydict({"length": lengths}))]
+    assert pieces == [[40, 60], [1], [250], [99, 1]]
+    monkeypatch.setattr(similarity, "COMPARED", 4)
+    sets = similarity._Sets.__new__(similarity._Sets)
+    sets.others = np.array([5, 9, -1, 5, 7, 9, 2], np.int64)
+    sets.number()
+    assert sets.numbers.dtype == np.int32 and (sets.known[sets.numbers] == sets.others).all()
