@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from metricloom.functions.joins import join_on
 from metricloom.operators.windows import running_totals
+from metricloom.session import written
 
 # Blocks for each shuffle partition of the session, and at most: the cuts of all tasks meet in one.
 BLOCKS_PER_PARTITION, MOST_BLOCKS = 32, 4096
@@ -19,7 +20,8 @@ def with_value_blocks(df: DataFrame, column: str, name: str, blocks: int | None
 
     The cut points are approximate quantiles, as many as the session's shuffle partitions call for, up to
     ``MOST_BLOCKS``: one row of numbers, read as a scalar subquery of the same job. Any cut points give exact
-    results; they only balance the work.
+    results; they only balance the work. The rows are written: a filter on the number, as every join has one,
+    would be moved below each step of the search and double it, cuts and all, and blocks are found once.
     """
     blocks = blocks or min(MOST_BLOCKS, BLOCKS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     halvings = max(1, (blocks - 1).bit_length())
@@ -30,7 +32,7 @@ def with_value_blocks(df: DataFrame, column: str, name: str, blocks: int | None
     for step in (1 << i for i in reversed(range(halvings))):
         above = points[F.col(name) + (step - 1)] <= F.col(column)
         placed = placed.withColumn(name, F.col(name) + F.when(above, step).otherwise(0))
-    return placed
+    return written(placed)
 
 
 def cumulative_counts(counts: DataFrame, by: Sequence[str], value: str, names: dict[str, str]) -> DataFrame:
@@ -47,7 +49,7 @@ def exact_quantiles(
 
     Rows collapse to counts per distinct value first, so repeats of one value cost one row.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_count"))
+    counts = written(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_count")))
     running = cumulative_counts(counts, by, value, {"_upto": "_count"})
     totals = counts.groupBy(*by).agg(F.sum("_count").alias("n"))
     if by:

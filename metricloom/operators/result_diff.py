@@ -131,8 +131,8 @@ def _pair_runs(dirty: DataFrame, key: list[str], values: list[str], tolerances:
     """
     row = F.struct(*values)
     counts = dirty.groupBy(*key, *values).agg(F.sum("e").alias("e"), F.sum("a").alias("a")).withColumn("_row", row)
-    # Rows and block totals both read the counts and their blocks; they are found once.
-    placed = written(with_value_blocks(written(counts), values[0], "_cut_block"))
+    # The cuts and their search both read the counts; they are found once.
+    placed = with_value_blocks(written(counts), values[0], "_cut_block")
     ranked = running_totals(placed, key, "_row", F.col("_cut_block"), {"_e_end": F.col("e"), "_a_end": F.col("a")})
     none = F.lit(None).cast(counts.schema["_row"].dataType)
     sides = F.array(
@@ -220,7 +220,7 @@ def _in_classes(dirty: DataFrame, key: list[str], values: list[str], tolerances:
         spans = written(dirty.groupBy(*key, cell.alias("_c")).agg(F.min(v).alias("_low"), F.max(v).alias("_high")))
         before = spans.select(*key, (F.col("_c") + 1).alias("_c"), F.col("_high").alias("_before"))
         starts = spans.join(before, [*key, "_c"], "left").withColumn("_starts", flag(~F.coalesce(_close(F.col("_before"), F.col("_low"), more), F.lit(False))))
-        placed = written(with_value_blocks(starts.select(*key, "_c", "_low", "_high", "_starts"), "_low", "_cut_block"))
+        placed = with_value_blocks(starts.select(*key, "_c", "_low", "_high", "_starts"), "_low", "_cut_block")
         numbered = written(running_totals(placed, key, "_low", F.col("_cut_block"), {"_class": F.col("_starts")}))
         classes = numbered.groupBy(*key, "_class").agg(_close(F.min("_low"), F.max("_high"), less).alias(f"_whole_{v}"))
         labels = written(numbered.select(*key, "_c", "_class").join(classes, [*key, "_class"]).withColumnRenamed("_class", f"_class_{v}"))

@@ -215,6 +215,20 @@ def test_cuts_of_value_blocks_do_not_grow_with_the_partitions(spark):
     assert all(x.high < y.low for x, y in zip(found, found[1:])) and max(r.n for r in found) < 30
 
 
+def test_plans_over_value_blocks_do_not_double_with_each_cut(spark):
+    """A join on the number of a block brings a filter, which was moved below each step of its search."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = spark.range(500).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 500).cast("double").alias("v"))
+    spark.conf.set("spark.sql.shuffle.partitions", 128)
+    try:
+        found = exact_quantiles(rows, ("g",), "v", {"least": F.lit(1)})
+        shown = found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert shown.count("percentile_approx") <= 12
+    assert {(r.g, r.n, r.least) for r in found.collect()} == {(g, len(range(g, 500, 3)), min(i * 7 % 500 for i in range(g, 500, 3))) for g in range(3)}
+
+
 def test_wilson(spark):
     df = spark.createDataFrame([(60, 60), (0, 5), (26, 52), (0, 0)], "k int, n int")
     rows = [tuple(r) for r in df.select(*wilson("k", "n")).collect()]
