@@ -6,13 +6,18 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from metricloom.functions.scope import flag
 from metricloom.functions.text import lexical_terms
 from metricloom.operators.windows import first_n_per_group
-from metricloom.session import delete_on_exit, shared_folder, written
+from metricloom.session import delete, delete_on_exit, shared_folder, shuffles_freed, written, written_at
 
 # Field weights.
 FIELD_WEIGHTS = {"name": 3, "description": 1, "dependencies": 1}
@@ -96,7 +101,7 @@ class StoredIndex:
     that a document of the block can weigh for the term, and ``docs``, the documents and the number of the
     field that has it. It is bucketed by term, so that a search deals out its own terms only. ``terms`` has the
     document count and inverse document frequency of each term. ``parts`` is the number of tasks among which
-    blocks are dealt, so that none has more of them when there are more.
+    blocks are dealt, so that none has more of them when there are more; ``count`` is the number of blocks.
     """
 
     spark: SparkSession
@@ -104,6 +109,7 @@ class StoredIndex:
     terms: DataFrame
     fields: tuple[str, ...]
     parts: int
+    count: int
 
     @property
     def blocks(self) -> DataFrame:
@@ -115,12 +121,17 @@ def _followed(spark: SparkSession, blocks: int, of_one: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks // of_one))
 
 
+def _block(doc_id: Column | str, blocks: int) -> Column:
+    """Number of the block of a document, by a hash of its id."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(blocks))
+
+
 def _block_postings(documents: DataFrame, fields: Sequence[str], blocks: int) -> DataFrame:
     """For each term and block: ``most`` and ``docs`` of a stored index."""
     per_field = F.array(*[F.struct(F.lit(k).alias("field"), F.col(f).alias("terms")) for k, f in enumerate(fields)])
     # Terms move once, document by document; what a block holds is then put together where it lies.
     parts = _followed(documents.sparkSession, blocks, PART_BLOCKS)
-    dealt = documents.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).repartition(parts, "block")
+    dealt = documents.withColumn("block", _block("doc_id", blocks)).repartition(parts, "block")
     found = (
         dealt.select("doc_id", "block", F.explode(per_field).alias("f"))
         .select("block", F.struct("doc_id", F.col("f.field").alias("field")).alias("doc"), F.explode("f.terms").alias("term"))
@@ -132,24 +143,30 @@ def _block_postings(documents: DataFrame, fields: Sequence[str], blocks: int) ->
 
 
 def store_index(index: TermIndex, block_documents: int = BLOCK_DOCUMENTS) -> StoredIndex:
-    """Write the inverted index of ``index``; each text is read once.
+    """Write the inverted index of ``index``; the terms of each text are found once.
 
     Documents are dealt into blocks by a hash of their id, ``block_documents`` of them on average. A
     frequent term is a row for each block, so no task and no row holds all its documents.
     """
     spark = index.documents.sparkSession
-    documents = written(index.documents)
-    total = documents.count()
+    total = index.documents.count()
     blocks = max(1, -(-total // block_documents))
-    grouped = _block_postings(documents, index.fields, blocks)
+    # Written before they are dealt by term, so that only one of the two shuffles is on disk, and dealt as two plain arrays.
+    grouped, gathered = written_at(_block_postings(index.documents, index.fields, blocks))
+    kind = grouped.schema["docs"].dataType
+    dealt_as = [F.col("docs.doc_id").alias("_ids"), F.transform("docs.field", lambda x: x.cast("tinyint")).alias("_fields")]
+    docs = F.zip_with("_ids", "_fields", lambda d, f: F.struct(d.alias("doc_id"), f.cast("int").alias("field"))).cast(kind)
     name = f"term_index_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}-{name}"
     buckets = _followed(spark, blocks, BUCKET_BLOCKS)
-    grouped.repartition(buckets, "term").write.option("path", path).bucketBy(buckets, "term").sortBy("term").saveAsTable(name)
+    with shuffles_freed(spark):
+        dealt = grouped.select("term", "block", "most", *dealt_as).repartition(buckets, "term").select("term", "block", "most", docs.alias("docs"))
+        dealt.write.option("path", path).bucketBy(buckets, "term").sortBy("term").saveAsTable(name)
     delete_on_exit(spark, path)
+    delete(spark, gathered)
     counts = spark.table(name).groupBy("term").agg(F.sum(F.size(F.array_distinct("docs.doc_id"))).cast("bigint").alias("documents"))
     value = F.log(F.lit(total + 1.0) / (F.col("documents") + 1).cast("double")) + 1.0
-    return StoredIndex(spark, name, written(counts.withColumn("idf", value)), index.fields, _followed(spark, blocks, PART_BLOCKS))
+    return StoredIndex(spark, name, written(counts.withColumn("idf", value)), index.fields, _followed(spark, blocks, PART_BLOCKS), blocks)
 
 
 def _asked(stored: StoredIndex, queries: DataFrame, query_id: str, text: str) -> DataFrame:
@@ -163,15 +180,55 @@ def _weight(stored: StoredIndex, field: Column) -> Column:
 
 
 def _scored(stored: StoredIndex, asked: DataFrame, wanted: DataFrame, keep: DataFrame | None) -> DataFrame:
-    """Scores of the documents of the ``wanted`` (query_id, block), from their blocks of postings."""
-    # Both are distinct; a semi join would be moved below the repartition, to as many tasks as the session has.
-    read = asked.join(stored.blocks.select("term", "block", "docs"), "term").repartition(stored.parts, "query_id", "block").join(wanted, ["query_id", "block"])
-    # A document is in one block: postings move as they are stored, and its terms meet where the block does.
-    matches = read.repartition(stored.parts, "block").select("query_id", "block", "idf", F.explode("docs").alias("doc"))
-    matches = matches.select("query_id", "block", "doc.doc_id", (_weight(stored, F.col("doc.field")) * F.col("idf")).cast(SCORE).alias("weight"))
+    """Scores of the documents of the ``wanted`` (query_id, block), from their blocks of postings.
+
+    A row of postings moves once, to the task of its block, however many queries have its term. A document is in
+    one block; block by block its postings meet the terms of the queries that want it.
+    """
+    terms = wanted.join(asked, "query_id").select("block", "query_id", "term", "idf").repartition(stored.parts, "block")
+    read = stored.blocks.select("term", "block", "docs").join(asked.select("term").distinct(), "term", "left_semi").repartition(stored.parts, "block")
+    kind = stored.blocks.schema["docs"].dataType.elementType["doc_id"].dataType
     if keep is not None:
-        matches = matches.repartition(stored.parts, "doc_id").join(keep.select("doc_id").repartition(stored.parts, "doc_id").distinct(), "doc_id")
-    return matches.groupBy("query_id", "block", "doc_id").agg(F.sum("weight").alias("score")).drop("block").filter(F.col("score") > 0)
+        # Ids that a filter admits go where their blocks are, at most those of a block together.
+        ids = keep.select(F.col("doc_id").cast(kind).alias("doc_id")).repartition(stored.parts, "doc_id").distinct()
+        kept = ids.withColumn("block", _block("doc_id", stored.count)).repartition(stored.parts, "block").groupBy("block").agg(F.collect_list("doc_id").alias("kept"))
+        admitted = F.filter("docs", lambda d: F.array_contains("kept", d["doc_id"]))
+        read = read.join(kept, "block").select("term", "block", admitted.alias("docs"))
+    weights = np.array([FIELD_WEIGHTS[f] for f in stored.fields], np.int64)
+    schema = T.StructType([wanted.schema["query_id"], T.StructField("doc_id", kind), T.StructField("score", T.DecimalType(28, 12))])
+
+    none = to_arrow_schema(schema)
+
+    def score(asked: pa.Table, postings: pa.Table) -> pa.Table:
+        known = pc.index_in(asked["term"].combine_chunks(), postings["term"].combine_chunks())
+        here = np.flatnonzero(known.is_valid().to_numpy(zero_copy_only=False))
+        if not len(here):
+            return none.empty_table()
+        docs = postings["docs"].combine_chunks()
+        ids = docs.flatten().field("doc_id").dictionary_encode("encode")
+        places, owners = ids.indices.to_numpy(), pc.list_parent_indices(docs).to_numpy()
+        # A row for each term of the block and a column for each of its documents.
+        weight = np.zeros((len(docs), len(ids.dictionary)), np.int64)
+        np.add.at(weight, (owners, places), weights[docs.flatten().field("field").to_numpy()])
+        queries = asked["query_id"].combine_chunks().take(pa.array(here)).dictionary_encode("encode")
+        order = np.argsort(queries.indices.to_numpy(), kind="stable")
+        own = queries.indices.to_numpy()[order]
+        rows = known.take(pa.array(here)).to_numpy()[order]
+        units = np.frombuffer(asked["idf"].combine_chunks().take(pa.array(here[order])).buffers()[1], np.int64)[: 2 * len(order) : 2]
+        # Two halves of each number, so that no sum leaves 64 bits.
+        starts = np.searchsorted(own, np.arange(len(queries.dictionary)))
+        high, low = (np.add.reduceat(weight[rows] * half[:, None], starts) for half in (units >> 24, units & 0xFFFFFF))
+        q, d = np.nonzero(high | low)
+        values = np.empty((len(q), 2), np.uint64)
+        high, low = high[q, d], low[q, d]
+        low += (high & 0xFFFFFF) << 24
+        high = (high >> 24) + (low >> 48)
+        low &= (1 << 48) - 1
+        values[:, 0], values[:, 1] = (high & 0xFFFF).astype(np.uint64) << np.uint64(48) | low.astype(np.uint64), (high >> 16).astype(np.uint64)
+        scores = pa.Array.from_buffers(pa.decimal128(28, 12), len(q), [None, pa.py_buffer(values.tobytes())])
+        return pa.table([queries.dictionary.take(pa.array(q)), ids.dictionary.take(pa.array(d)), scores], ["query_id", "doc_id", "score"])
+
+    return terms.groupBy("block").cogroup(read.groupBy("block")).applyInArrow(score, schema)
 
 
 def search_stored(stored: StoredIndex, queries: DataFrame, query_id: str, text: str, k: int, keep: DataFrame | None = None) -> DataFrame:
@@ -217,8 +274,11 @@ def term_contributions(stored: StoredIndex, queries: DataFrame, query_id: str, t
     Only the blocks of hits are read again; a map is bounded by its query's terms.
     """
     asked = _asked(stored, queries, query_id, text)
-    wanted = hits.select("query_id", "doc_id", "rank")
-    found = asked.join(stored.blocks.select("term", F.explode("docs").alias("doc")), "term").select("query_id", "term", "idf", "doc.doc_id", "doc.field").join(wanted, ["query_id", "doc_id"])
+    kind = stored.blocks.schema["docs"].dataType.elementType["doc_id"].dataType
+    # Terms of hits are few; rows of postings are read with them, before there is one for each document and query.
+    wanted = written(hits.select("query_id", F.col("doc_id").cast(kind).alias("doc_id"), "rank").withColumn("block", _block("doc_id", stored.count)).join(asked, "query_id"))
+    read = stored.blocks.select("term", "block", "docs").join(wanted.select("term").distinct(), "term", "left_semi")
+    found = wanted.join(read, ["term", "block"]).withColumn("doc", F.explode("docs")).filter("doc.doc_id = doc_id").select("query_id", "term", "idf", "doc_id", "doc.field", "rank")
     weight = (_weight(stored, F.col("field")) * F.col("idf")).cast(SCORE).cast("double")
     name = F.element_at(F.array(*[F.lit(f) for f in stored.fields]), F.col("field") + 1)
     return found.groupBy("query_id", "doc_id", "rank", name.alias("field")).agg(

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Fixed value: Spark's name for deleting shuffle files when a query ends.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(app: str = "metricloom", cores: str = "*") -> SparkSession:
     """A single-machine session for tests and benchmarks; clusters bring their own."""
@@ -54,19 +59,51 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as Parquet in the shared folder, read back.
 
     The rows survive lost executors, readers take only the columns they need, and the files go away
-    with the application.
+    with the application. What was shuffled for them goes as soon as they are written.
     """
+    return written_at(df)[0]
+
+
+def written_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """``written`` and the folder, for who can ``delete`` it earlier."""
     spark = df.sparkSession
     context = spark.sparkContext
     path = f"{shared_folder(spark).rstrip('/')}/written-{context.applicationId}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        # A frame of its own, as frames keep the setting with which they were made.
+        df.select("*").write.parquet(path)
     delete_on_exit(spark, path)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path), path
 
 
-def delete_on_exit(spark: SparkSession, path: str) -> None:
-    """Have the file system delete ``path`` when the application ends."""
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffle files of a query are deleted when it ends, not when the driver collects its garbage."""
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREED)
+        else:
+            spark.conf.set(FREED, before)
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
     context = spark.sparkContext
     hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return hadoop.getFileSystem(context._jsc.hadoopConfiguration()), hadoop
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete the folder of rows that nothing reads again."""
+    files, hadoop = _file_system(spark, path)
+    files.delete(hadoop, True)
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system delete ``path`` when the application ends."""
+    files, hadoop = _file_system(spark, path)
+    files.deleteOnExit(hadoop)

@@ -2,8 +2,10 @@
 
 import itertools
 import math
+import os
 import random
 import re
+import time
 import unicodedata
 
 import numpy as np
@@ -23,6 +25,7 @@ from metricloom.operators.similarity import (
     dice_pairs,
     distinct_texts,
 )
+from metricloom.session import delete, written_at
 
 
 def one(spark, column, text):
@@ -296,6 +299,43 @@ def test_search_tasks_follow_the_blocks(spark, monkeypatch):
         assert [r.doc_id for r in top] == [7, 0]
 
 
+def test_postings_move_once_whatever_the_queries(spark):
+    """Before, each query moved the postings of its terms, also those of blocks that it did not want."""
+    docs = spark.createDataFrame([(i, f"common w{i} w{i % 3}") for i in range(40)], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(q, f"common w{q}") for q in range(20)], "query_id bigint, text string")
+    stored = retrieval.store_index(build_index(docs, "doc_id", {"description": "text"}), 2)
+    known = retrieval._asked(stored, asked, "query_id", "text")
+    wanted = spark.range(20).selectExpr("id AS query_id", "explode(sequence(0L, 19L)) AS block")
+    admitted = docs.filter("doc_id % 2 = 0").select(F.col("doc_id").cast("int").alias("doc_id"))
+    for keep, step in ((None, 1), (admitted, 2), (docs.filter("doc_id < 0"), 40)):
+        found = retrieval._scored(stored, known, wanted, keep)
+        assert not re.search(r"hashpartitioning\((query_id|term)#[^\n]*REPARTITION", found._jdf.queryExecution().executedPlan().toString())
+        got = {(r.query_id, r.doc_id): r.score for r in found.collect()}
+        weight = {r.term: r.idf for r in known.collect()}
+        want = {}
+        for q, d in itertools.product(range(20), range(0, 40, step)):
+            shared = {"common", f"w{q}"} & {"common", f"w{d}", f"w{d % 3}"}
+            want[q, d] = sum(weight[t] for t in shared)
+        assert got == ({} if step == 40 else want)
+
+
+def test_what_was_shuffled_goes_when_its_rows_are_written(spark):
+    def files():
+        return [b for b in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("|").split("|") if "/shuffle_" in b]
+
+    frame = spark.range(1000).repartition(8, "id").groupBy((F.col("id") % 7).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    before = set(files())
+    rows, path = written_at(frame)
+    assert {(r.k, r.n) for r in rows.collect()} == {(k, len(range(k, 1000, 7))) for k in range(7)}
+    for _ in range(50):
+        if not set(files()) - before:
+            break
+        time.sleep(0.1)
+    assert not set(files()) - before
+    delete(spark, path)
+    assert not os.path.exists(path.removeprefix("file:"))
+
+
 def test_sets_are_streamed_in_pieces_of_bounded_bytes(monkeypatch):
     monkeypatch.setattr(similarity, "PASSED", 100)
     lengths = [40, 60, 1, 250, 99, 1]
