@@ -336,6 +336,13 @@ def test_what_was_shuffled_goes_when_its_rows_are_written(spark):
     assert not os.path.exists(path.removeprefix("file:"))
 
 
+def test_blocks_meet_without_a_shuffle(spark, sentences):
+    """Before, each block moved once for each that it met, and disk grew with the square of the texts."""
+    texts = distinct_texts(spark.createDataFrame(list(enumerate(sentences)), "doc_id bigint, text string"), "doc_id", F.col("text"))
+    shown = similarity._candidates(similarity._signatures(texts.select("doc_id", "copies", "text")), 0.86)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in shown and "Exchange hashpartitioning" not in shown
+
+
 def test_sets_are_streamed_in_pieces_of_bounded_bytes(monkeypatch):
     monkeypatch.setattr(similarity, "PASSED", 100)
     lengths = [40, 60, 1, 250, 99, 1]
