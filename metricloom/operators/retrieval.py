@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +28,8 @@ BLOCK_DOCUMENTS = 64
 # Blocks of the stored index that one task puts together or searches, and that one bucket has the postings of, about;
 # more tasks and buckets follow from more blocks.
 PART_BLOCKS, BUCKET_BLOCKS = 16, 64
+# Bytes of rows of postings that are packed together.
+PACKED_BYTES = 1 << 25
 
 
 @dataclass(frozen=True)
@@ -142,6 +144,44 @@ def _block_postings(documents: DataFrame, fields: Sequence[str], blocks: int) ->
     return found.groupBy("term", "block").agg(most.alias("most"), F.collect_list("doc").alias("docs"))
 
 
+def _dealt_by_term(grouped: DataFrame, buckets: int) -> DataFrame:
+    """``grouped`` with the rows of each bucket of terms in one task, where they move packed, many as one compressed value."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            order = np.argsort(table["_bucket"].to_numpy(), kind="stable")
+            bucket, rows = table["_bucket"].to_numpy()[order], table.drop_columns(["_bucket"]).take(pa.array(order)).combine_chunks()
+            starts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist()]
+            values = []
+            for start, end in zip(starts, [*starts[1:], len(bucket)], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(rows.slice(start, end - start))
+                values.append(sink.getvalue().to_pybytes())
+            return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array(values, pa.binary())], ["bucket", "rows"])
+
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= PACKED_BYTES:
+                yield packed()
+                held, size = [], 0
+        if held:
+            yield packed()
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column(0):
+                yield from pa.ipc.open_stream(value.as_buffer())
+
+    # The hash by which Spark finds the bucket of a row that it writes.
+    packed = grouped.withColumn("_bucket", F.pmod(F.hash("term"), F.lit(buckets))).mapInArrow(pack, "bucket int, rows binary")
+    return packed.repartitionById(buckets, "bucket").select("rows").mapInArrow(unpack, grouped.schema)
+
+
 def store_index(index: TermIndex, block_documents: int = BLOCK_DOCUMENTS) -> StoredIndex:
     """Write the inverted index of ``index``; the terms of each text are found once.
 
@@ -151,17 +191,13 @@ def store_index(index: TermIndex, block_documents: int = BLOCK_DOCUMENTS) -> Sto
     spark = index.documents.sparkSession
     total = index.documents.count()
     blocks = max(1, -(-total // block_documents))
-    # Written before they are dealt by term, so that only one of the two shuffles is on disk, and dealt as two plain arrays.
+    # Written before they are dealt by term, so that only one of the two shuffles is on disk.
     grouped, gathered = written_at(_block_postings(index.documents, index.fields, blocks))
-    kind = grouped.schema["docs"].dataType
-    dealt_as = [F.col("docs.doc_id").alias("_ids"), F.transform("docs.field", lambda x: x.cast("tinyint")).alias("_fields")]
-    docs = F.zip_with("_ids", "_fields", lambda d, f: F.struct(d.alias("doc_id"), f.cast("int").alias("field"))).cast(kind)
     name = f"term_index_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}-{name}"
     buckets = _followed(spark, blocks, BUCKET_BLOCKS)
     with shuffles_freed(spark):
-        dealt = grouped.select("term", "block", "most", *dealt_as).repartition(buckets, "term").select("term", "block", "most", docs.alias("docs"))
-        dealt.write.option("path", path).bucketBy(buckets, "term").sortBy("term").saveAsTable(name)
+        _dealt_by_term(grouped, buckets).write.option("path", path).bucketBy(buckets, "term").sortBy("term").saveAsTable(name)
     delete_on_exit(spark, path)
     delete(spark, gathered)
     counts = spark.table(name).groupBy("term").agg(F.sum(F.size(F.array_distinct("docs.doc_id"))).cast("bigint").alias("documents"))
